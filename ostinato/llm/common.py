@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +96,40 @@ def connected_components(edges: DataFrame) -> DataFrame:
         last = now
     member = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return member.union(member.select(F.col("component").alias("node"), "component").distinct())
+
+
+def key_runs(batches, keys: list[str]):
+    """Frames of the rows with equal keys, from batches of a partition that is sorted by them.
+
+    Only the last run of a batch is carried over, so memory is that of a batch and one run.
+    """
+    held = None
+    for pdf in batches:
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        k = pdf[keys].to_numpy()
+        edge = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        start = 0
+        for end in edge.tolist():
+            yield pdf.iloc[start:end]
+            start = end
+        held = pdf.iloc[start:]
+    if held is not None and len(held):
+        yield held
+
+
+def in_blocks(members: DataFrame, keys: list[str], size: str, node: str, block: int) -> DataFrame:
+    """``members`` of groups cut into blocks, repeated once for each pair of blocks they take part in.
+
+    Groups of up to ``block`` rows (column ``size``) are one block, paired with itself (bi = bj = 0). A
+    larger group has b blocks by the hash of ``node`` and b(b+1)/2 pairs, each of about two blocks, so any
+    two members meet in one pair at least and no task needs a whole group.
+    """
+    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    out = members.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64(node), F.col("_n")).cast("int"))
+    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    out = out.withColumns({"bi": F.least("_b", "_o"), "bj": F.greatest("_b", "_o"), "own": F.col("_b")})
+    out = out.drop("_n", "_b", "_o")
+    return out.repartition(*keys, "bi", "bj").sortWithinPartitions(*keys, "bi", "bj")
