@@ -6,9 +6,12 @@ import tempfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Bytes that end a word: everything in ASCII but digits and letters. Upper-case ASCII is lowered,
 # bytes of 0x80 and above (any other script) always belong to words.
@@ -98,6 +101,37 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return member.union(member.select(F.col("component").alias("node"), "component").distinct())
 
 
+def map_texts(documents: DataFrame, make, fields: str, keep: list[str] | None = None) -> DataFrame:
+    """``documents`` as the columns ``keep`` (doc_id by default, as long) and new ``fields`` made from the texts.
+
+    ``make()`` runs once a task and returns a function from a list of texts to a list of columns. One
+    map over the scan, in Arrow batches; the kept columns pass through unchanged, so nulls and large
+    integers stay what they are, and columns that are not kept don't reach Python.
+    """
+    kept = [F.col("doc_id").cast("long").alias("doc_id")] if keep is None else [F.col(c) for c in keep]
+    chosen = documents.select(*kept, F.col("text").cast("string").alias("_text"))
+    added = StructType.fromDDL(fields)
+    types = list(to_arrow_schema(added).types)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            new = work(batch.column(batch.num_columns - 1).to_pylist())
+            columns = [pa.array(x, t, from_pandas=True) for x, t in zip(new, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *added.names])
+
+    return chosen.mapInArrow(run, StructType([f for f in chosen.schema if f.name != "_text"] + added.fields))
+
+
+def without_ids(documents: DataFrame, ids: DataFrame, broadcast_upto: int = 500_000) -> DataFrame:
+    """The rows of ``documents`` whose doc_id isn't in ``ids``; rows with null ids stay.
+
+    Up to ``broadcast_upto`` distinct ids (4 MB) are broadcast; a longer list is joined by a shuffle.
+    """
+    ids = cut(ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct())
+    return documents.join(F.broadcast(ids) if ids.count() <= broadcast_upto else ids, "doc_id", "left_anti").select(documents.columns)
+
+
 def key_runs(batches, keys: list[str]):
     """Frames of the rows with equal keys, from batches of a partition that is sorted by them.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.common import fold
+from ostinato.llm.common import fold, map_texts
 
 DIMS = 4096
 UNKNOWN = "und"
@@ -136,28 +136,27 @@ def fit(documents: DataFrame, n_folds: int = 5, held_out: int = 0, per_language:
     return LanguageModel(languages, code, w, b, np.clip(right - 0.5, 0.05, 0.5))
 
 
-def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """Every row of ``documents`` (doc_id, text, ...) with lang_pred, score and ambiguous.
+def identify(documents: DataFrame, model: LanguageModel | None, keep: list[str] | None = None) -> DataFrame:
+    """Every row of ``documents`` as its ``keep`` columns (doc_id by default), lang_pred, score and ambiguous.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything when nothing
-    could be learned; equal losses go to the language first in order. Other columns are dropped,
-    so clashing names do no harm; repeated rows stay repeated. One map over the scan, no shuffle.
+    could be learned; equal losses go to the language first in order. Columns that are not kept are
+    dropped, so clashing names do no harm; repeated rows stay repeated. One map over the scan, no shuffle.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def label(batches):
+    def make():
         m = shared.value
-        for pdf in batches:
-            xs = [features(t) if m else None for t in pdf["text"]]
+
+        def run(texts):
+            xs = [features(t) if m else None for t in texts]
             has = np.array([x is not None for x in xs], dtype=bool)
-            lang, score, near = np.full(len(pdf), UNKNOWN, dtype=object), np.zeros(len(pdf)), np.zeros(len(pdf), dtype=bool)
+            lang, score, near = np.full(len(xs), UNKNOWN, dtype=object), np.zeros(len(xs)), np.zeros(len(xs), dtype=bool)
             if has.any():
                 best, s, a = m.decode(np.stack([x for x in xs if x is not None]).astype(np.float32))
                 lang[has], score[has], near[has] = np.array(m.languages, dtype=object)[best], s, a
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": score, "ambiguous": near})
+            return [lang, score, near]
+
+        return run
 
-    # Ids go to Python as text: pandas would turn a long column with nulls into doubles.
-    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
-        label, "doc_id string, lang_pred string, score double, ambiguous boolean"
-    )
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return map_texts(documents, make, "lang_pred string, score double, ambiguous boolean", keep)

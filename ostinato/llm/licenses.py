@@ -8,11 +8,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ostinato.llm.common import ascii_words
+from ostinato.llm.common import ascii_words, map_texts
 
 # Phrases and labels that always count.
 BASE_PHRASES = [
@@ -201,34 +199,24 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None) -
     """
     shared = documents.sparkSession.sparkContext.broadcast((BASE_PHRASES, TEMPLATES if templates is None else templates))
 
-    def run(batches):
+    def make():
         base, own = shared.value
         machine = Automaton([*base, *own])
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                words = ascii_words(text)
-                found = machine.find(words) if not machine.starts.keys().isdisjoint(words) else []
-                at = [i for t, i, _ in found if t < len(base)]
-                labels = [{machine.labels[t] for t, _, _ in found if t < n} for n in (len(base), len(machine.labels))]
-                inside = set()
-                for _, i, j in found:
-                    inside.update(range(i, j))
-                rows.append(
-                    (
-                        len(words), len(at), min(at, default=None), max(at, default=None), *(",".join(sorted(x)) for x in labels),
-                        len(inside) / len(words) if words else 0.0,
-                        [{"label": machine.labels[t], "start": i, "end": j} for t, i, j in found],
-                    )
-                )
-            out = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"])
-            out["first_word"], out["last_word"] = out["first_word"].astype("Int64"), out["last_word"].astype("Int64")
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
-
-    schema = (
-        "doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
+
+        def one(text):
+            words = ascii_words(text)
+            found = machine.find(words) if not machine.starts.keys().isdisjoint(words) else []
+            at = [i for t, i, _ in found if t < len(base)]
+            labels = [{machine.labels[t] for t, _, _ in found if t < n} for n in (len(base), len(machine.labels))]
+            inside = {k for _, i, j in found for k in range(i, j)}
+            places = [{"label": machine.labels[t], "start": i, "end": j} for t, i, j in found]
+            share = len(inside) / len(words) if words else 0.0
+            return (len(words), len(at), min(at, default=None), max(at, default=None), *(",".join(sorted(x)) for x in labels), share, places)
+
+        return lambda texts: list(zip(*map(one, texts), strict=True)) or [[]] * 8
+
+    fields = (
+        "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
         "score double, matches array<struct<label:string,start:int,end:int>>"
     )
-    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return map_texts(documents, make, fields)

@@ -5,9 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ostinato.llm.common import labelled_sample, utf8
+from ostinato.llm.common import labelled_sample, map_texts, utf8
 
 _NOT = {
     "upper": bytes(c for c in range(256) if not 65 <= c <= 90),
@@ -106,22 +105,24 @@ def fit(documents: DataFrame, labels: DataFrame, n_folds: int = 3, held_out: int
     return train(np.stack(got["x"]), got["y"].to_numpy(dtype=np.int64)) if len(got) else None
 
 
-def score(documents: DataFrame, model: QualityModel | None) -> DataFrame:
-    """Every row of ``documents`` with score and predicted (1 if score >= 0.5).
+def score(documents: DataFrame, model: QualityModel | None, keep: list[str] | None = None) -> DataFrame:
+    """Every row of ``documents`` as its ``keep`` columns (doc_id by default), score and predicted (1 if score >= 0.5).
 
     Null and empty texts are scored as texts without words; when nothing could be learned every
-    score is 0.5. Other columns are dropped, so clashing names do no harm; repeated rows stay
-    repeated. One map over the scan, no shuffle.
+    score is 0.5. Columns that are not kept are dropped, so clashing names do no harm; repeated rows
+    stay repeated. One map over the scan, no shuffle.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def make():
         m = shared.value
-        for pdf in batches:
-            s = np.full(len(pdf), 0.5)
-            if m is not None and len(pdf):
-                s = m.score(np.stack([features(t) for t in pdf["text"]]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, score double, predicted int")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+        def run(texts):
+            s = np.full(len(texts), 0.5)
+            if m is not None and texts:
+                s = m.score(np.stack([features(t) for t in texts]))
+            return [s, (s >= 0.5).astype(np.int32)]
+
+        return run
+
+    return map_texts(documents, make, "score double, predicted int", keep)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import decontaminate, embedding_dedup, langid, licenses, quality, sentencepieces, sharding, token_counts, toxicity
+from ostinato.llm import decontaminate, embedding_dedup, langid, licenses, quality, sentencepieces, setsketch_dedup, sharding, token_counts, toxicity
 from ostinato.llm.common import fold, table
 
 
@@ -55,6 +55,10 @@ def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_and_check(table(spark, sf_dir, "documents"))
 
 
+def op9_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_sentencepieces": op8_sentencepieces,
+    "op9_setsketch_near_dedup": op9_setsketch_near_dedup,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}

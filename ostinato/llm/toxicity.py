@@ -7,9 +7,8 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ostinato.llm.common import WORD_TABLE, labelled_sample, utf8
+from ostinato.llm.common import WORD_TABLE, labelled_sample, map_texts, utf8
 
 #: As WORD_TABLE, but full stops, question and exclamation marks and line ends become line feeds.
 _SENTENCE_TABLE = bytes(10 if c in b".!?\n\r" else WORD_TABLE[c] for c in range(256))
@@ -124,35 +123,37 @@ def fit(
     return _train(bags, y, rounds, ridge, words_kept)
 
 
-def score(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """Every row of ``documents`` with score, predicted and the offending sentences' spans.
+def score(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """Every row of ``documents`` as its ``keep`` columns, score, predicted and the offending sentences' spans.
 
-    Returns doc_id, score (noisy-or over all sentences of the whole text; null and empty texts have
-    no sentence and score 0), predicted (score >= 0.5) and ``offending``, an array of (start, end,
-    p) for sentences with p >= ``threshold``, in characters of the text. Other columns are dropped, so
-    clashing names do no harm; repeated rows stay repeated. One map over the scan, no shuffle.
+    Returns ``keep`` (doc_id by default), score (noisy-or over all sentences of the whole text; null and
+    empty texts have no sentence and score 0), predicted (score >= 0.5) and ``offending``, an array of
+    (start, end, p) for sentences with p >= ``threshold``, in characters of the text. Columns that are not
+    kept are dropped, so clashing names do no harm; repeated rows stay repeated. One map over the
+    scan, no shuffle.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def spans(text, said, p):
+        found = []
+        if (p >= threshold).any():
+            raw = utf8(text)
+            for i in np.flatnonzero(p >= threshold):
+                a = len(raw[: said[i][0]].decode("utf-8", "replace"))
+                b = a + len(raw[said[i][0] : said[i][1]].decode("utf-8", "replace"))
+                found.append({"start": a, "end": b, "p": float(p[i])})
+        return found
+
+    def make():
         m = shared.value
-        for pdf in batches:
-            scores, spans = [], []
-            for text in pdf["text"]:
-                said = sentences(text)
-                p = m.sentence_scores(said)
-                scores.append(noisy_or(p))
-                found = []
-                if (p >= threshold).any():
-                    raw = utf8(text)
-                    for i in np.flatnonzero(p >= threshold):
-                        a = len(raw[: said[i][0]].decode("utf-8", "replace"))
-                        b = a + len(raw[said[i][0] : said[i][1]].decode("utf-8", "replace"))
-                        found.append({"start": a, "end": b, "p": float(p[i])})
-                spans.append(found)
-            s = np.array(scores, dtype=float)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32), "offending": spans})
-
-    schema = "doc_id string, score double, predicted int, offending array<struct<start:int,end:int,p:double>>"
-    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+        def run(texts):
+            said = [sentences(t) for t in texts]
+            p = [m.sentence_scores(x) for x in said]
+            s = np.array([noisy_or(x) for x in p], dtype=float)
+            return [s, (s >= 0.5).astype(np.int32), [spans(*x) for x in zip(texts, said, p, strict=True)]]
+
+        return run
+
+    fields = "score double, predicted int, offending array<struct<start:int,end:int,p:double>>"
+    return map_texts(documents, make, fields, keep)
