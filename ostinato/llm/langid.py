@@ -51,20 +51,19 @@ def features(text) -> np.ndarray | None:
 def codewords(k: int, bits: int, seed: int = 11) -> np.ndarray:
     """A (k, bits) matrix of +1 and -1 whose rows lie far apart and whose columns all split the rows.
 
-    Rows are chosen one by one, each the best of many random words by its smallest Hamming distance
-    to those before it.
+    The best of many random matrices by the smallest Hamming distance between rows; a column that
+    doesn't split them has one of its entries turned.
     """
     rng = np.random.default_rng(seed)
-    if k == 1:
-        return np.ones((1, bits), dtype=np.int8)
-    best, score = None, -1
-    for _ in range(200):
+    best, score = np.ones((k, bits), dtype=np.int8), -1
+    for _ in range(200 if k > 1 else 0):
         code = rng.choice(np.array([-1, 1], dtype=np.int8), size=(k, bits))
-        usable = (code != code[0]).any(axis=0).all()
+        flat = np.flatnonzero((code == code[0]).all(axis=0))
+        code[rng.integers(0, k, len(flat)), flat] *= -1
         far = ((code[:, None] != code[None]).sum(axis=2) + bits * np.eye(k, dtype=int)).min()
-        if usable and far > score:
+        if far > score:
             best, score = code, far
-    return best if best is not None else codewords(k, bits + k, seed + 1)
+    return best
 
 
 class LanguageModel:
@@ -93,7 +92,7 @@ def _sample_features(batches):
     for pdf in batches:
         rows = [(y, gram_counts(t)) for y, t in zip(pdf["lang"], pdf["text"], strict=True)]
         rows = [(y, np.flatnonzero(n), n) for y, n in rows if n is not None]
-        yield pd.DataFrame({"lang": [y for y, _, _ in rows], "at": [i.astype(np.int32) for _, i, _ in rows], "n": [n[i].astype(np.float32) for _, i, n in rows]})
+        yield pd.DataFrame({"lang": [y for y, _, _ in rows], "at": [i.astype(np.int32) for _, i, _ in rows], "n": [n[i].astype(np.float32) for _, i, n in rows]}, dtype=object)
 
 
 def fit(documents: DataFrame, n_folds: int = 5, held_out: int = 0, per_language: int = 600, bits: int = 15) -> LanguageModel | None:

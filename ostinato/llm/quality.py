@@ -98,7 +98,7 @@ def fit(documents: DataFrame, labels: DataFrame, n_folds: int = 3, held_out: int
 
     def stats(batches):
         for pdf in batches:
-            yield pd.DataFrame({"y": pdf["y"], "x": [features(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"y": pdf["y"], "x": [features(t) for t in pdf["text"]]}, dtype=object)
 
     sample = labelled_sample(documents, labels, "quality", n_folds, held_out, limit).select("y", "text")
     got = sample.mapInPandas(stats, "y int, x array<double>").toPandas()

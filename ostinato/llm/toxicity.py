@@ -112,7 +112,7 @@ def fit(
         for pdf in batches:
             said = [(y, sentences(t)) for y, t in zip(pdf["y"], pdf["text"], strict=True)]
             said = [(y, [b" ".join(sorted(set(w))) for _, _, w in s]) for y, s in said if len(s) <= max_sentences]
-            yield pd.DataFrame({"y": [y for y, _ in said], "said": [[x.decode("utf-8", "replace") for x in s] for _, s in said]})
+            yield pd.DataFrame({"y": [y for y, _ in said], "said": [[x.decode("utf-8", "replace") for x in s] for _, s in said]}, dtype=object)
 
     sample = labelled_sample(documents, labels, "toxic", n_folds, held_out, limit).select("y", "text")
     got = sample.mapInPandas(words, "y int, said array<string>").toPandas()
