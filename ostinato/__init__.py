@@ -1,0 +1 @@
+"""Sequence analytics and training-data operators on Spark."""
