@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,11 +102,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return member.union(member.select(F.col("component").alias("node"), "component").distinct())
 
 
+def pieces_of(batch: pa.RecordBatch, columns: list[int], limit: int = 2 << 20):
+    """Slices of a batch whose text ``columns`` hold about ``limit`` bytes together, one row at least."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    group = (np.cumsum(size) - size) // limit
+    edge = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def map_texts(documents: DataFrame, make, fields: str, keep: list[str] | None = None) -> DataFrame:
     """``documents`` as the columns ``keep`` (doc_id by default, as long) and new ``fields`` made from the texts.
 
     ``make()`` runs once a task and returns a function from a list of texts to a list of columns. One
-    map over the scan, in Arrow batches; the kept columns pass through unchanged, so nulls and large
+    map over the scan, in Arrow batches of which about 2 MB are worked on at once; the kept columns pass through unchanged, so nulls and large
     integers stay what they are, and columns that are not kept don't reach Python.
     """
     kept = [F.col("doc_id").cast("long").alias("doc_id")] if keep is None else [F.col(c) for c in keep]
@@ -116,9 +127,11 @@ def map_texts(documents: DataFrame, make, fields: str, keep: list[str] | None =
     def run(batches):
         work = make()
         for batch in batches:
-            new = work(batch.column(batch.num_columns - 1).to_pylist())
-            columns = [pa.array(x, t, from_pandas=True) for x, t in zip(new, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *added.names])
+            last = batch.num_columns - 1
+            for part in pieces_of(batch, [last]):
+                new = work(part.column(last).to_pylist())
+                columns = [pa.array(x, t, from_pandas=True) for x, t in zip(new, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*part.schema.names[:-1], *added.names])
 
     return chosen.mapInArrow(run, StructType([f for f in chosen.schema if f.name != "_text"] + added.fields))
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ostinato.llm.common import pieces_of
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = 1 << 18  # characters indexed at once
@@ -218,15 +220,11 @@ def encode(documents: DataFrame, model: str = MODEL, keep: list[str] | None = No
     def run(batches):
         matcher = PieceMatcher(shared.value)
         for batch in batches:
-            text = batch.column("text")
-            size = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False)
-            group = (np.cumsum(size, dtype=np.int64) - size) >> 22
-            edge = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)) if len(group) else np.zeros(1, int)
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                got = matcher.encode(text.slice(a, b - a).to_pylist())
+            for part in pieces_of(batch, [batch.schema.get_field_index("text")], 4 << 20):
+                got = matcher.encode(part.column("text").to_pylist())
                 offset = np.append(0, np.cumsum([len(x) // 4 for x in got])).astype(np.int32)
                 ids = pa.ListArray.from_arrays(offset, np.frombuffer(b"".join(got), dtype=np.int32))
-                part = batch.slice(a, b - a).drop_columns(["text"])
+                part = part.drop_columns(["text"])
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
 
     chosen = documents.select("doc_id", *(keep or []), "text")

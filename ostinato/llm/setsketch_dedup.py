@@ -6,12 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from ostinato.llm.common import connected_components, cut, in_blocks, key_runs, map_texts, utf8
+from ostinato.llm.common import connected_components, cut, in_blocks, key_runs, map_texts, pieces_of, utf8
 
 WIDTH = 5  # words of a shingle
 BANDS, ROWS = 24, 6
@@ -20,7 +21,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE = 1.12, 20.0
 BLOCK = 2048  # classes of a bucket that are compared at once
 BROADCAST_IDS = 500_000  # ids (8 bytes each) up to which a list of documents is broadcast
-_TEXT_BYTES = 4 << 20  # text hashed at once
+_TEXT_BYTES = 1 << 20  # text hashed at once
 _U = np.uint64
 
 
@@ -208,27 +209,24 @@ def _nearest_or_all(percent: int, slack: float, every: bool):
 
 def _verify(percent: int):
     def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            # Each text of the batch is cut into its set once.
-            texts: dict[tuple, np.ndarray] = {}
-            for i, h, t in (("a", "a_h1", "a_text"), ("b", "b_h1", "b_text")):
-                for k, x in zip(zip(pdf[i], pdf[h], strict=True), pdf[t], strict=True):
-                    if k not in texts:
-                        texts[k] = x
-            keys = list(texts)
-            sets = dict(zip(keys, shingle_sets([texts[k] for k in keys]), strict=True))
-            digest = dict(zip(keys, _digests(list(sets.values()))[0].tolist(), strict=True))
-            good = []
-            for i, (a, b) in enumerate(zip(zip(pdf["a"], pdf["a_h1"], strict=True), zip(pdf["b"], pdf["b_h1"], strict=True), strict=True)):
-                if digest[a] != a[1] or digest[b] != b[1]:
-                    continue  # another row's text under the same id
-                x, y = sets[a], sets[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    good.append(i)
-            yield pdf.iloc[good][["a", "b"]]
+        for batch in batches:
+            texts = [batch.schema.get_field_index(c) for c in ("a_text", "b_text")]
+            for part in pieces_of(batch, texts):
+                a, b = (list(zip(part.column(i).to_pylist(), part.column(f"{i}_h1").to_pylist(), part.column(f"{i}_text").to_pylist(), strict=True)) for i in "ab")
+                # Each text is cut into its set once; pairs of a group share one side.
+                known = list(dict.fromkeys([*a, *b]))
+                sets = shingle_sets([t for _, _, t in known])
+                # A text whose digest isn't the class's is another row's under the same id.
+                right = [d == h for d, (_, h, _) in zip(_digests(sets)[0].tolist(), known, strict=True)]
+                of = {k: i for i, k in enumerate(known)}
+                good = []
+                for i, (x, y) in enumerate(zip(a, b, strict=True)):
+                    x, y = of[x], of[y]
+                    if right[x] and right[y]:
+                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                            good.append(i)
+                yield part.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     return run
 
@@ -271,7 +269,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, slack: float = 0.12
         full = pairs.join(side("a").select("a", "a_h1"), "a").join(side("b").select("b", "b_h1"), "b")
         for s in ("a", "b"):
             full = full.join(texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"{s}_text")), s)
-        return full.mapInPandas(_verify(percent), "a long, b long").distinct()
+        return full.mapInArrow(_verify(percent), "a long, b long").distinct()
 
     star = members.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     star = star.join(side("a"), "a").join(side("b"), "b").filter(_within(percent, F.col("a_n_shingles"), F.col("b_n_shingles")))
