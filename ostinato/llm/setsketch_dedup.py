@@ -19,7 +19,9 @@ BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
 #: Registers are floor(1 - log_BASE(x)) of minima x of exponential variables of rate RATE, cut to 0..255.
 BASE, RATE = 1.12, 20.0
-BLOCK = 2048  # classes of a bucket that are compared at once
+BLOCK = 1024  # classes of a bucket that are compared at once
+WORDS_A_MEMBER = 400  # shingles that count as one of these classes
+_MOST_DIFFERENT = 50  # of REGISTERS; at a similarity of 0.7 about 42 differ
 BROADCAST_IDS = 500_000  # ids (8 bytes each) up to which a list of documents is broadcast
 _TEXT_BYTES = 1 << 20  # text hashed at once
 _U = np.uint64
@@ -179,34 +181,78 @@ def _within(percent: int, n_a, n_b):
     return (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a)
 
 
-def _nearest_or_all(percent: int, slack: float, every: bool):
-    """Likely pairs of a bucket between different components: of each class the likeliest one, or all."""
+def _candidates(r: np.ndarray, n: np.ndarray, i: int, among: np.ndarray, percent: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the rows ``among`` that may link with row i by their registers, and their estimates."""
+    j = among[_within(percent, n[among], n[i])]
+    # Far fewer registers differ at such a similarity; the likelihood is left to the rest.
+    j = j[(r[j] != r[i]).sum(axis=1) <= _MOST_DIFFERENT]
+    if not len(j):
+        return j, np.zeros(0)
+    s = likely_jaccard((r[i] > r[j]).sum(axis=1), (r[i] < r[j]).sum(axis=1), np.full(len(j), n[i]), n[j])
+    near = s >= percent / 100 - slack
+    return j[near], s[near]
+
+
+def _chosen_band(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the bands that each pair shares the one in which it is looked at, chosen by a hash of its ids."""
+    shared = (x == y).reshape(len(x), BANDS, ROWS).all(axis=2)
+    low, high = np.minimum(a, b).astype(_U), np.maximum(a, b).astype(_U)
+    nth = (_mix(low * _U(0x9E3779B97F4A7C15) ^ _mix(high)) % shared.sum(axis=1).astype(_U)).astype(np.int64)
+    return (shared.cumsum(axis=1) > nth[:, None]).argmax(axis=1)
+
+
+def _links_in_blocks(percent: int, slack: float):
+    """Verified links between different components in each block of a bucket: a spanning forest of them."""
 
     def run(batches):
         for g in key_runs(batches, ["key", "bi", "bj"]):
-            if g["component"].nunique() < 2:
-                continue
-            r, n = _registers(g["registers"]), g["n_shingles"].to_numpy()
-            c, own, rep = g["component"].to_numpy(), g["own"].to_numpy(), g["rep"].to_numpy()
-            a, b = [], []
-            for i in range(len(g)):
-                open_ = (c != c[i]) & _within(percent, n, n[i])
-                if g["bi"].iloc[0] != g["bj"].iloc[0]:
-                    open_ &= own != own[i]
-                if every:
-                    open_[: i + 1] = False
-                j = np.flatnonzero(open_)
-                if not len(j):
-                    continue
-                s = likely_jaccard((r[i] > r[j]).sum(axis=1), (r[i] < r[j]).sum(axis=1), np.full(len(j), n[i]), n[j])
-                j = j[s >= percent / 100 - slack] if every else j[[s.argmax()]] if s.max() >= percent / 100 - slack else j[:0]
-                a += [rep[i]] * len(j)
-                b += rep[j].tolist()
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
+            links = _forest(g, percent, slack)
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _forest(g: pd.DataFrame, percent: int, slack: float) -> list[tuple[int, int]]:
+    r, n, rep = _registers(g["registers"]), g["n_shingles"].to_numpy(), g["rep"].to_numpy()
+    own, band, across = g["own"].to_numpy(), g["band"].iloc[0], g["bi"].iloc[0] != g["bj"].iloc[0]
+    _, group = np.unique(g["component"].to_numpy(), return_inverse=True)
+    pairs, place = [], np.arange(len(g))
+    for i in range(len(g) - 1):
+        open_ = group[i + 1 :] != group[i]
+        if across:
+            open_ &= own[i + 1 :] != own[i]
+        j, s = _candidates(r, n, i, place[i + 1 :][open_], percent, slack)
+        if len(j):
+            here = _chosen_band(r[j], r[[i]], rep[j], np.full(len(j), rep[i])) == band
+            pairs += zip(s[here].tolist(), [i] * int(here.sum()), j[here].tolist(), strict=True)
+    texts, h1, sets, root, out = g["text"].tolist(), g["h1"].tolist(), {}, list(range(int(group.max()) + 1)), []
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    def set_of(i: int) -> np.ndarray:
+        """The row's set, or an empty one if its text is another row's under the same id."""
+        if i not in sets:
+            found = shingle_sets([texts[i]])
+            sets[i] = found[0] if _digests(found)[0][0] == h1[i] else np.zeros(0, dtype=_U)
+        return sets[i]
+
+    for _, i, j in sorted(pairs, reverse=True):  # likely links first: they spare the rest of their components
+        u, v = top(group[i]), top(group[j])
+        if u != v and _linked(set_of(i), set_of(j), percent):
+            root[max(u, v)] = min(u, v)
+            out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+    return out
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -222,10 +268,8 @@ def _verify(percent: int):
                 good = []
                 for i, (x, y) in enumerate(zip(a, b, strict=True)):
                     x, y = of[x], of[y]
-                    if right[x] and right[y]:
-                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                        if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
-                            good.append(i)
+                    if right[x] and right[y] and _linked(sets[x], sets[y], percent):
+                        good.append(i)
                 yield part.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     return run
@@ -237,7 +281,7 @@ def _texts(documents: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, slack: float = 0.12, nearest_rounds: int = 2) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = 85, slack: float = 0.1) -> DataFrame:
     """Every row of ``documents`` with its near-duplicate component: doc_id, n_shingles, component_id, kept.
 
     Documents link if 100 * shared >= ``percent`` * united of their 5-word shingle sets, and component_id is
@@ -246,54 +290,48 @@ def near_duplicates(documents: DataFrame, percent: int = 85, slack: float = 0.12
     sets; null ids link with nothing and are kept. Other columns are dropped.
 
     Equal sets are one class from the start. Classes that share a band of registers are candidates,
-    filtered by the likelihood estimate (``slack`` is four standard errors) and confirmed on full sets:
-    first each class with the likeliest of its buckets' smallest members, then, only in buckets that
-    still hold several components, each class with its likeliest partner elsewhere, and at last all pairs
-    between components that remain. So no link that could join two components is left untested, and groups of
-    copies give about a pair for each member instead of all of them.
+    filtered by the likelihood estimate (``slack`` is more than three standard errors) and confirmed on full
+    sets: first each class with the likeliest of its buckets' smallest members; then, only in buckets
+    that still hold several components, every likely pair between components, in blocks of bounded size that
+    hold the members' texts and return verified links alone, at most one less than their components. So
+    no link that could join two components is left untested, and no pairs are written out.
     """
     rows = cut(sketch_documents(documents))
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles")
     classes = cut(classes.agg(F.min("doc_id").alias("rep"), F.any_value("registers").alias("registers")))
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", i * ROWS + 1, ROWS)) for i in range(BANDS)])
-    banded = classes.select("rep", F.explode(bands).alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("size")).filter("size > 1")
-    members = cut(banded.join(buckets, "key"))
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("registers", i * ROWS + 1, ROWS)).alias("key")) for i in range(BANDS)])
+    banded = classes.select("rep", "n_shingles", F.explode(bands).alias("x")).select("rep", "n_shingles", "x.*")
+    # The size of a bucket, by which it is cut into blocks, counts members and, where they are long, words.
+    size = F.greatest(F.count("*"), F.floor(F.sum("n_shingles") / WORDS_A_MEMBER))
+    buckets = banded.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n"), size.alias("size")).filter("n > 1").drop("n")
+    members = cut(banded.drop("n_shingles").join(buckets, "key"))
     info = classes.select("rep", "h1", "n_shingles", "registers")
     side = lambda s: info.select(*[F.col(c).alias(s if c == "rep" else f"{s}_{c}") for c in info.columns])
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that link, verified on the full texts."""
-        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        texts = _texts(documents, ids, ids.count())
-        full = pairs.join(side("a").select("a", "a_h1"), "a").join(side("b").select("b", "b_h1"), "b")
-        for s in ("a", "b"):
-            full = full.join(texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"{s}_text")), s)
-        return full.mapInArrow(_verify(percent), "a long, b long").distinct()
-
     star = members.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     star = star.join(side("a"), "a").join(side("b"), "b").filter(_within(percent, F.col("a_n_shingles"), F.col("b_n_shingles")))
     star = star.withColumn("s", _estimate("a_registers", "b_registers", "a_n_shingles", "b_n_shingles")).filter(F.col("s") >= percent / 100 - slack)
-    tested = cut(star.groupBy("b").agg(F.max_by("a", F.struct("s", -F.col("a"))).alias("a")).select("a", "b"))
-    links = cut(confirmed(tested))
-    step, components = 0, connected_components(links)
-    while True:
-        placed = members.select("key", "rep", "size").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        placed = placed.withColumn("component", F.coalesce("component", "rep"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        open_ = placed.join(mixed, "key").join(info.drop("h1"), "rep")
-        blocks = in_blocks(open_, ["key"], "size", "rep", BLOCK)
-        new = blocks.mapInPandas(_nearest_or_all(percent, slack, step >= nearest_rounds), "a long, b long").distinct()
-        new = cut(new.join(tested, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            if step >= nearest_rounds:
-                break
-            step = nearest_rounds
-            continue
-        tested, good, step = tested.union(new), cut(confirmed(new)), step + 1
-        if not good.isEmpty():
-            links = links.union(good)
-            components = connected_components(links)
+    tested = star.groupBy("b").agg(F.max_by(F.struct("a", "a_h1", "b_h1"), F.struct("s", -F.col("a"))).alias("x")).select("b", "x.*")
+    tested = cut(tested)
+    ids = cut(tested.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = _texts(documents, ids, ids.count())
+    for s in ("a", "b"):
+        tested = tested.join(texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"{s}_text")), s)
+    links = cut(tested.mapInArrow(_verify(percent), "a long, b long").distinct())
+    components = connected_components(links)
+
+    placed = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").drop("first")
+    placed = placed.withColumn("component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    open_ = cut(placed.join(mixed, "key"))
+    ids = cut(open_.select(F.col("rep").alias("doc_id")).distinct())
+    texts = _texts(documents, ids, ids.count()).withColumnRenamed("doc_id", "rep")
+    blocks = in_blocks(open_.join(info.join(texts, "rep"), "rep"), ["key"], "size", "rep", BLOCK)
+    more = cut(blocks.mapInPandas(_links_in_blocks(percent, slack), "a long, b long").distinct())
+    if not more.isEmpty():
+        # Links between components found so far join them as wholes.
+        joined = links.union(more)
+        components = connected_components(joined)
     known = classes.select("h1", "h2", "n_shingles", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     out = rows.select("doc_id", "n_shingles", "h1", "h2").join(known, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
