@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.common import WORD_TABLE
+from ostinato.llm.common import WORD_TABLE, give_back
 
 #: Folds and splits as WORD_TABLE, for texts that are lower-cased as a whole before.
 BLOCK_BYTES = 32 << 20  # benchmark text that one pass over the documents looks for
@@ -147,6 +147,7 @@ def find(documents: DataFrame, benchmark: DataFrame, error_share: float = 0.2, m
                             best[row[1]] = row
                     rows += best.values()
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "budget", "start", "end"])
+            give_back()
 
         parts.append(slim.mapInPandas(run, schema))
     if not parts:

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.common import pieces_of
+from ostinato.llm.common import give_back, pieces_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK = 1 << 18  # characters indexed at once
-CACHED = 200_000  # segments whose pieces a worker keeps
+CHUNK = 1 << 17  # characters indexed at once
+CACHED = 30_000  # segments whose pieces a worker keeps
 LONG = 96  # characters from which a segment is merged by a heap instead of in step with others
 _NONE = np.int32(2**31 - 1)
 
@@ -226,12 +226,22 @@ def encode(documents: DataFrame, model: str = MODEL, keep: list[str] | None = No
                 ids = pa.ListArray.from_arrays(offset, np.frombuffer(b"".join(got), dtype=np.int32))
                 part = part.drop_columns(["text"])
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
+            give_back()
 
     chosen = documents.select("doc_id", *(keep or []), "text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "text"), "ids array<int>"])
     return chosen.mapInArrow(run, schema)
 
 
+def _bytes_of(pieces: list[tuple[str, float, int]]) -> list[bytes]:
+    """The UTF-8 bytes that each id stands for, spaces in place of marks."""
+    return [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else p.replace(SPACE, " ").encode() for p, _, k in pieces]
+
+
+def _text_of(of: list[bytes], ids) -> bytes:
+    return b"".join([of[i] for i in ids]).removeprefix(b" ")
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """Every row of ``encoded`` with ``text``, what its ``ids`` stand for, in place of them.
 
@@ -242,31 +252,43 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(batches):
-        of = [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else p.replace(SPACE, " ").encode() for p, _, k in shared.value]
+        of = _bytes_of(shared.value)
         n = len(of)
         for batch in batches:
             texts = []
             for x in batch.column("ids"):
-                ids = x.values.to_numpy(zero_copy_only=False) if x.is_valid else ()
+                ids = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, dtype=np.int32)
                 if len(ids) and (x.values.null_count or ids.min() < 0 or ids.max() >= n):
                     ids = np.array([i for i in x.as_py() if i is not None and 0 <= i < n], dtype=np.int64)
-                raw = b"".join([of[i] for i in ids.tolist()] if len(ids) else [])
-                texts.append(raw.removeprefix(b" ").decode("utf-8", "replace"))
+                texts.append(_text_of(of, ids.tolist()).decode("utf-8", "replace"))
             part = batch.drop_columns(["ids"])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "text"])
+            give_back()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "ids"), "text string"])
     return encoded.mapInArrow(run, schema)
 
 
 def encode_and_check(documents: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, ids, and whether decoding the ids gives the text back (compared by CRC and length).
+    """doc_id, n_pieces, ids, and whether decoding the ids gives the text back (round_trip).
 
-    A text with a literal space mark (U+2581) can't come back: it decodes to a space. Null counts as empty.
+    A text with a literal space mark (U+2581) can't come back: it decodes to a space. Null counts as
+    empty. Both ways run in one map, so that a task needs one Python worker.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marks = F.struct(F.crc32(F.encode(text, "UTF-8")).alias("crc"), F.octet_length(text).alias("n"))
-    coded = encode(documents.select("doc_id", "text", marks.alias("was")), model, ["was"])
-    back = decode(coded.withColumn("out", F.col("ids")), model)
-    same = (F.crc32(F.encode("text", "UTF-8")) == F.col("was.crc")) & (F.octet_length("text") == F.col("was.n"))
-    return back.select("doc_id", F.size("out").cast("long").alias("n_pieces"), F.col("out").alias("ids"), same.alias("round_trip"))
+    shared = documents.sparkSession.sparkContext.broadcast(read_model(model))
+
+    def run(batches):
+        matcher, of = PieceMatcher(shared.value), _bytes_of(shared.value)
+        for batch in batches:
+            for part in pieces_of(batch, [batch.schema.get_field_index("text")]):
+                texts = part.column("text").to_pylist()
+                got = [np.frombuffer(x, dtype=np.int32) for x in matcher.encode(texts)]
+                size = np.array([len(x) for x in got], dtype=np.int64)
+                same = [_text_of(of, x.tolist()) == (t or "").encode("utf-8", "replace") for x, t in zip(got, texts, strict=True)]
+                ids = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), np.concatenate([*got, np.zeros(0, dtype=np.int32)]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), ids, pa.array(same)], names=["doc_id", "n_pieces", "ids", "round_trip"])
+                del part, texts, got, ids, same
+                give_back()
+
+    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from ostinato.llm.common import connected_components, cut, in_blocks, key_runs, map_texts, pieces_of, utf8
+from ostinato.llm.common import connected_components, cut, give_back, in_blocks, key_runs, map_texts, pieces_of, utf8
 
 WIDTH = 5  # words of a shingle
 BANDS, ROWS = 24, 6
@@ -208,6 +208,7 @@ def _links_in_blocks(percent: int, slack: float):
         for g in key_runs(batches, ["key", "bi", "bj"]):
             links = _forest(g, percent, slack)
             yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        give_back()
 
     return run
 
@@ -271,6 +272,7 @@ def _verify(percent: int):
                     if right[x] and right[y] and _linked(sets[x], sets[y], percent):
                         good.append(i)
                 yield part.select(["a", "b"]).take(pa.array(good, pa.int64()))
+            give_back()
 
     return run
 
