@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.functions import vectors as V
+from ostinato.operators import decode as D
 from ostinato.operators import joins as J
+from ostinato.operators import motifs as M
 from ostinato.operators import sequences as S
 from ostinato.operators import stats as A
 from ostinato.operators import structure as X
@@ -530,3 +534,36 @@ def vector_profile(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     e = F.col("embedding")
     return v.select("vec_id", F.round(V.total(F.transform(e, lambda x: x.cast("double"))), 4).alias("total"), F.round(V.norm(e), 4).alias("length"), V.argmax(e).alias("top"))
+
+
+# Motifs and decoding
+
+
+_RUNS = """, b AS (SELECT song, pos, q, pos // 2 AS bar FROM ev),
+    f AS (SELECT *, lag(bar) OVER w IS DISTINCT FROM bar AS s, lead(bar) OVER w IS DISTINCT FROM bar AS e FROM b WINDOW w AS (PARTITION BY song ORDER BY pos)),
+    r AS (SELECT a.song, CAST(z.pos - a.pos + 1 AS INTEGER) AS length, a.pos AS start, string_agg(m.q, ' ' ORDER BY m.pos) AS motif
+      FROM f a JOIN f z ON z.song = a.song AND z.pos BETWEEN a.pos + 1 AND a.pos + 3 JOIN f m ON m.song = a.song AND m.pos BETWEEN a.pos AND z.pos WHERE a.s AND z.e GROUP BY 1, 2, 3)
+    """
+
+
+def _barred(spark, sf_dir):
+    return events(spark, sf_dir).withColumn("bar", F.floor(F.col("pos") / 2))
+
+
+@query(EVENTS_SQL + _RUNS + "SELECT song, length, motif, start FROM r")
+def ngram_barlocked(spark, sf_dir):
+    return M.bar_locked_runs(_barred(spark, sf_dir), SONG, ORDER, "bar", "q")
+
+
+@query(EVENTS_SQL + _RUNS + "SELECT song, length, motif, count(*) AS n, min(start) AS first_start, (count(*) - 1) * length AS saving FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 2")
+def motif_saving(spark, sf_dir):
+    return M.motifs(_barred(spark, sf_dir), SONG, ORDER, "bar", "q")
+
+
+@query()
+def viterbi(spark, sf_dir):
+    """Two states, quiet and loud, decoded from the events' weights."""
+    x = F.least(F.col("w") / 100, F.lit(1.0))
+    e = events(spark, sf_dir).withColumn("e", F.array(F.ln(1.05 - x), F.ln(0.05 + x)))
+    stay, go = math.log(0.9), math.log(0.1)
+    return D.viterbi(e, SONG, "pos", "e", [[stay, go], [go, stay]], [math.log(0.5)] * 2)
