@@ -193,27 +193,28 @@ def _candidates(r: np.ndarray, n: np.ndarray, i: int, among: np.ndarray, percent
     return j[near], s[near]
 
 
-def _chosen_band(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _chosen_band(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
     """Of the bands that each pair shares the one in which it is looked at, chosen by a hash of its ids."""
-    shared = (x == y).reshape(len(x), BANDS, ROWS).all(axis=2)
+    bands = REGISTERS // rows
+    shared = (x == y)[:, : bands * rows].reshape(len(x), bands, rows).all(axis=2)
     low, high = np.minimum(a, b).astype(_U), np.maximum(a, b).astype(_U)
     nth = (_mix(low * _U(0x9E3779B97F4A7C15) ^ _mix(high)) % shared.sum(axis=1).astype(_U)).astype(np.int64)
     return (shared.cumsum(axis=1) > nth[:, None]).argmax(axis=1)
 
 
-def _links_in_blocks(percent: int, slack: float):
+def _links_in_blocks(percent: int, slack: float, rows: int):
     """Verified links between different components in each block of a bucket: a spanning forest of them."""
 
     def run(batches):
         for g in key_runs(batches, ["key", "bi", "bj"]):
-            links = _forest(g, percent, slack)
+            links = _forest(g, percent, slack, rows)
             yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
         give_back()
 
     return run
 
 
-def _forest(g: pd.DataFrame, percent: int, slack: float) -> list[tuple[int, int]]:
+def _forest(g: pd.DataFrame, percent: int, slack: float, rows: int) -> list[tuple[int, int]]:
     r, n, rep = _registers(g["registers"]), g["n_shingles"].to_numpy(), g["rep"].to_numpy()
     own, band, across = g["own"].to_numpy(), g["band"].iloc[0], g["bi"].iloc[0] != g["bj"].iloc[0]
     _, group = np.unique(g["component"].to_numpy(), return_inverse=True)
@@ -224,7 +225,7 @@ def _forest(g: pd.DataFrame, percent: int, slack: float) -> list[tuple[int, int]
             open_ &= own[i + 1 :] != own[i]
         j, s = _candidates(r, n, i, place[i + 1 :][open_], percent, slack)
         if len(j):
-            here = _chosen_band(r[j], r[[i]], rep[j], np.full(len(j), rep[i])) == band
+            here = _chosen_band(r[j], r[[i]], rep[j], np.full(len(j), rep[i]), rows) == band
             pairs += zip(s[here].tolist(), [i] * int(here.sum()), j[here].tolist(), strict=True)
     texts, h1, sets, root, out = g["text"].tolist(), g["h1"].tolist(), {}, list(range(int(group.max()) + 1)), []
 
@@ -283,7 +284,7 @@ def _texts(documents: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, slack: float = 0.1) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = 85, slack: float = 0.1, band_rows: int = ROWS) -> DataFrame:
     """Every row of ``documents`` with its near-duplicate component: doc_id, n_shingles, component_id, kept.
 
     Documents link if 100 * shared >= ``percent`` * united of their 5-word shingle sets, and component_id is
@@ -291,7 +292,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, slack: float = 0.1)
     nothing. Repeated rows are returned each; rows that share an id but not the text link by their own
     sets; null ids link with nothing and are kept. Other columns are dropped.
 
-    Equal sets are one class from the start. Classes that share a band of registers are candidates,
+    Equal sets are one class from the start. Classes that share a band of ``band_rows`` registers are candidates,
     filtered by the likelihood estimate (``slack`` is more than three standard errors) and confirmed on full
     sets: first each class with the likeliest of its buckets' smallest members; then, only in buckets
     that still hold several components, every likely pair between components, in blocks of bounded size that
@@ -301,7 +302,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, slack: float = 0.1)
     rows = cut(sketch_documents(documents))
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles")
     classes = cut(classes.agg(F.min("doc_id").alias("rep"), F.any_value("registers").alias("registers")))
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("registers", i * ROWS + 1, ROWS)).alias("key")) for i in range(BANDS)])
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("registers", i * band_rows + 1, band_rows)).alias("key")) for i in range(REGISTERS // band_rows)])
     banded = classes.select("rep", "n_shingles", F.explode(bands).alias("x")).select("rep", "n_shingles", "x.*")
     # The size of a bucket, by which it is cut into blocks, counts members and, where they are long, words.
     size = F.greatest(F.count("*"), F.floor(F.sum("n_shingles") / WORDS_A_MEMBER))
@@ -329,7 +330,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, slack: float = 0.1)
     ids = cut(open_.select(F.col("rep").alias("doc_id")).distinct())
     texts = _texts(documents, ids, ids.count()).withColumnRenamed("doc_id", "rep")
     blocks = in_blocks(open_.join(info.join(texts, "rep"), "rep"), ["key"], "size", "rep", BLOCK)
-    more = cut(blocks.mapInPandas(_links_in_blocks(percent, slack), "a long, b long").distinct())
+    more = cut(blocks.mapInPandas(_links_in_blocks(percent, slack, band_rows), "a long, b long").distinct())
     if not more.isEmpty():
         # Links between components found so far join them as wholes.
         joined = links.union(more)
