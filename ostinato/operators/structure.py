@@ -88,6 +88,13 @@ def loop_pattern(df: DataFrame, keys: list[str], order: list[str], beat: str, sy
     return both.groupBy(*keys).agg(F.max_by(F.struct("lag", "determinism", "coverage"), score).alias("_b")).select(*keys, "_b.*")
 
 
+def block_labels(df: DataFrame, keys: list[str], position: str, symbol: str, size: int) -> DataFrame:
+    """(keys, block, label): the commonest symbol of every ``size`` rows, the first seen on ties; a last,
+    shorter block counts too."""
+    n = df.groupBy(*keys, F.floor(F.col(position) / size).alias("block"), F.col(symbol).alias("label")).agg(F.count("*").alias("n"), F.min(position).alias("seen"))
+    return n.groupBy(*keys, "block").agg(F.max_by("label", F.struct("n", -F.col("seen"))).alias("label"))
+
+
 def degenerate_sections(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Whether a sequence's section labels carry no structure: one label only, 18 sections or more, or
     one label with 0.85 of at least 4; never for a single section."""

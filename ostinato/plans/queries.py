@@ -394,6 +394,18 @@ def degenerate_sections(spark, sf_dir):
     return X.degenerate_sections(events(spark, sf_dir).filter("pos < 12"), SONG, "q")
 
 
+@query(
+    EVENTS_SQL
+    + """, b AS (SELECT song, pos // 16 AS block, q, count(*) AS n, min(pos) AS seen FROM ev GROUP BY 1, 2, 3),
+    l AS (SELECT song, q, row_number() OVER (PARTITION BY song, block ORDER BY n DESC, seen) AS k FROM b),
+    n AS (SELECT song, q, count(*) AS n FROM l WHERE k = 1 GROUP BY 1, 2),
+    g AS (SELECT song, CAST(sum(n) AS BIGINT) AS sections, count(*) AS labels, max(n) AS top FROM n GROUP BY 1)
+    SELECT song, sections, labels, top, sections >= 2 AND (labels <= 1 OR sections >= 18 OR (sections >= 4 AND top / sections >= 0.85)) AS degenerate FROM g"""
+)
+def degenerate_block_sections(spark, sf_dir):
+    return X.degenerate_sections(X.block_labels(events(spark, sf_dir), SONG, "pos", "q", 16), SONG, "label")
+
+
 @query(
     EVENTS_SQL
     + """, f AS (SELECT song, min(CASE WHEN q = 'signup' THEN pos END) AS p FROM ev GROUP BY 1)

@@ -4,7 +4,8 @@ import itertools
 
 import numpy as np
 
-from ostinato.operators import decode, keys, motifs
+from ostinato.operators import decode, keys, motifs, structure
+from ostinato.plans import queries
 from ostinato.sources import labels
 from ostinato.streaming import loops
 
@@ -44,6 +45,15 @@ def test_motifs_begin_and_end_with_bars(spark):
     assert [(r.motif, r.n, r.first_start) for r in motifs.motifs(d, ["song"], ["i"], "bar", "s").collect()] == [("A B", 2, 0)]
 
 
+def test_degenerate_sections_over_whole_sequences(spark, tmp_path):
+    # Song 1 repeats itself in its first 12 events only; song 2 has 18 blocks of 16 events.
+    rows = [(1, i, "a" if i < 16 else "b" if i < 32 else "c") for i in range(40)] + [(2, i, "ab"[i // 16 % 2]) for i in range(17 * 16 + 1)]
+    sql = "user_id", "event_id", "timestamp_micros(event_id) AS ts", "event_type", "1.0D AS value", "'{}' AS props"
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string").selectExpr(*sql).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.song: (r.sections, r.labels, r.top, r.degenerate) for r in queries.QUERIES["degenerate_block_sections"](spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 3, 1, False), 2: (18, 2, 9, True)}
+
+
 def test_label_readers(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "x.lab").write_text("0.0 1.5 C:min7\n1.5 2 N\nbad line here\n2 3 X\n3 4\n")
