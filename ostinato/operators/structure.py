@@ -106,7 +106,8 @@ def degenerate_sections(df: DataFrame, keys: list[str], label: str) -> DataFrame
 
 def vetoed_pairs(df: DataFrame, keys: list[str], block: str, symbol: str, least: int = 2, share: float = 0.2, reach: int = 8) -> DataFrame:
     """Pairs of blocks (at most ``reach`` apart in number) with the symbols that recur in one (``least`` rows
-    and ``share`` of it) and are wholly absent from the other."""
+    and ``share`` of it) and are wholly absent from the other. Blocks farther apart are not compared: ``vetoes``
+    counts over whole sequences."""
     n = df.groupBy(*keys, F.col(block).alias("a"), F.col(symbol).alias("symbol")).agg(F.count("*").alias("n"))
     strong = n.withColumn("_all", F.sum("n").over(Window.partitionBy(*keys, "a"))).filter((F.col("n") >= least) & (F.col("n") / F.col("_all") >= share))
     blocks = n.select(*keys, F.col("a").alias("b")).distinct()
@@ -116,6 +117,20 @@ def vetoed_pairs(df: DataFrame, keys: list[str], block: str, symbol: str, least:
     return near.join(there, [*keys, "b", "symbol"], "left_anti").select(*keys, "a", "b", "symbol")
 
 
+def vetoes(df: DataFrame, keys: list[str], block: str, symbol: str, least: int = 2, share: float = 0.2) -> DataFrame:
+    """For every block and symbol that recurs in it (``least`` rows and ``share`` of it): (keys, a, symbol, n, share,
+    absent_from), the last being how many blocks of the whole sequence, near or far, hold none of the symbol.
+
+    A row per block and recurring symbol instead of pairs of blocks; those vetoed are the blocks without the symbol.
+    """
+    n = df.groupBy(*keys, F.col(block).alias("a"), F.col(symbol).alias("symbol")).agg(F.count("*").alias("n"))
+    strong = n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys, "a"))).filter((F.col("n") >= least) & (F.col("share") >= share))
+    held = n.groupBy(*keys, "symbol").agg(F.count("*").alias("_held"))
+    blocks = n.groupBy(*keys).agg(F.countDistinct("a").alias("_blocks"))
+    out = strong.join(held, [*keys, "symbol"]).join(blocks, keys)
+    return out.select(*keys, "a", "symbol", "n", "share", (F.col("_blocks") - F.col("_held")).alias("absent_from"))
+
+
 def phase_of_loop(downbeats: DataFrame, keys: list[str], beat: str, is_downbeat: str, period: int) -> DataFrame:
     """The first downbeat's position modulo the period; 0 without downbeats."""
     first = F.min(F.when(F.col(is_downbeat), F.col(beat)))

@@ -384,6 +384,20 @@ def veto_pairs(spark, sf_dir):
     return X.vetoed_pairs(e, SONG, "block", "root")
 
 
+@query(
+    EVENTS_SQL
+    + """, n AS (SELECT song, pos // 16 AS a, root, count(*) AS n FROM ev GROUP BY 1, 2, 3),
+    s AS (SELECT song, a, root, n, n / sum(n) OVER (PARTITION BY song, a) AS share FROM n),
+    b AS (SELECT DISTINCT song, a AS b FROM n)
+    SELECT s.song, s.a, s.root AS symbol, s.n, round(s.share, 6) AS share, count(b.b) AS absent_from
+    FROM s LEFT JOIN b ON b.song = s.song AND NOT EXISTS (SELECT 1 FROM n x WHERE x.song = s.song AND x.a = b.b AND x.root = s.root)
+    WHERE s.n >= 2 AND s.share >= 0.2 GROUP BY 1, 2, 3, 4, 5"""
+)
+def veto_counts(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("block", F.floor(F.col("pos") / 16))
+    return X.vetoes(e, SONG, "block", "root").withColumn("share", r6("share"))
+
+
 @query(
     EVENTS_SQL
     + """, n AS (SELECT song, q, count(*) AS n FROM ev WHERE pos < 12 GROUP BY 1, 2),

@@ -54,6 +54,16 @@ def test_degenerate_sections_over_whole_sequences(spark, tmp_path):
     assert got == {1: (3, 3, 1, False), 2: (18, 2, 9, True)}
 
 
+def test_vetoes_reach_every_block(spark):
+    # "x" recurs in blocks 0 and 11 alone; "y" is everywhere, "z" once.
+    rows = [(1, b, s) for b in range(12) for s in ("yyxx" if b in (0, 11) else "yyyz" if b == 3 else "yyyy")]
+    d = spark.createDataFrame(rows, "song long, block long, s string")
+    got = {(r.a, r.symbol): (r.n, r.share, r.absent_from) for r in structure.vetoes(d, ["song"], "block", "s").collect()}
+    assert got[0, "x"] == got[11, "x"] == (2, 0.5, 10) and got[3, "y"] == (3, 0.75, 0) and len(got) == 14
+    pairs = structure.vetoed_pairs(d, ["song"], "block", "s").filter("a = 0").count()
+    assert pairs == 8  # the pairs stop at their reach
+
+
 def test_label_readers(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "x.lab").write_text("0.0 1.5 C:min7\n1.5 2 N\nbad line here\n2 3 X\n3 4\n")
