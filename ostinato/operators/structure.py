@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ostinato.functions import vectors as V
@@ -22,6 +25,38 @@ def self_similarity(df: DataFrame, keys: list[str], index: str, vector: str, rea
     return both.select(*keys, "i", "j", F.greatest(F.lit(0.0), F.least(F.lit(1.0), V.dot(F.col("_v"), F.col("_u")))).alias("similarity"))
 
 
+def lag_similarity(df: DataFrame, keys: list[str], index: str, vector: str, block: int = 512) -> DataFrame:
+    """Mean of each off-diagonal of the whole self-similarity matrix (cosine, cut to 0..1): (keys, lag, score, n).
+
+    ``index`` counts a sequence's rows from 0, its vectors have one length. Every pair of blocks of rows is multiplied in a group
+    of its own, of at most two blocks, and gives sums by lag alone: at most two rows per row of a block.
+    A vector that is null, zero or holds nulls has the similarity 0 to any other.
+    """
+    v = df.select(*keys, F.col(index).cast("long").alias("i"), V.unit(F.col(vector)).alias("v"), F.floor(F.col(index) / block).alias("b"))
+    last = v.groupBy(*keys).agg(F.max("b").alias("_last"))
+    v = v.join(last, keys).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    v = v.select(*keys, F.least("b", "_o").alias("bi"), F.greatest("b", "_o").alias("bj"), "i", "v")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        full = [x is not None and all(y is not None for y in x) for x in g["v"]]
+        width = max([len(x) for x, f in zip(g["v"], full, strict=True) if f], default=1)
+        m = np.array([x if f else np.zeros(width) for x, f in zip(g["v"], full, strict=True)], dtype=float)
+        i, of = g["i"].to_numpy(), (g["i"] // block).to_numpy()
+        a, b = of == g["bi"].iloc[0], of == g["bj"].iloc[0]
+        s = np.clip(np.nan_to_num(m[a] @ m[b].T), 0.0, 1.0)
+        lag = i[b][None, :] - i[a][:, None]
+        n = np.bincount(lag[lag > 0])
+        at = np.flatnonzero(n)
+        out = pd.DataFrame({"lag": at, "s": np.bincount(lag[lag > 0], s[lag > 0])[at], "n": n[at]})
+        for c in keys:
+            out[c] = g[c].iloc[0]
+        return out[[*keys, "lag", "s", "n"]]
+
+    known = StructType([f for f in v.schema if f.name in keys])
+    sums = v.groupBy(*keys, "bi", "bj").applyInPandas(run, known.add("lag", "long").add("s", "double").add("n", "long"))
+    return sums.groupBy(*keys, "lag").agg((F.sum("s") / F.sum("n")).alias("score"), F.sum("n").alias("n"))
+
+
 def lag_profile(df: DataFrame, keys: list[str], order: list[str], symbol: str, shortest: int, longest: int) -> DataFrame:
     """Share of rows equal to the row ``lag`` before, for each lag: (keys, lag, score, n)."""
     w = ordered(keys, order)

@@ -371,6 +371,18 @@ def ssm_cosine(spark, sf_dir):
     return X.self_similarity(v, ["label"], "i", "embedding", 8).withColumn("similarity", F.round("similarity", 4))
 
 
+@query(
+    """WITH v AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding AS e FROM embeddings),
+    p AS (SELECT a.label, b.i - a.i AS lag, list_dot_product(a.e::DOUBLE[], b.e::DOUBLE[]) / (sqrt(list_dot_product(a.e::DOUBLE[], a.e::DOUBLE[])) * sqrt(list_dot_product(b.e::DOUBLE[], b.e::DOUBLE[]))) AS s
+      FROM v a JOIN v b ON a.label = b.label AND b.i > a.i)
+    SELECT label, lag, round(avg(greatest(0.0, least(1.0, s))), 4) AS score, count(*) AS n FROM p GROUP BY 1, 2"""
+)
+def ssm_lag_score(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    v = v.withColumn("i", (F.row_number().over(S.ordered(["label"], ["vec_id"])) - 1).cast("long"))
+    return X.lag_similarity(v, ["label"], "i", "embedding").withColumn("score", F.round("score", 4))
+
+
 @query(
     EVENTS_SQL
     + """, n AS (SELECT song, pos // 16 AS a, root, count(*) AS n FROM ev GROUP BY 1, 2, 3),

@@ -64,6 +64,20 @@ def test_vetoes_reach_every_block(spark):
     assert pairs == 8  # the pairs stop at their reach
 
 
+def test_similarity_of_far_repeats(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 6))
+    x = np.concatenate([x, x[:13], np.zeros((1, 6))])  # a section that comes back after 30 rows
+    d = spark.createDataFrame([(1, i, r.tolist()) for i, r in enumerate(x)] + [(2, 0, [1.0] * 6), (2, 1, None)], "song long, i long, v array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    full = np.clip(u @ u.T, 0, 1)
+    for block in (512, 8):
+        got = {(r.song, r.lag): (r.score, r.n) for r in structure.lag_similarity(d, ["song"], "i", "v", block).collect()}
+        assert got.pop((2, 1)) == (0.0, 1) and len(got) == 43
+        assert all(np.isclose(got[1, k][0], np.diagonal(full, k).mean()) and got[1, k][1] == 44 - k for k in range(1, 44))
+        assert got[1, 30][0] > 0.9
+
+
 def test_label_readers(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "x.lab").write_text("0.0 1.5 C:min7\n1.5 2 N\nbad line here\n2 3 X\n3 4\n")
