@@ -32,10 +32,13 @@ def key_segments(spark: SparkSession, path: str) -> DataFrame:
     return d.select("path", "t0", "t1", "k.*").filter("t0 is not null and t1 is not null and tonic is not null")
 
 
-def json_records(spark: SparkSession, path: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
+def json_records(spark: SparkSession, path: str, schema: str, required: list[str], lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(records, rejected) of JSON files: records hold every ``required`` field; rejected ones come as path
-    and text. One file is one object."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    and text. One file is one object, or every line is one with ``lines``; blank lines are nothing then."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=not lines)
+    if lines:
+        raw = raw.filter(F.trim("value") != "")
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), "value")
     parsed = raw.withColumn("r", F.from_json("value", schema))
     good = F.col("r").isNotNull()
     for c in required:

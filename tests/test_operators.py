@@ -93,6 +93,13 @@ def test_label_readers(spark, tmp_path):
     assert [(r.song, r.bar) for r in good.collect()] == [("s", 2)] and bad.count() >= 2
 
 
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"song": "s", "bar": 2}\n\n{"song": "t", "bar": 3}\n{"bar": 1}\nnot json\n{"song": "u"}')
+    good, bad = labels.json_records(spark, str(tmp_path), "song string, bar int", ["song"], lines=True)
+    assert sorted((r.song, r.bar) for r in good.collect()) == [("s", 2), ("t", 3), ("u", None)]
+    assert sorted(r.text for r in bad.collect()) == ["not json", '{"bar": 1}']
+
+
 def test_functional_key_of_a_turnaround(spark):
     rows = [(1, i, t) for i, t in enumerate(["Bb^7", "G7", "C-7", "F7"])]
     d = keys.parsed(spark.createDataFrame(rows, "song long, i int, token string"))
