@@ -64,13 +64,15 @@ def context_sparsity(df: DataFrame, keys: list[str], order: list[str], symbol: s
     """How well two-symbol contexts are observed: their number, median count, share of those seen at
     least ``least`` times, and the mass of the 50 commonest."""
     c = ngrams(df, keys, order, symbol, 3).groupBy("s0", "s1").agg(F.count("*").alias("n"))
-    c = c.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), "s0", "s1")))
-    return c.agg(
+    top = c.orderBy(F.desc("n"), "s0", "s1").limit(50).agg(F.sum("n").alias("_top"))
+    out = c.agg(
         F.count("*").alias("contexts"),
         F.median("n").alias("median_n"),
         F.avg((F.col("n") >= least).cast("double")).alias("share_seen"),
-        (F.sum(F.when(F.col("_r") <= 50, F.col("n"))) / F.sum("n")).alias("top50_mass"),
+        F.sum("n").alias("_n"),
     )
+    # One row each.
+    return out.crossJoin(top).select("contexts", "median_n", "share_seen", (F.col("_top") / F.col("_n")).alias("top50_mass"))
 
 
 def change_by_phase(df: DataFrame, keys: list[str], order: list[str], symbol: str, beat: str, period: int) -> DataFrame:
@@ -114,6 +116,25 @@ def calibration_error(df: DataFrame, confidence: str, correct: str, bins: int =
     return r.filter(F.col("n") >= least).agg(F.coalesce(F.sum(F.col("n") / F.col("_all") * F.abs(F.col("confidence") - F.col("accuracy"))), F.lit(0.0)).alias("ece"))
 
 
+def _below(n: DataFrame, score: str, values: list[str], ranges: int = 200) -> DataFrame:
+    """``n`` with, for each of ``values``, its sum over smaller scores (_below) and over all (_all).
+
+    Scores are distinct; null is the smallest. They are cut into ranges of about equal numbers, summed inside
+    each range, and added to the sums of the ranges before: only these go through one task.
+    """
+    x = F.col(score).cast("double")
+    edges = n.agg(F.percentile_approx(x, [k / ranges for k in range(1, ranges)])).first()[0] or []
+    known = F.array(*[F.lit(float(e)) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>")
+    n = n.withColumn("_b", F.when(x.isNull(), -1).otherwise(F.size(F.filter(known, lambda e: e <= x))))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = n.groupBy("_b").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    before = {f"_{v}_before": F.coalesce(F.sum(f"_{v}").over(upto(Window.orderBy("_b"))), F.lit(0)) for v in values}
+    sums = sums.withColumns(before | {f"{v}_all": F.sum(f"_{v}").over(Window.partitionBy()) for v in values}).drop(*[f"_{v}" for v in values])
+    inside = {v: F.coalesce(F.sum(v).over(upto(Window.partitionBy("_b").orderBy(score))), F.lit(0)) for v in values}
+    out = n.withColumns({f"_{v}_in": c for v, c in inside.items()}).join(F.broadcast(sums), "_b")
+    return out.withColumns({f"{v}_below": F.col(f"_{v}_before") + F.col(f"_{v}_in") for v in values})
+
+
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Area under the ROC curve; ties count half. Null without both classes.
 
@@ -121,18 +142,18 @@ def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """
     n = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("pos"), F.count("*").alias("n"))
     n = n.withColumn("neg", F.col("n") - F.col("pos"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = n.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    won = _below(n, "s", ["neg"]).withColumn("won", F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
     return won.agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def roc_points(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Threshold, true and false positive rates and precision for every distinct score, highest first."""
     n = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("n"))
-    w, all_ = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    tp, seen = F.sum("p").over(w), F.sum("n").over(w)
-    pos, neg = F.sum("p").over(all_), F.sum(F.col("n") - F.col("p")).over(all_)
-    return n.select("threshold", (tp / pos).alias("tpr"), ((seen - tp) / neg).alias("fpr"), (tp / seen).alias("precision"))
+    n = _below(n, "threshold", ["p", "n"])
+    tp, seen = F.col("p_all") - F.col("p_below"), F.col("n_all") - F.col("n_below")
+    pos, neg = F.col("p_all"), F.col("n_all") - F.col("p_all")
+    out = n.select("threshold", (tp / pos).alias("tpr"), ((seen - tp) / neg).alias("fpr"), (tp / seen).alias("precision"))
+    return out.orderBy(F.desc("threshold"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from ostinato.operators import decode, keys, motifs, structure
+from ostinato.operators import decode, keys, motifs, stats, structure
 from ostinato.plans import queries
 from ostinato.sources import labels
 from ostinato.streaming import loops
@@ -78,6 +78,36 @@ def test_similarity_of_far_repeats(spark):
         assert got[1, 30][0] > 0.9
 
 
+def test_ranks_of_many_scores_in_ranges(spark):
+    rng = np.random.default_rng(9)
+    x, y = np.append(rng.normal(size=1500), np.repeat(0.25, 40)), rng.integers(0, 2, 1540)
+    d = spark.createDataFrame([(float(s), int(p)) for s, p in zip(x, y, strict=True)] + [(None, 1), (None, 0)], "s double, p int")
+    s, p = np.append(x, [-99.0, -99.0]), np.append(y, [1, 0])
+    won = (s[p == 1][:, None] > s[p == 0]).mean() + (s[p == 1][:, None] == s[p == 0]).mean() / 2
+    out = stats.auc(d, "s", "p")
+    assert np.isclose(out.first().auc, won)
+    # No window runs over all scores in one task.
+    assert "windowspecdefinition(s#" not in out._jdf.queryExecution().optimizedPlan().toString()
+    points = stats.roc_points(d, "s", "p").collect()
+    assert [r.threshold for r in points] == [*sorted(set(x.tolist()), reverse=True), None]
+    for r in points[::100] + points[-1:]:
+        at = s >= (-99.0 if r.threshold is None else r.threshold)
+        assert np.allclose([r.tpr, r.fpr, r.precision], [p[at].sum() / p.sum(), (1 - p)[at].sum() / (1 - p).sum(), p[at].mean()])
+    assert stats.auc(d.filter("p = 2"), "s", "p").first().auc is None
+
+
+def test_contexts_are_ranked_without_one_window(spark):
+    d = spark.createDataFrame([(k, i, f"{k}{'abcd'[i % 4]}") for k in range(20) for i in range(4 + k)], "song long, i long, s string")
+    out = stats.context_sparsity(d, ["song"], ["i"], "s")
+    n = {}
+    for k in range(20):
+        for i in range(2 + k):
+            n[k, i % 4] = n.get((k, i % 4), 0) + 1
+    got = out.first()
+    assert got.contexts == len(n) and np.isclose(got.top50_mass, sum(sorted(n.values())[-50:]) / sum(n.values()))
+    assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_label_readers(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "x.lab").write_text("0.0 1.5 C:min7\n1.5 2 N\nbad line here\n2 3 X\n3 4\n")
