@@ -48,15 +48,24 @@ def give_back() -> None:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the shared checkpoint folder, with its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is set only where
-    the session names none, as in tests on one machine.
+    The folder is the session's ``spark.checkpoint.dir``. Where the session names none, a session on one
+    machine (as in tests) gets a temporary one, and a cluster an error: its machines share no temporary folder.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ostinato-"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession.conf.get("spark.checkpoint.dir", None), sc.master))
     return df.checkpoint(eager=True)
 
 
+def checkpoint_folder(named: str | None, master: str) -> str:
+    """The folder that the session names, a temporary one for a master on one machine, else ValueError."""
+    if named:
+        return named
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return tempfile.mkdtemp(prefix="ostinato-")
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``: the fold that splits training rows from held-out ones."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
@@ -121,11 +130,12 @@ def pieces_of(batch: pa.RecordBatch, columns: list[int], limit: int = 2 << 20):
             yield batch.slice(a, b - a)
 
 
-def map_texts(documents: DataFrame, make, fields: str, keep: list[str] | None = None) -> DataFrame:
+def map_texts(documents: DataFrame, make, fields: str, keep: list[str] | None = None, many: bool = False) -> DataFrame:
     """``documents`` as the columns ``keep`` (doc_id by default, as long) and new ``fields`` made from the texts.
 
-    ``make()`` runs once a task and returns a function from a list of texts to a list of columns. One
-    map over the scan, in Arrow batches of which about 2 MB are worked on at once; the kept columns pass through unchanged, so nulls and large
+    ``make()`` runs once a task and returns a function from a list of texts to a list of columns; with
+    ``many`` to the index of each result's text and the results' columns. One map over the scan, in Arrow batches
+    of which about 2 MB are worked on at once; the kept columns pass through unchanged, so nulls and large
     integers stay what they are, and columns that are not kept don't reach Python.
     """
     kept = [F.col("doc_id").cast("long").alias("doc_id")] if keep is None else [F.col(c) for c in keep]
@@ -137,24 +147,36 @@ def map_texts(documents: DataFrame, make, fields: str, keep: list[str] | None =
         work = make()
         for batch in batches:
             last = batch.num_columns - 1
-            part = new = columns = None
+            part = new = columns = old = None
             for part in pieces_of(batch, [last]):
                 new = work(part.column(last).to_pylist())
+                old = part.columns[:-1]
+                if many:
+                    at, new = new
+                    old = [c.take(pa.array(at, pa.int64())) for c in old]
                 columns = [pa.array(x, t, from_pandas=True) for x, t in zip(new, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*part.schema.names[:-1], *added.names])
-            del batch, part, new, columns
+                yield pa.RecordBatch.from_arrays([*old, *columns], names=[*part.schema.names[:-1], *added.names])
+            del batch, part, new, columns, old
             give_back()
 
     return chosen.mapInArrow(run, StructType([f for f in chosen.schema if f.name != "_text"] + added.fields))
 
 
-def without_ids(documents: DataFrame, ids: DataFrame, broadcast_upto: int = 500_000) -> DataFrame:
-    """The rows of ``documents`` whose doc_id isn't in ``ids``; rows with null ids stay.
+def text_hash(text: Column | str = "text") -> Column:
+    """A digest that with the id tells a row: rows that agree on both are repeated."""
+    return F.xxhash64(text)
+
+
+def without_rows(documents: DataFrame, rows: DataFrame, broadcast_upto: int = 500_000) -> DataFrame:
+    """The rows of ``documents`` whose doc_id and text aren't those of one of ``rows`` (doc_id, text_hash).
 
-    Up to ``broadcast_upto`` distinct ids (4 MB) are broadcast; a longer list is joined by a shuffle.
+    Null ids equal null ids, so a row is told by its text where its id is null or repeated. Up to ``broadcast_upto``
+    distinct rows (8 MB) are broadcast; a longer list is joined by a shuffle.
     """
-    ids = cut(ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct())
-    return documents.join(F.broadcast(ids) if ids.count() <= broadcast_upto else ids, "doc_id", "left_anti").select(documents.columns)
+    gone = cut(rows.select(F.col("doc_id").cast("long").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= broadcast_upto else gone
+    same = documents["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_hash(documents["text"]) == F.col("_hash"))
+    return documents.join(gone, same, "left_anti").select(documents.columns)
 
 
 def key_runs(batches, keys: list[str]):
@@ -179,16 +201,21 @@ def key_runs(batches, keys: list[str]):
         yield held
 
 
-def in_blocks(members: DataFrame, keys: list[str], size: str, node: str, block: int) -> DataFrame:
+def in_blocks(members: DataFrame, keys: list[str], node: list[str], block: int, rest: str, main: str | None = None, is_main: str | None = None) -> DataFrame:
     """``members`` of groups cut into blocks, repeated once for each pair of blocks they take part in.
 
-    Groups of up to ``block`` rows (column ``size``) are one block, paired with itself (bi = bj = 0). A
-    larger group has b blocks by the hash of ``node`` and b(b+1)/2 pairs, each of about two blocks, so any
-    two members meet in one pair at least and no task needs a whole group.
+    ``rest`` and ``main`` name columns with the sizes of a group's two parts; members of ``main`` (for which ``is_main``
+    holds) needn't meet each other. A group of up to ``block`` in all is one block, paired with itself (bi = bj = 0).
+    In a larger one the rest has r blocks by the hash of ``node`` and main m; every pair of blocks meets that
+    has one of the rest at least, so no task needs a whole group, and the many of main are repeated r times only.
     """
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    out = members.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64(node), F.col("_n")).cast("int"))
-    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    out = out.withColumns({"bi": F.least("_b", "_o"), "bj": F.greatest("_b", "_o"), "own": F.col("_b")})
-    out = out.drop("_n", "_b", "_o")
+    big, total = (F.col(main) if main else F.lit(0)), (F.col(rest) + (F.col(main) if main else F.lit(0)))
+    count = lambda size: F.ceil(size / F.lit(block)).cast("int")
+    r = F.when(total <= block, 1).otherwise(F.greatest(F.lit(1), count(F.col(rest))))
+    m = F.when(total <= block, 0).otherwise(count(big))
+    out = members.withColumns({"_r": r, "_m": m, "_h": F.xxhash64(*node), "_main": (F.col(is_main) if is_main else F.lit(False))})
+    out = out.withColumn("_main", F.col("_main") & (F.col("_m") > 0))
+    out = out.withColumn("own", F.when(F.col("_main"), F.col("_r") + F.pmod("_h", F.greatest(F.col("_m"), F.lit(1)))).otherwise(F.pmod("_h", F.col("_r"))).cast("int"))
+    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.when(F.col("_main"), F.col("_r")).otherwise(F.col("_r") + F.col("_m")) - 1)))
+    out = out.withColumns({"bi": F.least("own", "_o"), "bj": F.greatest("own", "_o")}).drop("_r", "_m", "_h", "_main", "_o")
     return out.repartition(*keys, "bi", "bj").sortWithinPartitions(*keys, "bi", "bj")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.common import WORD_TABLE, give_back
+from ostinato.llm.common import WORD_TABLE, map_texts
 
 #: Folds and splits as WORD_TABLE, for texts that are lower-cased as a whole before.
 BLOCK_BYTES = 32 << 20  # benchmark text that one pass over the documents looks for
@@ -117,42 +116,44 @@ def _blocks(benchmark: DataFrame, min_words: int):
         yield [(i, w) for i, w in words if len(w) >= min_words]
 
 
-def find(documents: DataFrame, benchmark: DataFrame, error_share: float = 0.2, min_words: int = 5) -> DataFrame:
+def find(documents: DataFrame, benchmark: DataFrame, error_share: float = 0.2, min_words: int = 5, keep: list[str] | None = None) -> DataFrame:
     """Every pair of a document and a benchmark item that it contains within the item's error budget.
 
-    Returns doc_id, item_id, distance (least number of inserted, deleted or replaced words), budget
-    (``error_share`` of the item's words, rounded down), start and end (the best place's words, from 0;
+    Returns ``keep`` (doc_id by default), item_id, distance (least number of inserted, deleted or replaced words),
+    budget (``error_share`` of the item's words, rounded down), start and end (the best place's words, from 0;
     the first among equals). Several item rows with one id are looked for each, and the best one counts.
 
     A document's row, however long, is handled whole; repeated document rows repeat their pairs. Null
     and empty documents contain nothing; items that are null or of fewer than ``min_words`` words would
-    match anywhere and are not looked for. The benchmark is taken in blocks of about 32 MB, each broadcast
-    for one map over the documents, without a shuffle.
+    match anywhere and are not looked for (set it to 1 to look for all). The benchmark is taken in blocks of about
+    32 MB, each broadcast for one map over the documents, without a shuffle.
     """
-    schema = "doc_id string, item_id long, distance int, budget int, start long, end long"
-    slim = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    fields = "item_id long, distance int, budget int, start long, end long"
     spark, parts = documents.sparkSession, []
     for items in _blocks(benchmark, min_words):
         shared = spark.sparkContext.broadcast(items)
 
-        def run(batches, shared=shared):
+        def make(shared=shared):
             index = PieceIndex(shared.value, error_share)
-            for pdf in batches:
-                rows = []
-                for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+
+            def run(texts):
+                at, rows = [], []
+                for i, text in enumerate(texts):
                     best: dict[int, tuple] = {}
                     for k, distance, a, b in index.search(words_of(text)):
-                        row = (doc_id, index.items[k][0], distance, index.budget[k], a, b)
-                        if row[1] not in best or distance < best[row[1]][2]:
-                            best[row[1]] = row
+                        row = (index.items[k][0], distance, index.budget[k], a, b)
+                        if row[0] not in best or distance < best[row[0]][1]:
+                            best[row[0]] = row
                     rows += best.values()
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "budget", "start", "end"])
-            give_back()
+                    at += [i] * len(best)
+                return at, list(zip(*rows, strict=True)) or [[]] * 5
+
+            return run
 
-        parts.append(slim.mapInPandas(run, schema))
+        parts.append(map_texts(documents, make, fields, keep, many=True))
     if not parts:
-        return spark.createDataFrame([], schema.replace("doc_id string", "doc_id long"))
+        return map_texts(documents.limit(0), lambda: lambda texts: ([], [[]] * 5), fields, keep, many=True)
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return out

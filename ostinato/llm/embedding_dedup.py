@@ -17,8 +17,9 @@ BLOCK = 2048  # vectors of a bucket that are compared at once
 
 def table_shape(n: int, threshold: float, miss: float) -> tuple[int, int]:
     """(bits, tables) for n vectors: buckets of unrelated vectors stay small, and a pair at the
-    threshold shares no bucket with probability at most ``miss``."""
-    bits = min(24, max(10, math.ceil(math.log2(max(n, 2))) + 3))
+    threshold shares no bucket with probability at most ``miss``. Signs of a table fill at most 30 bits, enough
+    for 2**27 vectors at an eighth of a vector a bucket; beyond, buckets grow with the input and are cut into blocks."""
+    bits = min(30, max(10, math.ceil(math.log2(max(n, 2))) + 3))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - same))
 
@@ -105,7 +106,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, miss: float
     keyed = classes.select("rep", "d", F.posexplode("sig").alias("t", "s"))
     buckets = keyed.groupBy("t", "s", "d").agg(F.count("*").alias("n")).filter("n > 1")
     members = keyed.join(buckets, ["t", "s", "d"]).join(classes.select("rep", "copies", e, "sig"), "rep")
-    blocks = in_blocks(members, ["t", "s", "d"], "n", "rep", BLOCK)
+    blocks = in_blocks(members, ["t", "s", "d"], ["rep"], BLOCK, "n")
     found = cut(blocks.mapInPandas(_compare(threshold), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -21,7 +21,6 @@ REGISTERS = BANDS * ROWS
 BASE, RATE = 1.12, 20.0
 BLOCK = 1024  # classes of a bucket that are compared at once
 WORDS_A_MEMBER = 400  # shingles that count as one of these classes
-_MOST_DIFFERENT = 50  # of REGISTERS; at a similarity of 0.7 about 42 differ
 BROADCAST_IDS = 500_000  # ids (8 bytes each) up to which a list of documents is broadcast
 _TEXT_BYTES = 1 << 20  # text hashed at once
 _U = np.uint64
@@ -143,8 +142,18 @@ def likely_jaccard(larger, smaller, n_a, n_b) -> np.ndarray:
     return _GRID[np.where(most + 0.005 >= _GRID, fit, -np.inf).argmax(axis=-1)]
 
 
-def sketch_documents(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the shingle set (h1, h2) and its registers, for every row."""
+def most_different(percent: int) -> int:
+    """Of REGISTERS so many may differ between sets of this similarity: 7 standard deviations above the mean.
+
+    A pair at the threshold exceeds it with a probability of about 1e-9; at 85 it is 50, at 80 61.
+    """
+    same = percent / 100
+    p = 2 * float(_differ(np.array((1 - same) / 2)))
+    return math.ceil(REGISTERS * p + 7 * math.sqrt(REGISTERS * p * (1 - p)))
+
+
+def sketch_documents(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (doc_id by default), n_shingles, a 128-bit digest of the shingle set (h1, h2) and its registers, for every row."""
 
     def make():
         def run(texts):
@@ -154,7 +163,7 @@ def sketch_documents(documents: DataFrame) -> DataFrame:
 
         return run
 
-    return map_texts(documents, make, "n_shingles long, h1 long, h2 long, registers binary")
+    return map_texts(documents, make, "n_shingles long, h1 long, h2 long, registers binary", keep)
 
 
 def _digests(sets) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +193,8 @@ def _within(percent: int, n_a, n_b):
 def _candidates(r: np.ndarray, n: np.ndarray, i: int, among: np.ndarray, percent: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
     """Those of the rows ``among`` that may link with row i by their registers, and their estimates."""
     j = among[_within(percent, n[among], n[i])]
-    # Far fewer registers differ at such a similarity; the likelihood is left to the rest.
-    j = j[(r[j] != r[i]).sum(axis=1) <= _MOST_DIFFERENT]
+    # Few registers differ at such a similarity; the likelihood is left to those pairs.
+    j = j[(r[j] != r[i]).sum(axis=1) <= most_different(percent)]
     if not len(j):
         return j, np.zeros(0)
     s = likely_jaccard((r[i] > r[j]).sum(axis=1), (r[i] < r[j]).sum(axis=1), np.full(len(j), n[i]), n[j])
@@ -194,7 +203,7 @@ def _candidates(r: np.ndarray, n: np.ndarray, i: int, among: np.ndarray, percent
 
 
 def _chosen_band(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
-    """Of the bands that each pair shares the one in which it is looked at, chosen by a hash of its ids."""
+    """Of the bands that each pair shares the one in which it is looked at, chosen by a hash of its sets' digests."""
     bands = REGISTERS // rows
     shared = (x == y)[:, : bands * rows].reshape(len(x), bands, rows).all(axis=2)
     low, high = np.minimum(a, b).astype(_U), np.maximum(a, b).astype(_U)
@@ -202,32 +211,55 @@ def _chosen_band(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, row
     return (shared.cumsum(axis=1) > nth[:, None]).argmax(axis=1)
 
 
-def _links_in_blocks(percent: int, slack: float, rows: int):
-    """Verified links between different components in each block of a bucket: a spanning forest of them."""
-
-    def run(batches):
-        for g in key_runs(batches, ["key", "bi", "bj"]):
-            links = _forest(g, percent, slack, rows)
-            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-        give_back()
-
-    return run
+_BLOCK_KEYS = ["key", "bi", "bj"]
 
 
-def _forest(g: pd.DataFrame, percent: int, slack: float, rows: int) -> list[tuple[int, int]]:
-    r, n, rep = _registers(g["registers"]), g["n_shingles"].to_numpy(), g["rep"].to_numpy()
+def _likely_pairs(g: pd.DataFrame, percent: int, slack: float, rows: int) -> list[tuple[float, int, int]]:
+    """(estimate, i, j) of the rows of a block that may link two components, by their registers alone."""
+    r, n, h1 = _registers(g["registers"]), g["n_shingles"].to_numpy(), g["h1"].to_numpy()
     own, band, across = g["own"].to_numpy(), g["band"].iloc[0], g["bi"].iloc[0] != g["bj"].iloc[0]
-    _, group = np.unique(g["component"].to_numpy(), return_inverse=True)
-    pairs, place = [], np.arange(len(g))
+    group, pairs, place = g["component"].to_numpy(), [], np.arange(len(g))
     for i in range(len(g) - 1):
         open_ = group[i + 1 :] != group[i]
         if across:
             open_ &= own[i + 1 :] != own[i]
+        if not open_.any():
+            continue
         j, s = _candidates(r, n, i, place[i + 1 :][open_], percent, slack)
         if len(j):
-            here = _chosen_band(r[j], r[[i]], rep[j], np.full(len(j), rep[i]), rows) == band
+            here = _chosen_band(r[j], r[[i]], h1[j], np.full(len(j), h1[i]), rows) == band
             pairs += zip(s[here].tolist(), [i] * int(here.sum()), j[here].tolist(), strict=True)
-    texts, h1, sets, root, out = g["text"].tolist(), g["h1"].tolist(), {}, list(range(int(group.max()) + 1)), []
+    return pairs
+
+
+def _rows_of_likely_pairs(percent: int, slack: float, rows: int):
+    """The rows of each block that take part in a likely pair of two components: only they need their texts."""
+
+    def run(batches):
+        for g in key_runs(batches, _BLOCK_KEYS):
+            pairs = _likely_pairs(g, percent, slack, rows) if g["component"].nunique() > 1 else []
+            if pairs:
+                yield g.iloc[sorted({k for _, i, j in pairs for k in (i, j)})]
+        give_back()
+
+    return run
+
+
+def _links_in_blocks(percent: int, slack: float, rows: int):
+    """Verified links between different components in each block of a bucket: a spanning forest of them."""
+
+    def run(batches):
+        for g in key_runs(batches, _BLOCK_KEYS):
+            yield pd.DataFrame(_forest(g, percent, slack, rows), columns=["a", "a_h1", "b", "b_h1"], dtype="int64")
+        give_back()
+
+    return run
+
+
+def _forest(g: pd.DataFrame, percent: int, slack: float, rows: int) -> list[tuple[int, int, int, int]]:
+    rep, h1 = g["rep"].tolist(), g["h1"].tolist()
+    _, group = np.unique(g["component"].to_numpy(), return_inverse=True)
+    texts, sets, root, out = g["text"].tolist(), {}, list(range(int(group.max()) + 1)), []
 
     def top(k: int) -> int:
         while root[k] != k:
@@ -242,11 +274,11 @@ def _forest(g: pd.DataFrame, percent: int, slack: float, rows: int) -> list[tupl
             sets[i] = found[0] if _digests(found)[0][0] == h1[i] else np.zeros(0, dtype=_U)
         return sets[i]
 
-    for _, i, j in sorted(pairs, reverse=True):  # likely links first: they spare the rest of their components
+    for _, i, j in sorted(_likely_pairs(g, percent, slack, rows), reverse=True):  # likely links first: they spare the rest of their components
         u, v = top(group[i]), top(group[j])
         if u != v and _linked(set_of(i), set_of(j), percent):
             root[max(u, v)] = min(u, v)
-            out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+            out.append((rep[i], h1[i], rep[j], h1[j]))
     return out
 
 
@@ -272,7 +304,7 @@ def _verify(percent: int):
                     x, y = of[x], of[y]
                     if right[x] and right[y] and _linked(sets[x], sets[y], percent):
                         good.append(i)
-                yield part.select(["a", "b"]).take(pa.array(good, pa.int64()))
+                yield part.select(["a", "a_h1", "b", "b_h1"]).take(pa.array(good, pa.int64()))
             give_back()
 
     return run
@@ -284,58 +316,76 @@ def _texts(documents: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, slack: float = 0.1, band_rows: int = ROWS) -> DataFrame:
+_LINK = "a long, a_h1 long, b long, b_h1 long"
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(rep, h1, component) of the classes in ``links``; a class is told by its first id and its set's digest."""
+    node = lambda s: F.struct(F.col(s).alias("rep"), F.col(f"{s}_h1").alias("h1"))
+    return connected_components(links.select(node("a").alias("a"), node("b").alias("b"))).select("node.*", "component")
+
+
+def near_duplicates(documents: DataFrame, percent: int = 85, slack: float = 0.1, band_rows: int = ROWS, keep: list[str] | None = None) -> DataFrame:
     """Every row of ``documents`` with its near-duplicate component: doc_id, n_shingles, component_id, kept.
 
     Documents link if 100 * shared >= ``percent`` * united of their 5-word shingle sets, and component_id is
     the smallest id reachable. kept says that it is the row's own id. Documents without words link with
     nothing. Repeated rows are returned each; rows that share an id but not the text link by their own
-    sets; null ids link with nothing and are kept. Other columns are dropped.
+    sets alone; null ids link with nothing and are kept. Other columns are dropped, but for those in ``keep`` (which must name
+    doc_id), beside which h1 (a digest of the row's set) and leads (whether the component was begun by that set) are returned.
 
     Equal sets are one class from the start. Classes that share a band of ``band_rows`` registers are candidates,
     filtered by the likelihood estimate (``slack`` is more than three standard errors) and confirmed on full
-    sets: first each class with the likeliest of its buckets' smallest members; then, only in buckets
-    that still hold several components, every likely pair between components, in blocks of bounded size that
-    hold the members' texts and return verified links alone, at most one less than their components. So
+    sets: first each class with the likeliest of its buckets' first members; then, only in buckets
+    that still hold several components, every likely pair between components, in blocks of bounded size. These
+    blocks hold registers; members of a bucket's largest component meet the others only, and no texts but those
+    of likely pairs are fetched. They return verified links alone, at most one less than their components. So
     no link that could join two components is left untested, and no pairs are written out.
     """
-    rows = cut(sketch_documents(documents))
+    rows = cut(sketch_documents(documents, keep))
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles")
     classes = cut(classes.agg(F.min("doc_id").alias("rep"), F.any_value("registers").alias("registers")))
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("registers", i * band_rows + 1, band_rows)).alias("key")) for i in range(REGISTERS // band_rows)])
-    banded = classes.select("rep", "n_shingles", F.explode(bands).alias("x")).select("rep", "n_shingles", "x.*")
-    # The size of a bucket, by which it is cut into blocks, counts members and, where they are long, words.
-    size = F.greatest(F.count("*"), F.floor(F.sum("n_shingles") / WORDS_A_MEMBER))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n"), size.alias("size")).filter("n > 1").drop("n")
-    members = cut(banded.drop("n_shingles").join(buckets, "key"))
+    banded = classes.select("rep", "h1", "n_shingles", F.explode(bands).alias("x")).select("rep", "h1", "n_shingles", "x.*")
+    buckets = banded.groupBy("key").agg(F.min(F.struct("rep", "h1")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = cut(banded.join(buckets, "key"))
     info = classes.select("rep", "h1", "n_shingles", "registers")
     side = lambda s: info.select(*[F.col(c).alias(s if c == "rep" else f"{s}_{c}") for c in info.columns])
 
-    star = members.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(side("a"), "a").join(side("b"), "b").filter(_within(percent, F.col("a_n_shingles"), F.col("b_n_shingles")))
+    star = members.filter("rep <> first.rep or h1 <> first.h1").select(F.col("first.rep").alias("a"), F.col("first.h1").alias("a_h1"), F.col("rep").alias("b"), F.col("h1").alias("b_h1")).distinct()
+    star = star.join(side("a"), ["a", "a_h1"]).join(side("b"), ["b", "b_h1"]).filter(_within(percent, F.col("a_n_shingles"), F.col("b_n_shingles")))
     star = star.withColumn("s", _estimate("a_registers", "b_registers", "a_n_shingles", "b_n_shingles")).filter(F.col("s") >= percent / 100 - slack)
-    tested = star.groupBy("b").agg(F.max_by(F.struct("a", "a_h1", "b_h1"), F.struct("s", -F.col("a"))).alias("x")).select("b", "x.*")
+    tested = star.groupBy("b", "b_h1").agg(F.max_by(F.struct("a", "a_h1"), F.struct("s", -F.col("a"), "a_h1")).alias("x")).select("b", "b_h1", "x.*")
     tested = cut(tested)
     ids = cut(tested.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = _texts(documents, ids, ids.count())
     for s in ("a", "b"):
         tested = tested.join(texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"{s}_text")), s)
-    links = cut(tested.mapInArrow(_verify(percent), "a long, b long").distinct())
-    components = connected_components(links)
+    links = cut(tested.mapInArrow(_verify(percent), _LINK).distinct())
+    components = _components(links)
 
-    placed = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").drop("first")
-    placed = placed.withColumn("component", F.coalesce("component", "rep"))
+    placed = members.join(components, ["rep", "h1"], "left").drop("first")
+    placed = placed.withColumn("component", F.xxhash64(F.coalesce("component", F.struct("rep", "h1"))))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     open_ = cut(placed.join(mixed, "key"))
-    ids = cut(open_.select(F.col("rep").alias("doc_id")).distinct())
+    # Sizes, by which buckets are cut into blocks, count members and, where they are long, words.
+    of = open_.groupBy("key", "component").agg(F.sum(F.greatest(F.lit(1.0), F.col("n_shingles") / WORDS_A_MEMBER)).alias("size"))
+    of = of.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("_main"), F.max("size").alias("main"), (F.sum("size") - F.max("size")).alias("rest"))
+    sized = open_.join(of, "key").withColumn("is_main", F.col("component") == F.col("_main")).join(info.drop("n_shingles"), ["rep", "h1"])
+    blocks = in_blocks(sized, ["key"], ["rep", "h1"], BLOCK, "rest", "main", "is_main").select("key", "bi", "bj", "own", "band", "rep", "h1", "n_shingles", "component", "registers")
+    likely = cut(blocks.mapInPandas(_rows_of_likely_pairs(percent, slack, band_rows), blocks.schema))
+    ids = cut(likely.select(F.col("rep").alias("doc_id")).distinct())
     texts = _texts(documents, ids, ids.count()).withColumnRenamed("doc_id", "rep")
-    blocks = in_blocks(open_.join(info.join(texts, "rep"), "rep"), ["key"], "size", "rep", BLOCK)
-    more = cut(blocks.mapInPandas(_links_in_blocks(percent, slack, band_rows), "a long, b long").distinct())
+    likely = likely.join(texts, "rep").repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS)
+    more = cut(likely.mapInPandas(_links_in_blocks(percent, slack, band_rows), _LINK).distinct())
     if not more.isEmpty():
         # Links between components found so far join them as wholes.
-        joined = links.union(more)
-        components = connected_components(joined)
-    known = classes.select("h1", "h2", "n_shingles", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    out = rows.select("doc_id", "n_shingles", "h1", "h2").join(known, ["h1", "h2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        components = _components(links.union(more))
+    known = classes.select("h1", "h2", "n_shingles", "rep").join(components, ["rep", "h1"], "left")
+    out = rows.drop("registers").join(known, ["h1", "h2", "n_shingles"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component.rep", "rep", "doc_id"))
+    out = out.withColumn("component_id", component)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    if keep is None:
+        return out.select("doc_id", "n_shingles", "component_id", kept)
+    return out.select(*keep, "n_shingles", "component_id", kept, "h1", F.coalesce(F.col("h1") == F.col("component.h1"), F.lit(True)).alias("leads"))
