@@ -13,7 +13,9 @@ from ostinato.llm.common import fold, map_texts
 
 DIMS = 4096
 UNKNOWN = "und"
-_LETTER_RUNS = re.compile(r"[^\W\d_]+")
+#: Signs such as fractions, superscripts and Roman numerals: word characters for ``re``, but no letters.
+_NUMBER_SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_LETTER_RUNS = re.compile(rf"[^\W\d_{_NUMBER_SIGNS}]+")
 _BLOCK = 1 << 20  # letters handled at once: bounds memory on very long texts
 
 
