@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ostinato.llm.common import cut
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this public vocabulary splits text before merging bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,9 +55,10 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     Returns length, n_docs, docs_le and docs_ge (documents no longer and no shorter), total_tokens
     (of all documents), tokens_le (of documents no longer) and truncated_total (every document cut
     to L tokens). Sums run over blocks of 4,096 lengths, then over the few block totals, so no task holds the
-    whole histogram. An empty histogram gives no rows.
+    whole histogram. An empty histogram gives no rows. The histogram is used twice, so it is stored first: texts
+    are encoded once.
     """
-    h = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.expr(f"length div {_BLOCK}").alias("block"))
+    h = cut(histogram).select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.expr(f"length div {_BLOCK}").alias("block"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
