@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +18,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = 1 << 17  # characters indexed at once
 CACHED = 30_000  # segments whose pieces a worker keeps
+KEPT = 1024  # characters up to which it keeps a segment's
 LONG = 96  # characters from which a segment is merged by a heap instead of in step with others
 _NONE = np.int32(2**31 - 1)
 
@@ -134,29 +136,34 @@ class PieceMatcher:
         return np.concatenate(done_b or [begin]), np.concatenate(done_e or [end])
 
     def _by_heap(self, table, a: int, b: int):
-        """The merges of one long segment, by a heap of neighbouring pairs."""
-        end, left, right = {i: i + 1 for i in range(a, b)}, {i: i - 1 for i in range(a, b)}, {i: i + 1 for i in range(a, b)}
-        heap: list[tuple[int, int, int]] = []
+        """The merges of one long segment, by a heap of neighbouring pairs; flat arrays hold the neighbours."""
+        n = b - a
+        end, left = array("q", range(1, n + 1)), array("q", range(-1, n - 1))  # of each character that begins a piece
+        whole, width = bytearray(b"\1") * n, self.width
+        heap: list[int] = []
 
         def offer(i: int, j: int) -> None:
-            if i >= a and j < b and end[j] - i <= self.width and (p := table[i, end[j] - i]) != _NONE:
-                heapq.heappush(heap, (int(self.rank[p]), i, end[j]))
+            """The pair of the pieces at i and j: its rank, place and length as one number, in this order."""
+            size = end[j] - i
+            if size <= width and (p := table[a + i, size]) != _NONE:
+                heapq.heappush(heap, (int(self.rank[p]) * n + i) * (width + 1) + size)
 
-        for i in range(a, b - 1):
+        for i in range(n - 1):
             offer(i, i + 1)
         while heap:
-            _, i, e = heapq.heappop(heap)
-            j = right.get(i)
-            if i not in end or j is None or j >= b or end[j] != e or end[i] != j:
+            at, size = divmod(heapq.heappop(heap), width + 1)
+            i = at % n
+            j = end[i]
+            if not whole[i] or j >= n or end[j] != i + size:
                 continue
-            end[i], right[i] = e, right.pop(j)
-            del end[j], left[j]
-            if right[i] < b:
-                left[right[i]] = i
-                offer(i, right[i])
-            offer(left[i], i)
-        begin = np.array(sorted(end), dtype=np.int64)
-        return begin, np.array([end[i] for i in begin.tolist()], dtype=np.int64)
+            end[i], whole[j] = end[j], 0
+            if end[i] < n:
+                left[end[i]] = i
+                offer(i, end[i])
+            if left[i] >= 0:
+                offer(left[i], i)
+        begin = np.flatnonzero(np.frombuffer(whole, dtype=np.uint8))
+        return begin + a, np.frombuffer(end, dtype=np.int64)[begin] + a
 
     def _pieces(self, segments: list[str]) -> list[bytes]:
         """Ids of each segment, as bytes of 32-bit integers."""
@@ -191,9 +198,35 @@ class PieceMatcher:
                 out.append(ids[a:b].tobytes())
         return out
 
+    def stretches(self, segment: str) -> list[str]:
+        """A segment cut where no piece's occurrence spans the place, so that no merge can: these encode on their own.
+
+        Occurrences are looked for in windows of CHUNK characters, which overlap by a piece's length. What has no such
+        place for longer than CHUNK (one letter repeated, say) stays whole and is merged by a heap.
+        """
+        if len(segment) <= CHUNK:
+            return [segment]
+        spanned = np.zeros(len(segment) + self.width + 1, dtype=np.int32)
+        for at in range(0, len(segment), CHUNK):
+            part = segment[at : at + CHUNK + self.width]
+            table = self.edges(self.letter[np.frombuffer(part.encode("utf-32-le", "replace"), dtype=np.uint32)])[:CHUNK]
+            place, size = np.nonzero(table[:, 2:] != _NONE)
+            np.add.at(spanned, at + place + 1, 1)  # the places inside a piece of size + 2 characters
+            np.add.at(spanned, at + place + size + 2, -1)
+        free = np.flatnonzero(np.cumsum(spanned)[: len(segment)] == 0)
+        free = free[free > 0]
+        out, begin = [], 0
+        while begin < len(segment):
+            k = np.searchsorted(free, begin + CHUNK, side="right")
+            near = free[k - 1] if k and free[k - 1] > begin else free[k] if k < len(free) else len(segment)
+            out.append(segment[begin : int(near)])
+            begin = int(near)
+        return out
+
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text, as bytes of 32-bit integers; null and empty texts have none."""
         parts = [self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        parts = [[x for s in p for x in self.stretches(s)] if any(len(s) > CHUNK for s in p) else p for p in parts]
         if len(self.cache) > CACHED:
             self.cache.clear()
         new = sorted({s for p in parts for s in p} - self.cache.keys())
@@ -204,7 +237,11 @@ class PieceMatcher:
             if n >= CHUNK or i == len(new) - 1:
                 self.cache.update(zip(block, self._pieces(block), strict=True))
                 block, n = [], 0
-        return [b"".join(map(self.cache.__getitem__, p)) for p in parts]
+        out = [b"".join(map(self.cache.__getitem__, p)) for p in parts]
+        for s in new:
+            if len(s) > KEPT:  # seldom met again
+                del self.cache[s]
+        return out
 
 
 def encode(documents: DataFrame, model: str = MODEL, keep: list[str] | None = None) -> DataFrame:
