@@ -63,6 +63,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of the base phrases alone, which SQL can check."""
+    return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -74,5 +79,35 @@ QUERIES = {
     "op8_sentencepieces": op8_sentencepieces,
     "op9_setsketch_near_dedup": op9_setsketch_near_dedup,
     "op10_sharding": op10_sharding,
+    "license_base": license_base,
+}
+
+#: Components by the smallest label that travels along links; every path from a component's smallest id
+#: leads over larger ids only, so labels needn't go to smaller ones.
+_REACHED = """e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r(node, c) AS (SELECT id, id FROM ids UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node AND r.c < e.b),
+    m AS (SELECT node, min(c) AS component_id FROM r GROUP BY 1)"""
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "license_base": f"""WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    b(label, p) AS (VALUES ('mit', ['under', 'the', 'mit', 'license']), ('apache-2', ['apache', 'license', 'version', '2']), ('cc-by-nc', ['cc', 'by', 'nc'])),
+    i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+    f AS (SELECT doc_id, i - 1 AS place, label FROM i JOIN b ON w[i] = p[1] AND list_slice(w, i, i + len(p) - 1) = p),
+    n AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM f GROUP BY 1)
+    SELECT w.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN n USING (doc_id)""",
+    "op3_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+    u AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    l AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+    ids AS (SELECT id FROM v), {_REACHED},
+    d AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+    SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM ids JOIN m ON m.node = id LEFT JOIN d ON d.a = id""",
+    "op9_setsketch_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+    g AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s),
+    p AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+    ids AS (SELECT id FROM w), {_REACHED}
+    SELECT s.id AS doc_id, len(s) AS n_shingles, component_id, s.id = component_id AS kept FROM s JOIN m ON m.node = s.id""",
 }
-ORACLES: dict[str, str] = {}
