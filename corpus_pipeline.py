@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.llm import decontaminate, langid, sentencepieces, setsketch_dedup, toxicity
-from ostinato.llm.common import table, without_ids
+from ostinato.llm.common import cut, table, text_hash, without_rows
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Percent of shared shingles from which documents are near copies. At 80 a pair misses all 28 bands of 5
@@ -28,21 +28,31 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every near-duplicate group; of rows repeating an id and text, one."""
+    """The document of the smallest id of every near-duplicate group.
+
+    Decisions hold for a row's id and text together: of rows that share an id each text is judged on its own, and of
+    rows that repeat both, or an id and a set of shingles, one stays. Rows with null ids stay.
+    """
     docs = docs.select(COLUMNS)
-    found = setsketch_dedup.near_duplicates(docs, percent=NEAR, slack=0.12, band_rows=5)
-    out = without_ids(docs, found.filter("not kept"))
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    found = setsketch_dedup.near_duplicates(docs.withColumn("text_hash", text_hash()), percent=NEAR, slack=0.12, band_rows=5, keep=["doc_id", "text_hash"])
+    found = found.filter("doc_id is not null")
+    lead = found.filter("kept and leads")
+    gone = found.filter("not (kept and leads)").select("doc_id", "text_hash")
+    again = lead.groupBy("doc_id", "h1").agg(F.count("*").alias("n"), F.min("text_hash").alias("stays")).filter("n > 1").drop("n")
+    again = again.join(lead.select("doc_id", "h1", "text_hash"), ["doc_id", "h1"]).select("doc_id", "stays", "text_hash").distinct()
+    again = cut(again)
     if again.isEmpty():
-        return out
-    rest = without_ids(out, again)
-    return rest.union(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(COLUMNS))
+        return without_rows(docs, gone)
+    one = docs.join(again.select("doc_id", F.col("stays").alias("_hash")).distinct(), "doc_id").filter(text_hash() == F.col("_hash"))
+    return without_rows(docs, gone.union(again.select("doc_id", "text_hash"))).union(one.dropDuplicates(["doc_id", "_hash"]).select(COLUMNS))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item within its error budget."""
+    """Documents that contain no benchmark item within its error budget; rows are told by id and text, so null
+    and repeated ids are judged by their own texts."""
     docs = docs.select(COLUMNS)
-    return without_ids(docs, decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
+    found = decontaminate.find(docs.withColumn("text_hash", text_hash()), table(spark, sf_dir, "benchmark"), keep=["doc_id", "text_hash"])
+    return without_rows(docs, found)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     Between stages rows are written to the shared checkpoint folder and read back, as a scheduler of
     the stages would do with Parquet.
     """
-    from ostinato.llm.common import cut
-
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
