@@ -24,6 +24,10 @@ MELODIC_MINOR = [0, 2, 3, 5, 7, 9, 11]
 MAJOR_PROFILE = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]
 MINOR_PROFILE = [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]
 
+HARTE_QUALITIES = [
+    "maj", "min", "dim", "aug", "sus2", "sus4", "maj7", "min7", "7", "dom7", "minmaj7", "hdim7", "dim7", "aug7", "7sus4", "maj9", "min9", "9", "7b9", "7#9", "maj6", "min6", "1",
+]
+
 
 def _strings(names: list[str]) -> Column:
     return F.array(*[F.lit(n) for n in names])
@@ -43,6 +47,10 @@ def _pitch(head: Column) -> Column:
 
 def parse(token: Column) -> Column:
     """struct(root, quality, bass) of a token; one that doesn't parse is (0, '', null)."""
+    return V.bound(token, _parse)
+
+
+def _parse(token: Column) -> Column:
     head, slash = F.trim(F.substring_index(token, "/", 1)), F.instr(token, "/")
     root = _pitch(head)
     bass = F.when(slash > 0, _pitch(F.trim(F.substring(token, slash + 1, F.length(token)))))
@@ -55,12 +63,18 @@ def parse(token: Column) -> Column:
 
 
 def harte(label: Column) -> Column:
-    """struct(root, quality, bass) of a ``C:min7/b3`` label: N is root -1, X null; the quality defaults to maj."""
-    root = _pitch(label)
-    tail = F.regexp_extract(label, "^[A-G][b#]?:([^/]*)", 1)
-    bass = F.regexp_extract(label, "/(.*)$", 1)
-    known = F.when(label.startswith("N"), -1).when(label.startswith("X"), F.lit(None)).otherwise(root).cast("int")
-    return F.struct(known.alias("root"), F.when(tail == "", "maj").otherwise(tail).alias("quality"), F.nullif(bass, F.lit("")).alias("bass"))
+    """struct(root, quality, bass) of a ``C:min7/b3`` label.
+
+    N, NC and no_chord have root -1; X and ?, and labels that begin with no note, have none. The quality is
+    lower-cased, one of HARTE_QUALITIES, and maj where it is missing or unknown; the bass is what follows a slash.
+    """
+    text = F.trim(label)
+    root = _pitch(F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1)))
+    tail = F.lower(F.regexp_extract(text, "^[A-Ga-g][b#]?:([^/(]+)", 1))
+    known = F.when(text.isin("N", "n", "NC", "no_chord"), -1).when(text.isin("X", "x", "?"), F.lit(None)).otherwise(root).cast("int")
+    return F.struct(
+        known.alias("root"), F.when(tail.isin(HARTE_QUALITIES), tail).otherwise("maj").alias("quality"), F.nullif(F.regexp_extract(text, "/(.*)$", 1), F.lit("")).alias("bass")
+    )
 
 
 def bass_class(label: Column) -> Column:
@@ -113,6 +127,10 @@ def parse_key(text: Column) -> Column:
 
 def quality_class(q: Column) -> Column:
     """maj, m7b5, dim, min, dom or sus; the tests hold in this order."""
+    return V.bound(q, _quality_class)
+
+
+def _quality_class(q: Column) -> Column:
     minor, seventh = q.startswith("-") | q.startswith("m"), q.contains("7")
     return (
         F.when((q == "") | q.startswith("^") | q.startswith("6") | q.contains("maj") | q.startswith("M"), "maj")
@@ -155,9 +173,12 @@ def _relative_tones(q: Column) -> dict[int, tuple[Column, Column]]:
 
 def chord_weights(root: Column, quality: Column, bass: Column | None = None) -> Column:
     """Weights of the 12 pitch classes; the bass, where there is one, adds 1."""
-    tones = _relative_tones(quality)
-    relative = F.array(*[F.when(tones[i][0], tones[i][1]).otherwise(0.0) if i in tones else F.lit(0.0) for i in range(12)])
-    out = V.rotate(relative, F.pmod(-root, F.lit(12)))
+
+    def relative(q):
+        tones = _relative_tones(q)
+        return F.array(*[F.when(tones[i][0], tones[i][1]).otherwise(0.0) if i in tones else F.lit(0.0) for i in range(12)])
+
+    out = V.bound(V.bound(quality, relative), lambda v: V.rotate(v, F.pmod(-root, F.lit(12))))
     if bass is None:
         return out
     return F.transform(out, lambda w, i: w + F.when(bass.isNotNull() & (bass == i), 1.0).otherwise(0.0))
@@ -165,8 +186,8 @@ def chord_weights(root: Column, quality: Column, bass: Column | None = None) ->
 
 def chord_mask(root: Column, quality: Column) -> Column:
     """The chord's own pitch classes as bits."""
-    relative = sum((F.when(on, 1 << i).otherwise(0) for i, (on, _) in _relative_tones(quality).items()), F.lit(0))
-    return rotate_mask(relative, root)
+    relative = V.bound(quality, lambda q: sum((F.when(on, 1 << i).otherwise(0) for i, (on, _) in _relative_tones(q).items()), F.lit(0)))
+    return V.bound(F.struct(relative.alias("m"), root.alias("r")), lambda x: rotate_mask(x["m"], x["r"]))
 
 
 def rotate_mask(mask: Column, by: Column) -> Column:
@@ -220,5 +241,11 @@ def match_grade(root_a: Column, family_a: Column, mask_a: Column, root_b: Column
 
 
 def routed_bass(first: Column, second: Column, root: Column) -> Column:
-    """The first source's bass if it has one; the second's counts only if it isn't a mere echo of no root."""
-    return F.when(first >= 0, first).when((second >= 0) & (second != root), second).otherwise(root)
+    """The first source's bass, but the second's where the first has none (is negative), and where they differ
+    and the second reads the root: that vetoes an inversion which the first claims."""
+    return F.when((first < 0) | ((first != second) & (second == root)), second).otherwise(first)
+
+
+def relative_to_absolute(key: Column, tonic: Column) -> Column:
+    """A key index counted from a tonic (0..11 major, 12..23 minor) as an absolute one."""
+    return F.pmod(key + tonic, F.lit(12)) + F.when(key >= 12, 12).otherwise(0)

@@ -8,6 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once a row, however often f uses it: it is bound as a lambda's variable,
+    so the planner can't write it out at every use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def total(v: Column) -> Column:
     """Sum of an array; 0 for an empty one."""
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)

@@ -21,9 +21,10 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, values: l
     packed = F.struct(*[F.col(v) for v in values])
     r = right.select(*keys, on, packed.alias("_v"), F.lit(0).alias("_left"), F.lit(last).alias("_side"))
     l_ = left.select(*keys, on, F.struct("*").alias("_row"), F.lit(1).alias("_left"), F.lit(1 - last).alias("_side"))
-    w = Window.partitionBy(*keys).orderBy(on, "_side", "_v")
-    frame = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = (F.first if forward else F.last)("_v", ignorenulls=True).over(frame)
+    # Looking forward, the order is turned: a frame that starts at the first row is carried on, row by row.
+    order = [F.desc(c) if forward else F.asc(c) for c in (on, "_side", "_v")]
+    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    pick = F.last("_v", ignorenulls=True).over(frame)
     both = r.unionByName(l_, allowMissingColumns=True).withColumn("_m", pick).filter("_left = 1")
     return both.select("_row.*", *[F.col("_m")[v].alias(v) for v in values])
 

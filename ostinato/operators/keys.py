@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ostinato.functions import tokens as T
-from ostinato.operators.sequences import ordered, run_ids
+from ostinato.operators.sequences import backwards, ordered, run_ids
 
 _MAJOR = [T.mask_of(T.MAJOR_SCALE, t) for t in range(12)]
 _HARMONIC = [(_MAJOR[c] & ~(1 << (c + 7) % 12)) | 1 << (c + 8) % 12 for c in range(12)]
@@ -17,8 +17,8 @@ _MELODIC_MINOR = [T.mask_of(T.MELODIC_MINOR, t) for t in range(12)]
 
 def parsed(df: DataFrame, token: str = "token") -> DataFrame:
     """Adds root, quality, bass, class and the mask of a token's own tones."""
-    p = T.parse(F.col(token))
-    df = df.withColumns({"root": p["root"], "quality": p["quality"], "bass": p["bass"]})
+    df = df.withColumn("_p", T.parse(F.col(token)))
+    df = df.withColumns({c: F.col(f"_p.{c}") for c in ("root", "quality", "bass")}).drop("_p")
     return df.withColumns({"class": T.quality_class(F.col("quality")), "mask": T.chord_mask(F.col("root"), F.col("quality"))})
 
 
@@ -69,7 +69,7 @@ def functional_track(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
         .when(c == "maj", F.struct(F.col("root").alias("tonic"), F.lit("major").alias("mode")))
     )
     before = F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_own", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("_own", ignorenulls=True).over(backwards(keys, order))
     none = F.struct(F.lit(0).alias("tonic"), F.lit("major").alias("mode"))
     df = df.withColumn("_own", own).withColumn("_key", F.coalesce(before, after, none))
     return df.withColumns({"tonic": F.col("_key.tonic"), "mode": F.col("_key.mode")}).drop("_nr", "_nc", "_nnr", "_nnc", "_own", "_key")
@@ -79,9 +79,10 @@ def _literal(values: list[int]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def continuity_track(df: DataFrame, keys: list[str], order: list[str], home_tonic: int = 0, home_mode: str = "major", minor_colours: bool = True, lookahead: int = 2) -> DataFrame:
+def continuity_track(df: DataFrame, keys: list[str], order: list[str], home_tonic: int = 0, home_mode: str = "major", minor_colours: bool = True, lookahead: int | None = None) -> DataFrame:
     """The scale held at each chord: a collection of tones stays until a chord leaves it, then the nearest
-    one by fifths that fits takes over (ties: fits more of the next chords, then the lower tonic).
+    one by fifths that fits takes over (ties: fits more of the next chords, then the lower tonic). ``lookahead`` chords
+    count as next: 2, or 1 where natural scales only count.
 
     With ``minor_colours`` a collection also holds chords of its relative harmonic minor, and those of its
     melodic minor on that minor's tonic; without, natural scales only count. A run is labelled as its major
@@ -92,6 +93,7 @@ def continuity_track(df: DataFrame, keys: list[str], order: list[str], home_toni
     state is folded over each sequence's array of tones in SQL.
     """
     home = home_tonic if home_mode == "major" else (home_tonic + 3) % 12
+    lookahead = lookahead or (2 if minor_colours else 1)
     w = ordered(keys, order)
     ahead = F.array(*[F.struct(F.lead("mask", k).over(w).alias("m"), F.lead("root", k).over(w).alias("r")) for k in range(1, lookahead + 1)])
     rows = df.withColumn("_n", F.row_number().over(w)).withColumn("_x", F.struct("_n", F.col("mask").alias("m"), F.col("root").alias("r"), ahead.alias("ahead")))
@@ -144,7 +146,7 @@ def consolidate_dominants(df: DataFrame, keys: list[str], order: list[str], home
     target = F.pmod(F.col("root") + 5, F.lit(12))
     implied = F.struct(target.alias("tonic"), F.when(target == home_tonic, home_mode).otherwise("major").alias("mode"))
     arrival = F.when(F.col("_linked") & ~F.col("_link"), F.when(F.col("_falls"), F.col("_nk")).otherwise(implied))
-    df = df.withColumn("_a", F.first(arrival, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    df = df.withColumn("_a", F.last(arrival, ignorenulls=True).over(backwards(keys, order)))
     leads_in = F.col("class").isin("min", "m7b5") & F.col("_falls") & F.coalesce(F.lead("_link").over(w), F.lit(False)) & ~F.coalesce(F.lead("_linked").over(w), F.lit(False))
     df = df.withColumn("_use", F.col("_in") | leads_in)
     pick = lambda c: F.when(F.col("_use"), F.col(f"_a.{c}")).otherwise(F.col(c))
@@ -157,9 +159,14 @@ def fitting_scales(df: DataFrame, most: int = 3) -> DataFrame:
     minor, counted a step farther."""
     home = T.collection_of(T.key_index(F.col("tonic"), F.col("mode")))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("tonic"), F.lit(table[t]).alias("scale")) for k, table in enumerate((_MAJOR, _MELODIC_MINOR)) for t in range(12)])
-    good = F.filter(kinds, lambda s: F.col("mask").bitwiseAND(F.bitwise_not(s["scale"])) == 0)
-    ranked = F.transform(good, lambda s: F.struct((T.fifths_distance(s["tonic"], home) + s["kind"]).alias("distance"), s["kind"].alias("kind"), s["tonic"].alias("tonic")))
-    return df.withColumn("scales", F.slice(F.array_sort(ranked), 1, most))
+
+    def ranked(x):
+        good = F.filter(kinds, lambda s: x["mask"].bitwiseAND(F.bitwise_not(s["scale"])) == 0)
+        told = F.transform(good, lambda s: F.struct((T.fifths_distance(s["tonic"], x["home"]) + s["kind"]).alias("distance"), s["kind"].alias("kind"), s["tonic"].alias("tonic")))
+        return F.slice(F.array_sort(told), 1, most)
+
+    # The row's mask and home are computed once and bound, not once for each scale.
+    return df.withColumn("scales", F.get(F.transform(F.array(F.struct(F.col("mask").alias("mask"), home.alias("home"))), ranked), F.lit(0)))
 
 
 def oracle_keys(df: DataFrame, keys: list[str], section: str, order: list[str], home: str, margin: float = 6.0) -> DataFrame:

@@ -17,6 +17,11 @@ def ordered(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def backwards(keys: list[str], order: list[str]) -> WindowSpec:
+    """All rows from a sequence's end to the current one: a ``last`` over it looks forward, and costs one step a row."""
+    return Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def run_ids(df: DataFrame, keys: list[str], order: list[str], same: list[str], out: str = "run") -> DataFrame:
     """Number the runs of rows that agree on ``same``, from 1; nulls agree with nulls."""
     w = ordered(keys, order)
@@ -97,12 +102,15 @@ def churn(df: DataFrame, keys: list[str], order: list[str], symbol: str) -> Data
 
 
 def split_at(intervals: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    """Intervals (start, end) split at the positions ``at`` that lie inside them; cutting again changes nothing."""
-    inside = intervals.join(cuts.select(*keys, "at").distinct(), keys).filter("at > start and at < end").select(*keys, F.col("at").alias("start"))
-    starts = intervals.select(*keys, "start").union(inside).distinct()
-    ends = intervals.groupBy(*keys).agg(F.max("end").alias("_last"))
-    out = starts.withColumn("end", F.lead("start").over(ordered(keys, ["start"]))).join(ends, keys)
-    return out.select(*keys, "start", F.coalesce("end", "_last").alias("end"))
+    """Intervals (start, end), which don't overlap, split at the positions ``at`` that lie inside them; cutting again changes
+    nothing. A cut is looked up as of the last start, so cuts and intervals of a key aren't paired."""
+    from ostinato.operators.joins import as_of
+
+    held = intervals.select(*keys, F.col("start").alias("at"), F.col("start").alias("_from"), F.col("end").alias("_until"))
+    inside = as_of(cuts.select(*keys, "at").distinct(), held, keys, "at", ["_from", "_until"]).filter("at > _from and at < _until")
+    pieces = intervals.select(*keys, "start", F.col("end").alias("_until")).union(inside.select(*keys, "at", "_until")).distinct()
+    ahead = F.lead("start").over(Window.partitionBy(*keys, "_until").orderBy("start"))
+    return pieces.select(*keys, "start", F.coalesce(ahead, F.col("_until")).alias("end"))
 
 
 def bars_and_beats(df: DataFrame, keys: list[str], order: list[str], duration: str, beats_per_bar: int) -> DataFrame:
@@ -112,15 +120,25 @@ def bars_and_beats(df: DataFrame, keys: list[str], order: list[str], duration: s
     return df.withColumns({"bar": F.floor(F.col("_at") / beats_per_bar).cast("long"), "beat": F.col("_at") % beats_per_bar}).drop("_at")
 
 
-def changepoint_score(df: DataFrame, keys: list[str], order: list[str], value: str, window: int = 4, out: str = "evidence") -> DataFrame:
-    """Evidence of a change at each row: the pooled squared error of the rows around it less that of
-    the two sides on their own, from sums and sums of squares over row frames."""
+def changepoint_score(df: DataFrame, keys: list[str], order: list[str], values: list[str], window: int = 4, out: str = "evidence") -> DataFrame:
+    """Evidence of a change at each row: the squared deviation of the rows around it from their mean, less that of
+    the two sides on their own, over all ``values``; 0 where a side has under two rows. From sums over row frames."""
     w = ordered(keys, order)
-    left, right, both = w.rowsBetween(-window, -1), w.rowsBetween(0, window - 1), w.rowsBetween(-window, window - 1)
-    x = F.col(value).cast("double")
+    frames = {"left": w.rowsBetween(-window, -1), "right": w.rowsBetween(0, window - 1), "both": w.rowsBetween(-window, window - 1)}
 
     def error(frame):
-        n = F.count(x).over(frame)
-        return F.when(n > 0, F.sum(x * x).over(frame) - F.pow(F.sum(x).over(frame), 2) / n).otherwise(0.0)
+        parts = []
+        for v in values:
+            x = F.col(v).cast("double")
+            n = F.count(x).over(frame)
+            parts.append(F.when(n > 0, F.sum(x * x).over(frame) - F.pow(F.sum(x).over(frame), 2) / n).otherwise(0.0))
+        return sum(parts[1:], parts[0])
+
+    enough = (F.count("*").over(frames["left"]) >= 2) & (F.count("*").over(frames["right"]) >= 2)
+    return df.withColumn(out, F.when(enough, error(frames["both"]) - error(frames["left"]) - error(frames["right"])).otherwise(0.0))
+
 
-    return df.withColumn(out, error(both) - error(left) - error(right))
+def prune_boundaries(df: DataFrame, keys: list[str], order: list[str], values: list[str], boundary: str, least: float = 0.1) -> DataFrame:
+    """Rows flagged in ``boundary`` whose evidence of a change reaches ``least``; a sequence's first row always stays."""
+    scored = changepoint_score(df, keys, order, values, out="_e").withColumn("_n", F.row_number().over(ordered(keys, order)))
+    return scored.filter(F.col(boundary) & ((F.col("_n") == 1) | (F.col("_e") >= least))).drop("_e", "_n")

@@ -41,12 +41,19 @@ def ngram_counts(df: DataFrame, keys: list[str], order: list[str], symbol: str,
     return g.groupBy(*[f"s{i}" for i in range(n)]).agg(F.count("*").alias("n"))
 
 
-def transition_model(df: DataFrame, keys: list[str], order: list[str], symbol: str, states: DataFrame, smooth: float = 0.2) -> DataFrame:
-    """ln P(b | a) for every pair of ``states`` (column ``state``), each count raised by ``smooth``;
-    steps from a state to itself are no transitions."""
+def transition_model(df: DataFrame, keys: list[str], order: list[str], symbol: str, states: DataFrame | None = None, smooth: float = 0.2, most: int = 4096) -> DataFrame:
+    """ln P(b | a) for every pair of states, each count raised by ``smooth``; steps from a state to itself
+    are no transitions. The states are those of the rows, or of ``states`` (column ``state``); more than ``most`` raise ValueError,
+    since the grid is their square."""
     n = ngram_counts(df, keys, order, symbol, 2, repeats=False)
-    # The grid is the square of a fixed set of states, not of data.
-    grid = states.select(F.col("state").alias("s0")).crossJoin(F.broadcast(states.select(F.col("state").alias("s1"))))
+    found = df.select(F.col(symbol).alias("state")).filter("state is not null").distinct() if states is None else states.select("state").distinct()
+    names = [r["state"] for r in found.limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} states")
+    if not names:
+        return n.select("s0", "s1", "n", F.lit(None).cast("double").alias("logp"))
+    every = F.array(*[F.lit(x) for x in sorted(names)])
+    grid = df.sparkSession.range(1).select(F.explode(every).alias("s0")).select("s0", F.explode(every).alias("s1"))
     both = grid.join(n, ["s0", "s1"], "left").withColumn("c", F.coalesce("n", F.lit(0)) + smooth)
     return both.select("s0", "s1", F.coalesce("n", F.lit(0)).alias("n"), F.ln(F.col("c") / F.sum("c").over(Window.partitionBy("s0"))).alias("logp"))
 

@@ -16,13 +16,15 @@ from ostinato.operators.sequences import ordered
 def self_similarity(df: DataFrame, keys: list[str], index: str, vector: str, reach: int) -> DataFrame:
     """Cosine similarity, cut to 0..1, of rows up to ``reach`` positions apart: (keys, i, j, similarity), i < j.
 
-    A band instead of all pairs: every row is copied once per lag, so rows grow with ``reach``, not
-    with the square of a sequence's length. Use the longest lag that matters as the reach.
+    A band instead of all pairs: every row looks at the ``reach`` rows ahead of it in one window, so vectors are
+    shuffled once and results grow with ``reach``, not with the square of a sequence's length.
     """
+    w = ordered(keys, ["i"])
     v = df.select(*keys, F.col(index).alias("i"), V.unit(F.col(vector)).alias("_v"))
-    ahead = v.select(*keys, F.col("i").alias("j"), F.col("_v").alias("_u"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_lag"))
-    both = ahead.withColumn("i", F.col("j") - F.col("_lag")).join(v, [*keys, "i"])
-    return both.select(*keys, "i", "j", F.greatest(F.lit(0.0), F.least(F.lit(1.0), V.dot(F.col("_v"), F.col("_u")))).alias("similarity"))
+    v = v.withColumns({f"_x{k}": F.lead(F.struct("i", "_v"), k).over(w) for k in range(1, reach + 1)})
+    cut = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    pairs = F.array(*[F.when(F.col(f"_x{k}.i") - F.col("i") <= reach, F.struct(F.col(f"_x{k}.i").alias("j"), cut(V.dot(F.col("_v"), F.col(f"_x{k}._v"))).alias("similarity"))) for k in range(1, reach + 1)])
+    return v.select(*keys, "i", F.explode(pairs).alias("x")).filter("x is not null").select(*keys, "i", "x.j", "x.similarity")
 
 
 def lag_similarity(df: DataFrame, keys: list[str], index: str, vector: str, block: int = 512) -> DataFrame:

@@ -53,8 +53,7 @@ def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT s0, s1, n, round(ln((n + 0.2) / sum(n + 0.2) OVER (PARTITION BY s0)), 6) AS logp FROM g"""
 )
 def bigram_logprob(spark, sf_dir):
-    states = spark.createDataFrame([(s,) for s in ("click", "error", "purchase", "signup", "view")], "state string")
-    return A.transition_model(events(spark, sf_dir), SONG, ORDER, "q", states).withColumn("logp", r6("logp"))
+    return A.transition_model(events(spark, sf_dir), SONG, ORDER, "q").withColumn("logp", r6("logp"))
 
 
 @query(
@@ -196,10 +195,10 @@ def collection_churn(spark, sf_dir):
          sum(w) OVER r AS sr, sum(w * w) OVER r AS qr, count(*) OVER r AS nr
       FROM ev WINDOW b AS (PARTITION BY song ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING), l AS (PARTITION BY song ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING),
          r AS (PARTITION BY song ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
-    SELECT song, pos, round(qb - sb * sb / nb - CASE WHEN nl > 0 THEN ql - sl * sl / nl ELSE 0 END - (qr - sr * sr / nr), 3) AS evidence FROM s"""
+    SELECT song, pos, CASE WHEN nl >= 2 AND nr >= 2 THEN round(qb - sb * sb / nb - (ql - sl * sl / nl) - (qr - sr * sr / nr), 3) ELSE 0 END AS evidence FROM s"""
 )
 def changepoint_evidence(spark, sf_dir):
-    return S.changepoint_score(events(spark, sf_dir), SONG, ORDER, "w").select("song", "pos", F.round("evidence", 3).alias("evidence"))
+    return S.changepoint_score(events(spark, sf_dir), SONG, ORDER, ["w"]).select("song", "pos", F.round("evidence", 3).alias("evidence"))
 
 
 @query(
