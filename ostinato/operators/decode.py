@@ -50,6 +50,45 @@ def best_segments(emission: np.ndarray, log_duration: np.ndarray, weight: float
     return out[::-1]
 
 
+def best_timed_path(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray, log_duration: np.ndarray) -> tuple[list[tuple[int, int, int]], float]:
+    """(start, end, state) of the best segmentation and its log score, each segment scored by its emissions, its length
+    (states x lengths from 1) and the step from the state before it, which may be the same; the first by ``initial``.
+    Equal scores prefer short last segments, then low states before."""
+    n, k = emission.shape
+    total = np.vstack([np.zeros(k), np.cumsum(emission, axis=0)])
+    best, choice = np.full((n + 1, k), -np.inf), np.zeros((n + 1, k, 2), dtype=np.int64)
+    enter = np.full((n + 1, k), -np.inf)  # the best way into each state at each place, and from where
+    enter[0], origin = initial, np.zeros((n + 1, k), dtype=np.int64)
+    for end in range(1, n + 1):
+        for d in range(1, min(end, log_duration.shape[1]) + 1):
+            s = enter[end - d] + total[end] - total[end - d] + log_duration[:, d - 1]
+            up = s > best[end]
+            best[end, up], choice[end, up, 0], choice[end, up, 1] = s[up], d, origin[end - d][up]
+        step = best[end][:, None] + transition
+        origin[end], enter[end] = step.argmax(axis=0), step.max(axis=0)
+    state, end, out = int(best[n].argmax()), n, []
+    if not np.isfinite(best[n, state]):
+        raise ValueError("no segmentation has a positive probability")
+    while end:
+        d, before = choice[end, state]
+        out.append((end - int(d), end, state))
+        end, state = end - int(d), int(before)
+    return out[::-1], float(best[n].max())
+
+
+def emissions(roots: np.ndarray, kinds: np.ndarray | None = None, weight: float = 1.0, floor: float = 1e-9) -> np.ndarray:
+    """Log emissions of root x kind states, root first, from posteriors of roots and perhaps of kinds (weighted)."""
+    r = np.log(np.maximum(roots, floor))
+    q = weight * np.log(np.maximum(kinds, floor)) if kinds is not None else np.zeros((len(roots), 1))
+    return (r[:, :, None] + q[:, None, :]).reshape(len(roots), -1)
+
+
+def durations(pmf: np.ndarray, states: int, floor: float = 1e-6) -> np.ndarray:
+    """Log probabilities of lengths for every state: one distribution for all, or one per kind, repeated by root."""
+    p = np.log(np.maximum(np.atleast_2d(np.asarray(pmf, dtype=float)), floor))
+    return np.tile(p, (states // len(p), 1))
+
+
 def _with(df: DataFrame, keys: list[str], columns: list[str], fields: list[StructField]) -> StructType:
     known = {f.name: f for f in df.schema}
     return StructType([known[c] for c in [*keys, *columns]] + fields)
@@ -70,13 +109,20 @@ def viterbi(df: DataFrame, keys: list[str], order: str, emission: str, transitio
     return df.select(*keys, order, emission).groupBy(*keys).applyInPandas(run, schema)
 
 
-def semi_markov(df: DataFrame, keys: list[str], order: str, emission: str, log_duration: list[list[float]], weight: float = 1.0) -> DataFrame:
-    """keys, segment (from 0), start and end (rows, end exclusive) and state of the best segmentation."""
+def semi_markov(
+    df: DataFrame, keys: list[str], order: str, emission: str, log_duration: list[list[float]], weight: float = 1.0, transition: list[list[float]] | None = None, initial: list[float] | None = None
+) -> DataFrame:
+    """keys, segment (from 0), start and end (rows, end exclusive) and state of the best segmentation; with ``transition``
+    (and perhaps ``initial``) log scores of steps between states count too."""
     lengths = np.array(log_duration, dtype=float)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(order, kind="stable")
-        found = best_segments(np.array(g[emission].to_list(), dtype=float), lengths, weight)
+        e = np.array(g[emission].to_list(), dtype=float)
+        if transition is None:
+            found = best_segments(e, lengths, weight)
+        else:
+            found, _ = best_timed_path(e, np.array(transition, dtype=float), np.zeros(e.shape[1]) if initial is None else np.array(initial, dtype=float), weight * lengths)
         out = pd.DataFrame(found, columns=["start", "end", "state"], dtype="int32")
         for c in keys:
             out[c] = g[c].iloc[0]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ostinato.operators.sequences import ordered
 
@@ -35,3 +38,37 @@ def motifs(df: DataFrame, keys: list[str], order: list[str], bar: str, symbol: s
     return n.filter(F.col("n") >= least).withColumn("saving", (F.col("n") - 1) * F.col("length"))
 
 
+
+
+def tiled(df: DataFrame, keys: list[str], order: list[str], bar: str, symbol: str, least: int = 2) -> DataFrame:
+    """A sequence laid out in motifs: keys, start, length and motif, every row covered once; rows outside motifs are
+    tiles of their own (length 1).
+
+    Motifs are placed greedily, those first that save most, then the longer, then those seen earlier, at each occurrence that is
+    still free. What a place becomes depends on all placed before, so a sequence's occurrences (at most three a bar) and
+    symbols go to one task.
+    """
+    runs = bar_locked_runs(df, keys, order, bar, symbol)
+    n = runs.groupBy(*keys, "length", "motif").agg(F.count("*").alias("n"), F.min("start").alias("first")).filter(F.col("n") >= least)
+    runs = runs.join(n, [*keys, "length", "motif"]).withColumn("saving", (F.col("n") - 1) * F.col("length"))
+    single = df.withColumn("start", (F.row_number().over(ordered(keys, order)) - 1).cast("long"))
+    columns = [*keys, "start", "length", "motif", "saving", "first"]
+    single = single.select(*keys, "start", F.lit(1).alias("length"), F.col(symbol).cast("string").alias("motif"), F.lit(0).cast("long").alias("saving"), F.col("start").alias("first"))
+    known = {f.name: f for f in df.schema}
+    schema = StructType([known[k] for k in keys] + [StructField("start", LongType()), StructField("length", IntegerType()), StructField("motif", StringType())])
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        whole = g[g.length == 1].sort_values("start")
+        free, out = np.ones(len(whole), dtype=bool), []
+        ranked = g[g.length > 1].sort_values(["saving", "length", "first", "motif", "start"], ascending=[False, False, True, True, True])
+        for a, length, motif in ranked[["start", "length", "motif"]].itertuples(index=False):
+            if free[a : a + length].all():
+                free[a : a + length] = False
+                out.append((a, length, motif))
+        out += [(a, 1, m) for a, m in whole.loc[free, ["start", "motif"]].itertuples(index=False)]
+        got = pd.DataFrame(sorted(out), columns=["start", "length", "motif"])
+        for c in keys:
+            got[c] = g[c].iloc[0]
+        return got[schema.names]
+
+    return runs.select(columns).unionByName(single.select(columns)).groupBy(*keys).applyInPandas(run, schema)

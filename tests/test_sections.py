@@ -1,0 +1,256 @@
+"""Sections, alignment, clusters, folds and decoding against plain versions."""
+
+import itertools
+
+import numpy as np
+import pytest
+
+from ostinato.operators import align, clusters, decode, folds, motifs, sections
+from ostinato.streaming import loops
+
+
+def rows_of(spark, m, song=1):
+    return [(song, i, [float(x) for x in r]) for i, r in enumerate(m)]
+
+
+SCHEMA = "song long, i long, v array<double>"
+
+
+def plain_similarity(m):
+    u = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    return np.clip(u @ u.T, 0, 1)
+
+
+def test_novelty_is_the_checkerboard_sum(spark):
+    rng = np.random.default_rng(1)
+    m = np.vstack([rng.random(6) + 0.2 * rng.random((14, 6)) for _ in range(4)])
+    m[5] = 0
+    s, n, k = plain_similarity(m), len(m), 8
+    g = np.arange(-k, k)
+    kernel = np.where((g[:, None] < 0) == (g[None] < 0), 1, -1) * np.exp(-(g[:, None] ** 2 + g[None] ** 2) / (2 * (k / 2) ** 2))
+    raw = np.array([(kernel * s[t - k : t + k, t - k : t + k]).sum() if k <= t < n - k else 0.0 for t in range(n)])
+    w = np.exp(-np.arange(-8, 9) ** 2 / 8)
+    want = np.convolve(np.pad(raw, 8), w / w.sum(), "valid")
+    want = (want - want.min()) / (want.max() - want.min())
+    d = spark.createDataFrame(rows_of(spark, m) + rows_of(spark, m[:3], 2), SCHEMA)
+    out = sections.novelty(d, ["song"], "i", "v").collect()
+    got = {(r.song, r.i): r.novelty for r in out}
+    assert np.allclose([got[1, i] for i in range(n)], want) and [got[2, i] for i in range(3)] == [0, 0, 0]
+    curve = spark.createDataFrame([(r.song, r.i, r.novelty) for r in out], "song long, i long, novelty double")
+    at = sorted(r.boundary for r in sections.peaks(curve, ["song"], "i", "novelty").filter("song = 1").collect())
+    assert at == sorted({0, n, *sections.find_peaks(want, 8, 0.2)}) and len(at) >= 4
+    with pytest.raises(ValueError):
+        sections.novelty(d, ["song"], "i", "v", 4)
+
+
+def plain_peaks(x, distance, prominence):
+    top = [i for i in range(1, len(x) - 1) if x[i - 1] < x[i] > x[i + 1]]
+    kept = []
+    for i in sorted(top, key=lambda i: (x[i], i), reverse=True):
+        if all(abs(i - j) >= distance for j in kept):
+            kept.append(i)
+    out = []
+    for i in sorted(kept):
+        left = next((j for j in range(i, -1, -1) if x[j] > x[i]), -1)
+        right = next((j for j in range(i, len(x)) if x[j] > x[i]), len(x))
+        if x[i] - max(min(x[left + 1 : i + 1]), min(x[i:right])) >= prominence:
+            out.append(i)
+    return out
+
+
+def test_peaks_by_distance_and_prominence():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        x = rng.random(60)
+        assert sections.find_peaks(x, 6, 0.3) == plain_peaks(x, 6, 0.3)
+    assert sections.find_peaks(np.array([0, 1, 1, 1, 0, 2, 2, 3, 0]), 1, 0.0) == [2, 7]
+
+
+def plain_sections(m, bpb=4, forms=(8, 16, 32, 64), like=0.6, least=0.25, shortest=4):
+    s, n = plain_similarity(m), len(m)
+    score = {b: np.diagonal(s, b * bpb).mean() for b in forms if b * bpb < n}
+    if not score:
+        return []
+    base = next((b for b in score if score[b] >= least), max(score, key=score.get))
+    step, out = base * bpb, []
+    for a in range(0, n, step):
+        e = min(a + step, n)
+        if out and np.mean([s[out[-1][0] + k, a + k] for k in range(e - a)]) >= like:
+            out[-1][1] = e
+        else:
+            out.append([a, e])
+    i = 0
+    while len(out) > 1 and i < len(out):
+        if out[i][1] - out[i][0] < shortest * bpb:
+            if i == len(out) - 1:
+                out[i - 1][1] = out.pop(i)[1]
+            else:
+                out[i + 1][0] = out.pop(i)[0]
+        else:
+            i += 1
+    return [tuple(x) for x in out]
+
+
+def test_sections_and_their_letters(spark):
+    rng = np.random.default_rng(3)
+    a, b = (np.eye(12)[rng.integers(0, 12, 32)] for _ in range(2))
+    songs = {1: np.vstack([a, a, b, a, a[:9]]), 2: np.vstack([a, b, b, a]), 3: np.eye(12)[rng.integers(0, 12, 100)], 4: a[:20], 5: np.vstack([a, b, a, a[:20]])}
+    d = spark.createDataFrame([x for s, m in songs.items() for x in rows_of(spark, m, s)], SCHEMA)
+    spans = sections.sections(d, ["song"], "i", "v")
+    found = spans.collect()
+    for s, m in songs.items():
+        assert sorted((r.start, r.end) for r in found if r.song == s) == plain_sections(m), s
+    got = {(r.song, r.section): r.label for r in sections.section_labels(d, spans, ["song"], "i", "v").collect()}
+    for s, m in songs.items():
+        sim, first, names = plain_similarity(m), [], []
+        for a_, b_ in plain_sections(m):
+            f = sim[a_:b_].mean(axis=0)
+            f = f / np.linalg.norm(f)
+            k = next((k for k, r in enumerate(first) if f @ r > 0.7), len(first))
+            if k == len(first):
+                first.append(f)
+            names.append("ABCDEFGH"[k])
+        assert [got[s, i] for i in range(len(names))] == names
+    moved = spark.createDataFrame([(1, 8, 4, 40), (1, 36, 4, 40), (2, 8, 0, 40)], "song long, at int, by int, n int")
+    assert sorted((r.song, r["at"]) for r in sections.shifted(moved, ["song"], "at", "by", "n").collect()) == [(1, 4), (1, 12), (2, 8)]
+
+
+def test_warping_and_alignment_are_optimal(spark):
+    rng = np.random.default_rng(4)
+
+    def cheapest(cost, i, j):
+        if i < 0 or j < 0:
+            return 0.0 if i < 0 and j < 0 else np.inf
+        return cost[i, j] + min(cheapest(cost, i - 1, j), cheapest(cost, i, j - 1), cheapest(cost, i - 1, j - 1))
+
+    for _ in range(10):
+        cost = rng.integers(0, 4, (4, 5)).astype(float)
+        total, path = align.warp(cost)
+        assert total * 5 == cheapest(cost, 3, 4) == sum(cost[p] for p in path) and path[0] == (0, 0) and path[-1] == (3, 4)
+        part, way = align.warp_part(cost)
+        assert part == min(cheapest(cost[:, a:b], 3, b - a - 1) for a in range(5) for b in range(a + 1, 6)) and np.isclose(part, sum(cost[p] for p in way))
+    for _ in range(20):
+        a, b = rng.integers(0, 3, rng.integers(0, 6)).tolist(), rng.integers(0, 3, rng.integers(0, 6)).tolist()
+        best = max(
+            sum(2 if a[i] == b[j] else -1 for i, j in zip(x, y, strict=True)) - (len(a) + len(b) - 2 * k)
+            for k in range(min(len(a), len(b)) + 1) for x in itertools.combinations(range(len(a)), k) for y in itertools.combinations(range(len(b)), k)
+        )
+        got = align.align(a, b)
+        assert sum(2 if a[i] == b[j] else -1 for i, j in got) - (len(a) + len(b) - 2 * len(got)) == best
+    x = [(1, i, r, "maj") for i, r in enumerate([0, 5, 7, 0])] + [(2, 0, 1, "min")]
+    y = [(1, i, (r + 3) % 12, "maj") for i, r in enumerate([0, 0, 5, 7, 0])]
+    da, db = (spark.createDataFrame(v, "song long, i long, root long, kind string") for v in (x, y))
+    got = align.warped(da, db, ["song"], "i", "root", "kind").collect()
+    assert {(r.transpose, r.cost) for r in got} == {(9, 0.0)} and [(r.i, r.j) for r in got] == [(0, 0), (0, 1), (1, 2), (2, 3), (3, 4)]
+    assert [(r.i, r.j) for r in align.aligned(da, db.withColumn("root", db.root - 3), ["song"], "i", "root").collect()][-1] == (3, 4)
+    times = spark.createDataFrame([(1, i, float(i), i + 1.0) for i in range(4)], "song long, i long, start double, end double")
+    spans = align.times_of(align.warped(da, db, ["song"], "i", "root", "kind"), times, ["song"], "i").orderBy("j").collect()
+    assert [(r.start, r.end) for r in spans] == [(0, 1), (0, 1), (1, 2), (2, 3), (3, 4)]
+    v = rng.random((9, 4))
+    q = spark.createDataFrame([(1, i, r.tolist()) for i, r in enumerate(v[3:6])], SCHEMA)
+    t = spark.createDataFrame([(1, i, r.tolist()) for i, r in enumerate(v)], SCHEMA)
+    assert [r.j for r in align.placed(q, t, ["song"], "i", "v").collect()] == [3, 4, 5]
+
+
+def test_clusters_follow_their_rules(spark):
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        m = rng.random((8, 8))
+        m = (m + m.T) / 2
+        groups = [[i] for i in range(8)]
+        while len(groups) > 1:
+            mn, a, b = max(((min(m[i, j] for i in groups[a] for j in groups[b]), -a, -b) for a in range(len(groups)) for b in range(a + 1, len(groups))))
+            if mn < 0.5:
+                break
+            groups[-a] += groups.pop(-b)
+        want = [next(k for k, g in enumerate(sorted(groups, key=min)) if i in g) for i in range(8)]
+        assert clusters.complete_linkage(m, 0.5) == want
+    blocks = [list("abab"), list("abab"), list("aaxx"), list("babx"), list("zzzz")]
+    assert clusters.likeness(blocks[0], blocks[3]) == 1.0 and clusters.vetoed(blocks[1], blocks[2])
+    assert clusters.arbitrated(blocks[:2] + blocks[4:]) == [0, 0, 1]
+    assert clusters.arbitrated([list("abab")] * 4, [1.0, 1.0, 9.0, 9.0]) == [0, 0, 1, 1]
+    d = spark.createDataFrame([(1, i, b, e) for i, (b, e) in enumerate(zip(blocks, [1.0, 1.1, 5.0, 1.0, 9.0], strict=True))], "song long, block long, s array<string>, e double")
+    got = [r.cluster for r in clusters.cluster_blocks(d, ["song"], "block", "s", "e").orderBy("block").collect()]
+    assert got == clusters.arbitrated(blocks, [1.0, 1.1, 5.0, 1.0, 9.0])
+    v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (1, 2, [1.0, 0.1])], "song long, block long, v array<double>")
+    assert [r.cluster for r in clusters.cluster_vectors(v, ["song"], "block", "v", 0.9).orderBy("block").collect()] == [0, 1, 0]
+
+
+def test_cells_merge_with_the_growing_cell(spark):
+    rng = np.random.default_rng(6)
+    cells = {s: rng.random((40, 12)) ** 4 for s in range(3)}
+    d = spark.createDataFrame([(s, 2 * i, 2 * i + 2, p.tolist()) for s, m in cells.items() for i, p in enumerate(m)], "song long, start int, end int, p array<double>")
+    for same in (folds.same_argmax("p"), folds.centroids_within("p", 0.4)):
+        got = folds.merge_cells(d, ["song"], same, ["p"]).collect()
+        for s, m in cells.items():
+            out = []
+            for i, p in enumerate(m):
+                new = {"p": p, "n": 2}
+                if out and same({"p": out[-1][2], "n": 0}, new):
+                    out[-1] = (out[-1][0], 2 * i + 2, out[-1][2] + p)
+                else:
+                    out.append((2 * i, 2 * i + 2, p))
+            assert sorted((r.start, r.end) for r in got if r.song == s) == [x[:2] for x in out]
+
+
+def test_a_spurious_start_goes(spark):
+    rows = [(1, 0.0, 0.3, 0.2), (1, 0.3, 0.5, 0.4), (1, 0.5, 3.0, 0.9), (1, 3.0, 3.1, 0.1), (2, 0.0, 0.1, 0.9), (2, 0.1, 1.0, 0.1), (3, 0.0, 0.2, 0.1), (4, 0.0, 0.2, 0.1), (4, 9.0, 9.5, 0.3)]
+    d = spark.createDataFrame([(*r, 0.5) for r in rows], "song long, start double, end double, confidence double, period double")
+    got = sorted((r.song, r.start, r.end) for r in folds.without_spurious_start(d, ["song"], "period").collect())
+    assert got == [(1, 0.0, 3.0), (1, 3.0, 3.1), (2, 0.0, 0.1), (2, 0.1, 1.0), (3, 0.0, 0.2), (4, 0.0, 0.2), (4, 9.0, 9.5)]
+
+
+def test_boundaries_count_one_to_one(spark):
+    rng = np.random.default_rng(7)
+    est, gt = ({s: np.unique(rng.integers(0, 80, 14)).tolist() for s in range(8)} for _ in range(2))
+    frame = lambda x: spark.createDataFrame([(s, int(t)) for s, v in x.items() for t in v], "song long, t int")
+    got = {r.song: r for r in folds.one_to_one_scores(frame(est), frame(gt), ["song"], "t", 2).collect()}
+    for s in est:
+        left, hits = list(gt[s]), 0
+        for e in est[s]:
+            g = next((g for g in left if abs(e - g) <= 2), None)
+            if g is not None:
+                left.remove(g)
+                hits += 1
+        assert (got[s].hits, got[s].n_found, got[s].n_true) == (hits, len(est[s]), len(gt[s])) and np.isclose(got[s].precision, hits / len(est[s]))
+
+
+def test_timed_paths_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(8)
+    for _ in range(10):
+        e, a, p, d = rng.normal(size=(5, 2)), rng.normal(size=(2, 2)), rng.normal(size=2), rng.normal(size=(2, 3))
+        best = -np.inf
+        for cuts in itertools.chain.from_iterable(itertools.combinations(range(1, 5), k) for k in range(5)):
+            edges = [0, *cuts, 5]
+            parts = list(itertools.pairwise(edges))
+            if max(y - x for x, y in parts) > 3:
+                continue
+            for states in itertools.product(range(2), repeat=len(parts)):
+                s = p[states[0]] + sum(a[i, j] for i, j in itertools.pairwise(states)) + sum(e[x:y, q].sum() + d[q, y - x - 1] for (x, y), q in zip(parts, states, strict=True))
+                best = max(best, s)
+        path, score = decode.best_timed_path(e, a, p, d)
+        assert np.isclose(score, best) and path[0][0] == 0 and path[-1][1] == 5 and all(x[1] == y[0] for x, y in itertools.pairwise(path))
+    x = decode.emissions(np.array([[0.5, 0.5]]), np.array([[0.25, 0.75]]))
+    assert np.allclose(np.exp(x), [[0.125, 0.375, 0.125, 0.375]]) and decode.durations([[0.5, 0.5], [0.1, 0.9]], 4).shape == (4, 2)
+    d = spark.createDataFrame([(1, t, [0.0, -2.0] if t < 3 else [-2.0, 0.0]) for t in range(6)], "song long, t int, e array<double>")
+    out = decode.semi_markov(d, ["song"], "t", "e", [[-1.0] * 4] * 2, transition=[[-5.0, 0.0], [0.0, -5.0]]).collect()
+    assert [(r.start, r.end, r.state) for r in out] == [(0, 3, 0), (3, 6, 1)]
+
+
+def test_motifs_tile_a_song_once(spark):
+    rows = [(1, i, i // 2, s) for i, s in enumerate("ABCDABCDXYABZZ")] + [(2, 0, 0, "Q")]
+    d = spark.createDataFrame(rows, "song long, i int, bar int, s string")
+    got = [(r.start, r.length, r.motif) for r in motifs.tiled(d, ["song"], ["i"], "bar", "s").orderBy("song", "start").collect()]
+    assert got == [(0, 4, "A B C D"), (4, 4, "A B C D"), (8, 1, "X"), (9, 1, "Y"), (10, 2, "A B"), (12, 1, "Z"), (13, 1, "Z"), (0, 1, "Q")]
+
+
+def test_parts_follow_each_other_in_a_stream(spark, tmp_path):
+    assert loops.part_change(list("abcd") * 3, 4, 8) is None and loops.part_change(list("abcd"), 4, 8) is None
+    assert loops.part_change(list("abcd") * 4 + list("xyxyxyxy"), 4, 8) == 16
+    rows = [("s", i, "abcd"[i % 4], False) for i in range(40)] + [("s", 40 + i, "wxyz"[i % 4], False) for i in range(40)] + [("s", 80, None, True), ("t", 0, "a", False), ("t", 1, None, True)]
+    spark.createDataFrame(rows, "session string, beat long, label string, stop boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session string, beat long, label string, stop boolean").parquet(str(tmp_path / "in"))
+    q = loops.follow_parts(stream).writeStream.format("memory").queryName("parts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = sorted((r.session, r.part, r.n_beats, r.period) for r in spark.table("parts").collect())
+    assert [x[:2] for x in got] == [("s", 0), ("s", 1), ("t", 0)] and sum(x[2] for x in got if x[0] == "s") == 80 and got[0][3] == got[1][3] == 4 and got[2] == ("t", 0, 1, None)
