@@ -144,6 +144,7 @@ def map_texts(documents: DataFrame, make, fields: str, keep: list[str] | None =
     types = list(to_arrow_schema(added).types)
 
     def run(batches):
+        give_back()  # what earlier tasks of this worker left
         work = make()
         for batch in batches:
             last = batch.num_columns - 1

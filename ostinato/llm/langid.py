@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.common import fold, map_texts
+from ostinato.llm.common import fold, give_back, map_texts
 
 DIMS = 4096
 UNKNOWN = "und"
+_LETTER_RUNS = re.compile(r"[^\W\d_]+")
 #: Signs such as fractions, superscripts and Roman numerals: word characters for ``re``, but no letters.
-_NUMBER_SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_LETTER_RUNS = re.compile(rf"[^\W\d_{_NUMBER_SIGNS}]+")
+_NUMBER_SIGNS = frozenset(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_BLANKED = dict.fromkeys(map(ord, _NUMBER_SIGNS), " ")
 _BLOCK = 1 << 20  # letters handled at once: bounds memory on very long texts
 
 
@@ -26,7 +27,10 @@ def gram_counts(text) -> np.ndarray | None:
     """
     if not isinstance(text, str):
         return None
-    runs = _LETTER_RUNS.findall(text.lower())
+    low = text.lower()
+    if not (low.isascii() or _NUMBER_SIGNS.isdisjoint(low)):
+        low = low.translate(_BLANKED)
+    runs = _LETTER_RUNS.findall(low)
     if not runs:
         return None
     code = np.frombuffer((" " + " ".join(runs) + " ").encode("utf-32-le", "replace"), dtype=np.uint32)
@@ -92,9 +96,14 @@ class LanguageModel:
 
 def _sample_features(batches):
     for pdf in batches:
-        rows = [(y, gram_counts(t)) for y, t in zip(pdf["lang"], pdf["text"], strict=True)]
-        rows = [(y, np.flatnonzero(n), n) for y, n in rows if n is not None]
-        yield pd.DataFrame({"lang": [y for y, _, _ in rows], "at": [i.astype(np.int32) for _, i, _ in rows], "n": [n[i].astype(np.float32) for _, i, n in rows]}, dtype=object)
+        rows = []
+        for y, t in zip(pdf["lang"], pdf["text"], strict=True):
+            n = gram_counts(t)
+            if n is not None:
+                at = np.flatnonzero(n)
+                rows.append((y, at.astype(np.int32), n[at].astype(np.float32)))
+        yield pd.DataFrame({c: [r[i] for r in rows] for i, c in enumerate(("lang", "at", "n"))}, dtype=object)
+    give_back()
 
 
 def fit(documents: DataFrame, n_folds: int = 5, held_out: int = 0, per_language: int = 600, bits: int = 15) -> LanguageModel | None:

@@ -255,6 +255,7 @@ def encode(documents: DataFrame, model: str = MODEL, keep: list[str] | None = No
     shared = documents.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(batches):
+        give_back()
         matcher = PieceMatcher(shared.value)
         for batch in batches:
             for part in pieces_of(batch, [batch.schema.get_field_index("text")], 4 << 20):
@@ -315,6 +316,7 @@ def encode_and_check(documents: DataFrame, model: str = MODEL) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(batches):
+        give_back()
         matcher, of = PieceMatcher(shared.value), _bytes_of(shared.value)
         for batch in batches:
             for part in pieces_of(batch, [batch.schema.get_field_index("text")]):

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ostinato.llm.common import WORD_TABLE, labelled_sample, map_texts, utf8
+from ostinato.llm.common import WORD_TABLE, give_back, labelled_sample, map_texts, utf8
 
 #: As WORD_TABLE, but full stops, question and exclamation marks and line ends become line feeds.
 _SENTENCE_TABLE = bytes(10 if c in b".!?\n\r" else WORD_TABLE[c] for c in range(256))
@@ -57,6 +57,17 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
+class _Bags:
+    """Documents as lists of their sentences' sets of words, made from strings at each pass: kept, they would take ten times the memory."""
+
+    def __init__(self, said):
+        self.said = said
+
+    def __iter__(self):
+        for sentences_ in self.said:
+            yield [set(s.encode().split()) for s in sentences_]
+
+
 def _train(bags: list[list[set]], y: np.ndarray, rounds: int, ridge: float, words_kept: int) -> ToxicityModel:
     """Words whose document frequencies differ between labels, weighted by gradient steps on the
     noisy-or likelihood of the document labels."""
@@ -73,7 +84,7 @@ def _train(bags: list[list[set]], y: np.ndarray, rounds: int, ridge: float, word
             gain[w] = z
     kept = sorted(gain, key=lambda w: (-gain[w], w))[:words_kept]
     index = {w: i for i, w in enumerate(kept)}
-    of_doc = np.array([d for d, bag in enumerate(bags) for _ in bag], dtype=np.int64)
+    of_doc = np.repeat(np.arange(len(y)), [len(bag) for bag in bags])
     hits = [(s, index[w]) for s, words in enumerate(x for bag in bags for x in bag) for w in words & index.keys()]
     at, word = (np.array(x, dtype=np.int64) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 2
     base = max(1e-4, n1 / (n0 + n1)) / max(1.0, len(of_doc) / len(y))
@@ -104,23 +115,27 @@ def fit(
     """Learn from at most ``limit`` labelled documents outside the held-out fold.
 
     The sample holds those of at most ``max_sentences`` sentences, so no more than limit *
-    max_sentences * MAX_WORDS words reach the driver. Scoring has no such bound. Without labelled
+    max_sentences * MAX_WORDS words reach the driver; at most ``words_kept`` words get weights, those that tell the
+    labels apart best. Scoring has no such bounds. Without labelled
     rows of both labels nothing can be learned and every document scores close to 0.
     """
 
     def words(batches):
         for pdf in batches:
-            said = [(y, sentences(t)) for y, t in zip(pdf["y"], pdf["text"], strict=True)]
-            said = [(y, [b" ".join(sorted(set(w))) for _, _, w in s]) for y, s in said if len(s) <= max_sentences]
-            yield pd.DataFrame({"y": [y for y, _ in said], "said": [[x.decode("utf-8", "replace") for x in s] for _, s in said]}, dtype=object)
+            said = []
+            for y, t in zip(pdf["y"], pdf["text"], strict=True):
+                s = sentences(t)
+                if len(s) <= max_sentences:
+                    said.append((y, [b" ".join(sorted(set(w))).decode("utf-8", "replace") for _, _, w in s]))
+            yield pd.DataFrame({"y": [y for y, _ in said], "said": [s for _, s in said]}, dtype=object)
+        give_back()
 
     sample = labelled_sample(documents, labels, "toxic", n_folds, held_out, limit).select("y", "text")
     got = sample.mapInPandas(words, "y int, said array<string>").toPandas()
     y = got["y"].to_numpy(dtype=np.int64)
     if len(set(y)) < 2:
         return ToxicityModel({}, -20.0)
-    bags = [[set(s.encode().split()) for s in said] for said in got["said"]]
-    return _train(bags, y, rounds, ridge, words_kept)
+    return _train(_Bags(got["said"]), y, rounds, ridge, words_kept)
 
 
 def score(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
