@@ -161,13 +161,12 @@ def section_keys(spark, sf_dir):
     + _PROFILES
     + """, es AS (SELECT song, pos, key, sum(y * lp) AS e FROM (SELECT * FROM tone WHERE NOT (y = 1.0 AND pc = (root + 7) % 12) UNION ALL SELECT song, pos, root, (root + 7) % 12, 1.0 FROM ch WHERE q <> 'error') JOIN kd USING (pc) GROUP BY 1, 2, 3),
     ws AS (SELECT song, pos, key, sum(e) OVER (PARTITION BY song, key ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS s FROM es),
-    r AS (SELECT *, """
-    + _BEST.format(by="song, pos")
-    + " FROM ws) SELECT song, pos, key FROM r WHERE k = 1"
+    m AS (SELECT *, max(s) OVER (PARTITION BY song, pos) AS m FROM ws) SELECT song, pos, round(1 / sum(exp(s - m)), 4) AS confidence FROM m GROUP BY 1, 2"""
 )
 def rolling_keys(spark, sf_dir):
+    """How sure the likeliest key of nine rows is; keys that tie differ by rounding only, their confidence doesn't."""
     d = _parsed(spark, sf_dir)
-    return K.rolling_keys(d, SONG, ORDER, 4, T.chord_weights(F.col("root"), F.col("quality"))).select("song", "pos", "key")
+    return K.rolling_keys(d, SONG, ORDER, 4, T.chord_weights(F.col("root"), F.col("quality"))).select("song", "pos", F.round("confidence", 4).alias("confidence"))
 
 
 @query(
