@@ -220,14 +220,17 @@ def key_scores(chroma: Column) -> Column:
     for profile in (MAJOR_PROFILE, MINOR_PROFILE):
         whole = sum(profile)
         rows += [F.array(*[F.lit(math.log(profile[(pc - tonic) % 12] / whole)) for pc in range(12)]) for tonic in range(12)]
-    return F.transform(F.array(*rows), lambda p: V.dot(p, chroma))
+    return V.bound(chroma, lambda c: F.transform(F.array(*rows), lambda p: V.dot(p, c)))
 
 
 def best_key(chroma: Column) -> Column:
     """struct(key, tonic, mode, confidence): the likeliest key, the lowest index on ties."""
-    s = key_scores(chroma)
-    k = V.argmax(s)
-    return F.struct(k.alias("key"), F.pmod(k, F.lit(12)).alias("tonic"), F.when(k < 12, "major").otherwise("minor").alias("mode"), F.element_at(V.softmax(s), k + 1).alias("confidence"))
+
+    def told(x):
+        k = x["k"]
+        return F.struct(k.alias("key"), F.pmod(k, F.lit(12)).alias("tonic"), F.when(k < 12, "major").otherwise("minor").alias("mode"), F.element_at(V.softmax(x["s"]), k + 1).alias("confidence"))
+
+    return V.bound(V.bound(key_scores(chroma), lambda s: F.struct(s.alias("s"), V.argmax(s).alias("k"))), told)
 
 
 def match_grade(root_a: Column, family_a: Column, mask_a: Column, root_b: Column, family_b: Column, mask_b: Column) -> Column:

@@ -30,19 +30,18 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector divided by its length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))
+    return bound(F.struct(v.alias("v"), norm(v).alias("n")), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x.cast("double"))))
 
 
 def shares(v: Column) -> Column:
     """The vector divided by its sum; a vector without mass is spread evenly."""
-    s = total(v)
-    return F.transform(v, lambda x: F.when(s > 0, x / s).otherwise(F.lit(1.0) / F.size(v)))
+    return bound(F.struct(v.alias("v"), total(v).alias("s")), lambda y: F.transform(y["v"], lambda x: F.when(y["s"] > 0, x / y["s"]).otherwise(F.lit(1.0) / F.size(y["v"]))))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, 0 where a vector has no length."""
-    return F.when((norm(a) > 0) & (norm(b) > 0), dot(a, b) / (norm(a) * norm(b))).otherwise(0.0)
+    parts = F.struct(norm(a).alias("a"), norm(b).alias("b"), dot(a, b).alias("d"))
+    return bound(parts, lambda s: F.when((s["a"] > 0) & (s["b"] > 0), s["d"] / (s["a"] * s["b"])).otherwise(0.0))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -56,13 +55,11 @@ def argmax(v: Column) -> Column:
 
 
 def log_sum_exp(v: Column) -> Column:
-    top = F.array_max(v)
-    return top + F.ln(total(F.transform(v, lambda x: F.exp(x - top))))
+    return bound(F.struct(v.alias("v"), F.array_max(v).alias("top")), lambda s: s["top"] + F.ln(total(F.transform(s["v"], lambda x: F.exp(x - s["top"])))))
 
 
 def softmax(v: Column) -> Column:
-    z = log_sum_exp(v)
-    return F.transform(v, lambda x: F.exp(x - z))
+    return bound(F.struct(v.alias("v"), log_sum_exp(v).alias("z")), lambda s: F.transform(s["v"], lambda x: F.exp(x - s["z"])))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -94,9 +91,9 @@ def folded(v: Column, lowest: int, classes: int = 12) -> Column:
 def tonal_centroid(chroma: Column) -> Column:
     """The 6-dimensional tonal centroid of a 12-class chroma: circles of fifths, minor and major thirds."""
     radius, step = (1.0, 1.0, 0.5), (7 * math.pi / 6, 3 * math.pi / 2, 2 * math.pi / 3)
-    s = total(chroma)
     rows = []
     for r, w in zip(radius, step, strict=True):
         for f in (math.sin, math.cos):
             rows.append(F.array(*[F.lit(r * f(w * k)) for k in range(12)]))
-    return F.transform(F.array(*rows), lambda m: F.when(s > 0, dot(m, chroma) / s).otherwise(0.0))
+    both = F.struct(chroma.alias("c"), total(chroma).alias("s"))
+    return bound(both, lambda b: F.transform(F.array(*rows), lambda m: F.when(b["s"] > 0, dot(m, b["c"]) / b["s"]).otherwise(0.0)))
