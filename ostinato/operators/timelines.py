@@ -167,3 +167,49 @@ def agreement(a: Column, b: Column) -> Column:
     """Share of equal elements by position, over the longer array; 0 where both are empty."""
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & x.isNotNull()), lambda ok: ok))
     return F.coalesce(same / F.nullif(F.greatest(F.size(a), F.size(b)), F.lit(0)), F.lit(0.0))
+
+
+def along_diagonals(pairs: DataFrame, keys: list[str], value: str, reach: int = 3) -> DataFrame:
+    """Similarities of pairs (i, j) averaged with those up to ``reach`` rows before and after on the same diagonal, so
+    that repeated passages, not single rows, stand out. Pairs that aren't given don't count."""
+    w = Window.partitionBy(*keys, F.col("j") - F.col("i")).orderBy("i").rangeBetween(-reach, reach)
+    return pairs.withColumn(value, F.avg(value).over(w))
+
+
+def bar_distributions(df: DataFrame, keys: list[str], middle: str, values: list[str], length: float, anchor: float) -> DataFrame:
+    """Distributions of rows averaged over the bars of a grid (``length``, from ``anchor``) that hold their ``middle``, and
+    scaled to sum to 1: keys, bar (from 0; what lies before the grid goes) and ``values``. Bars without rows up to the last have zeros."""
+    bar = F.floor((F.col(middle) - anchor) / length).cast("long").alias("bar")
+    d = df.select(*keys, bar, *values).filter("bar >= 0").groupBy(*keys, "bar").agg(*[F.avg(v).alias(v) for v in values])
+    last = d.groupBy(*keys).agg(F.max("bar").alias("_n")).withColumn("bar", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n")))).drop("_n")
+    d = last.join(d, [*keys, "bar"], "left").fillna(0.0, values)
+    total = sum((F.col(v) for v in values[1:]), F.col(values[0]))
+    return d.withColumn("_t", total).withColumns({v: F.when(F.col("_t") > 1e-9, F.col(v) / F.col("_t")).otherwise(F.col(v)) for v in values}).drop("_t")
+
+
+def grid_period(df: DataFrame, keys: list[str], place: str, curve: str, grids: tuple[int, ...] = (4, 2), share: float = 0.6) -> DataFrame:
+    """(keys, period): the coarsest grid off which a curve is at most ``share`` of what it is on it, at the phase that parts
+    them most, else 1. ``place`` counts a section's rows from 0; its first row doesn't count, nor grids as long as the rest."""
+    d = df.filter(F.col(place) > 0).select(*keys, place, F.col(curve).alias("_x"), F.explode(F.array(*map(F.lit, grids))).alias("g"))
+    n = d.groupBy(*keys, "g", F.pmod(place, F.col("g")).alias("p")).agg(F.sum("_x").alias("s"), F.count("*").alias("n"))
+    w = Window.partitionBy(*keys, "g")
+    n = n.withColumns({"on": F.col("s") / F.col("n"), "off": F.coalesce((F.sum("s").over(w) - F.col("s")) / F.nullif(F.sum("n").over(w) - F.col("n"), F.lit(0)), F.lit(0.0)), "all": F.sum("n").over(w)})
+    best = n.filter("all >= g + 1").groupBy(*keys, "g").agg(F.max_by(F.struct("on", "off"), F.struct(F.col("on") - F.col("off"), -F.col("p"))).alias("b"))
+    found = best.filter(F.col("b.off") <= share * F.col("b.on") + 1e-9).groupBy(*keys).agg(F.max("g").alias("period"))
+    return df.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("period", F.lit(1)).alias("period"))
+
+
+def transposed_copies(df: DataFrame, root: str, by: str = "by") -> DataFrame:
+    """Every row twelve times, its root moved by 0 to 11 semitones (column ``by``)."""
+    out = df.withColumn(by, F.explode(F.sequence(F.lit(0), F.lit(11))))
+    return out.withColumn(root, F.pmod(F.col(root) + F.col(by), F.lit(12)))
+
+
+def inconsistent(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Groups that should agree on a value but don't: keys, the number of its different values, and of rows."""
+    return df.groupBy(*keys).agg(F.count_distinct(value).alias("values"), F.count("*").alias("n")).filter("values > 1")
+
+
+def not_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys aren't in ``done``, so that an interrupted batch goes on where it stopped."""
+    return df.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -370,3 +370,55 @@ def dimension_join(spark, sf_dir):
     """A look-up in a table of 25 rows, which the planner may broadcast by its known size."""
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("balance"))
+
+
+@query(
+    EVENTS_SQL
+    + """, p AS (SELECT a.song, a.pos AS i, b.pos AS j, CASE WHEN a.q = b.q THEN 1.0 ELSE 0.0 END AS s FROM ev a JOIN ev b ON a.song = b.song AND b.pos - a.pos BETWEEN 1 AND 8)
+    SELECT song, i, j, round(avg(s) OVER (PARTITION BY song, j - i ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS s FROM p"""
+)
+def diagonal_similarity(spark, sf_dir):
+    e = events(spark, sf_dir)
+    w = S.ordered(SONG, ORDER)
+    ahead = F.array(*[F.struct((F.col("pos") + k).alias("j"), (F.col("q") == F.lead("q", k).over(w)).cast("double").alias("s")) for k in range(1, 9)])
+    pairs = e.withColumn("ahead", ahead).select("song", F.col("pos").alias("i"), F.explode("ahead").alias("x")).select("song", "i", "x.*").filter("s is not null")
+    return L.along_diagonals(pairs, SONG, "s").withColumn("s", r6("s"))
+
+
+@query(
+    EVENTS_SQL
+    + """, b AS (SELECT song, CAST(floor((pos + 0.5 - 3) / 4) AS BIGINT) AS bar, avg(w) AS a, avg(root) AS b FROM ev GROUP BY 1, 2)
+    SELECT song, bar, round(a / (a + b), 6) AS a, round(b / (a + b), 6) AS b FROM b WHERE bar >= 0 AND a + b > 1e-9"""
+)
+def bar_distributions(spark, sf_dir):
+    e = events(spark, sf_dir).select("song", (F.col("pos") + 0.5).cast("double").alias("mid"), F.col("w").alias("a"), F.col("root").cast("double").alias("b"))
+    return L.bar_distributions(e, SONG, "mid", ["a", "b"], 4.0, 3.0).select("song", "bar", r6("a").alias("a"), r6("b").alias("b"))
+
+
+@query(
+    EVENTS_SQL
+    + """, d AS (SELECT song, pos // 16 AS section, pos % 16 AS k, w FROM ev), g AS (SELECT song, section, g, k % g AS p, sum(w) AS s, count(*) AS n FROM d CROSS JOIN unnest([4, 2]) u(g) WHERE k > 0 GROUP BY 1, 2, 3, 4),
+    t AS (SELECT *, s / n AS on_, coalesce((sum(s) OVER w - s) / nullif(sum(n) OVER w - n, 0), 0) AS off, sum(n) OVER w AS total FROM g WINDOW w AS (PARTITION BY song, section, g)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY song, section, g ORDER BY on_ - off DESC, p) AS r FROM t WHERE total >= g + 1),
+    f AS (SELECT song, section, max(g) AS period FROM b WHERE r = 1 AND off <= 0.6 * on_ + 1e-9 GROUP BY 1, 2)
+    SELECT song, section, coalesce(period, 1) AS period FROM (SELECT DISTINCT song, section FROM d) LEFT JOIN f USING (song, section)"""
+)
+def grid_periods(spark, sf_dir):
+    e = events(spark, sf_dir).withColumns({"section": F.floor(F.col("pos") / 16), "k": F.col("pos") % 16})
+    return L.grid_period(e, ["song", "section"], "k", "w")
+
+
+@query(EVENTS_SQL + "SELECT (root + range) % 12 AS root, range AS by, q, count(*) AS n FROM ev CROSS JOIN range(12) GROUP BY 1, 2, 3")
+def transposed_counts(spark, sf_dir):
+    return L.transposed_copies(events(spark, sf_dir), "root").groupBy("root", "by", "q").agg(F.count("*").alias("n"))
+
+
+@query(EVENTS_SQL + "SELECT song, pos % 16 AS slot, count(DISTINCT q) AS values, count(*) AS n FROM ev GROUP BY 1, 2 HAVING count(DISTINCT q) > 1")
+def slot_inconsistencies(spark, sf_dir):
+    return L.inconsistent(events(spark, sf_dir).withColumn("slot", F.col("pos") % 16), ["song", "slot"], "q")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def orders_not_done(spark, sf_dir):
+    done = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return L.not_done(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), done, ["o_orderkey"])
