@@ -22,6 +22,9 @@ WORD_TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table of this name under ``sf_dir``, read by Spark from whatever store holds it."""
@@ -45,6 +48,16 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on, where the session left Spark's default of 10,000.
+
+    A batch is held whole, in the JVM (in buffers that double as they grow) and again in Python, and texts are long.
+    Results don't depend on it; a value that the session has set itself stays.
+    """
+    if spark.conf.get(_BATCH, None) in (None, "10000"):
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the shared checkpoint folder, with its lineage cut.
 
@@ -138,6 +151,7 @@ def map_texts(documents: DataFrame, make, fields: str, keep: list[str] | None =
     of which about 2 MB are worked on at once; the kept columns pass through unchanged, so nulls and large
     integers stay what they are, and columns that are not kept don't reach Python.
     """
+    short_batches(documents.sparkSession)
     kept = [F.col("doc_id").cast("long").alias("doc_id")] if keep is None else [F.col(c) for c in keep]
     chosen = documents.select(*kept, F.col("text").cast("string").alias("_text"))
     added = StructType.fromDDL(fields)

@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.common import give_back, pieces_of
+from ostinato.llm.common import give_back, pieces_of, short_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK = 1 << 17  # characters indexed at once
-CACHED = 30_000  # segments whose pieces a worker keeps
+CHUNK = 1 << 16  # characters indexed at once
+PART = 512 << 10  # bytes of text worked on at once
+CACHED = 60_000  # segments whose pieces a worker keeps
 KEPT = 1024  # characters up to which it keeps a segment's
 LONG = 96  # characters from which a segment is merged by a heap instead of in step with others
 _NONE = np.int32(2**31 - 1)
@@ -225,11 +226,17 @@ class PieceMatcher:
 
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text, as bytes of 32-bit integers; null and empty texts have none."""
-        parts = [self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        parts = [[x for s in p for x in self.stretches(s)] if any(len(s) > CHUNK for s in p) else p for p in parts]
+        one: dict[str, str] = {}  # a repeated segment is held once
+        parts = []
+        for t in texts:
+            p = self.split(SPACE + t.replace(" ", SPACE)) if t else []
+            if any(len(s) > CHUNK for s in p):
+                p = [x for s in p for x in self.stretches(s)]
+            parts.append([one.setdefault(s, s) for s in p])
         if len(self.cache) > CACHED:
             self.cache.clear()
-        new = sorted({s for p in parts for s in p} - self.cache.keys())
+        new = sorted(one.keys() - self.cache.keys())
+        del one
         block, n = [], 0
         for i, s in enumerate(new):
             block.append(s)
@@ -250,15 +257,16 @@ def encode(documents: DataFrame, model: str = MODEL, keep: list[str] | None = No
     The model's pieces are matched through a suffix array of the batch's distinct segments (runs of
     characters between spaces and line feeds). Null and empty texts have no ids; repeated rows stay
     repeated; columns not in ``keep`` are dropped. One map over the scan, no shuffle. Characters without
-    a piece become the ids of their UTF-8 bytes. Batches are cut so that about 4 MB of text are held.
+    a piece become the ids of their UTF-8 bytes. Batches are cut so that about PART bytes of text are worked on at once.
     """
+    short_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(batches):
         give_back()
         matcher = PieceMatcher(shared.value)
         for batch in batches:
-            for part in pieces_of(batch, [batch.schema.get_field_index("text")], 4 << 20):
+            for part in pieces_of(batch, [batch.schema.get_field_index("text")], PART):
                 got = matcher.encode(part.column("text").to_pylist())
                 offset = np.append(0, np.cumsum([len(x) // 4 for x in got])).astype(np.int32)
                 ids = pa.ListArray.from_arrays(offset, np.frombuffer(b"".join(got), dtype=np.int32))
@@ -313,13 +321,14 @@ def encode_and_check(documents: DataFrame, model: str = MODEL) -> DataFrame:
     A text with a literal space mark (U+2581) can't come back: it decodes to a space. Null counts as
     empty. Both ways run in one map, so that a task needs one Python worker.
     """
+    short_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(batches):
         give_back()
         matcher, of = PieceMatcher(shared.value), _bytes_of(shared.value)
         for batch in batches:
-            for part in pieces_of(batch, [batch.schema.get_field_index("text")]):
+            for part in pieces_of(batch, [batch.schema.get_field_index("text")], PART):
                 texts = part.column("text").to_pylist()
                 got = [np.frombuffer(x, dtype=np.int32) for x in matcher.encode(texts)]
                 size = np.array([len(x) for x in got], dtype=np.int64)
