@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -70,6 +71,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back: lineage is cut, columns can be pruned."""
+    sc = df.sparkSession.sparkContext
+    named = sc._jsc.sc().getCheckpointDir()
+    folder = named.get() if named.isDefined() else checkpoint_folder(df.sparkSession.conf.get("spark.checkpoint.dir", None), sc.master)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.parquet(path)
+
+
 def checkpoint_folder(named: str | None, master: str) -> str:
     """The folder that the session names, a temporary one for a master on one machine, else ValueError."""
     if named:
@@ -177,6 +188,11 @@ def map_texts(documents: DataFrame, make, fields: str, keep: list[str] | None =
     return chosen.mapInArrow(run, StructType([f for f in chosen.schema if f.name != "_text"] + added.fields))
 
 
+def with_fields(df: DataFrame, fields: str) -> StructType:
+    """The schema of ``df`` with further fields."""
+    return StructType(df.schema.fields + StructType.fromDDL(fields).fields)
+
+
 def text_hash(text: Column | str = "text") -> Column:
     """A digest that with the id tells a row: rows that agree on both are repeated."""
     return F.xxhash64(text)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import decontaminate, embedding_dedup, langid, licenses, quality, sentencepieces, setsketch_dedup, sharding, token_counts, toxicity
-from ostinato.llm.common import fold, table
+from ostinato.llm import cross_tokenizer, decontaminate, embedding_dedup, langid, licenses, line_dedup, quality, sentencepieces, setsketch_dedup, sharding, token_counts, toxicity, whitening
+from ostinato.llm.common import fold, stored, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,42 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(embeddings)
+    explained = F.array(*(F.lit(float(v / model.trace)) for v in model.values))
+    out = whitening.transform(embeddings, model).select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    return out.select(
+        "vec_id",
+        (F.col("k") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened",
+        explained[F.col("k")].cast("double").alias("explained"),
+        F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sha = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    aligned = cross_tokenizer.align(table(spark, sf_dir, "documents"))
+    aligned = stored(aligned.withColumn("groups_sha256", sha).drop("groups"))
+    return cross_tokenizer.score_links(aligned)
+
+
+def whitening_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The integer part of the whitening, which SQL can check."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(embeddings, components=0)
+    out = whitening.transform(embeddings, model)
+    return out.select("vec_id", F.lit(model.n).cast("long").alias("n"), F.col("deviation").try_cast("long").alias("deviation"))
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places of the base phrases alone, which SQL can check."""
     return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -79,7 +115,11 @@ QUERIES = {
     "op8_sentencepieces": op8_sentencepieces,
     "op9_setsketch_near_dedup": op9_setsketch_near_dedup,
     "op10_sharding": op10_sharding,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_cross_tokenizer": op13_cross_tokenizer,
     "license_base": license_base,
+    "whitening_base": whitening_base,
 }
 
 #: Components by the smallest label that travels along links; every path from a component's smallest id
@@ -102,6 +142,17 @@ ORACLES: dict[str, str] = {
     ids AS (SELECT id FROM v), {_REACHED},
     d AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
     SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM ids JOIN m ON m.node = id LEFT JOIN d ON d.a = id""",
+    "op11_line_dedup": f"""WITH l AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    i AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM l),
+    k AS (SELECT *, {_LOWER.replace("coalesce(text, '')", "trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k FROM i),
+    f AS (SELECT k, max(doc_id) AS owner FROM k WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT r) >= 3),
+    d AS (SELECT k.*, owner IS NOT NULL AND owner IS DISTINCT FROM doc_id AS gone FROM k LEFT JOIN f USING (k))
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM d GROUP BY r""",
+    "whitening_base": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT + 100000) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    e AS (SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS d FROM v), s AS (SELECT d, sum(x) AS s, count(*) AS n FROM e GROUP BY 1)
+    SELECT vec_id, any_value(n) AS n, sum((n * x - s) * (n * x - s))::BIGINT AS deviation FROM e JOIN s USING (d) GROUP BY 1""",
     "op9_setsketch_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
     s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
       ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),

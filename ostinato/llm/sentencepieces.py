@@ -279,7 +279,7 @@ def encode(documents: DataFrame, model: str = MODEL, keep: list[str] | None = No
     return chosen.mapInArrow(run, schema)
 
 
-def _bytes_of(pieces: list[tuple[str, float, int]]) -> list[bytes]:
+def bytes_of(pieces: list[tuple[str, float, int]]) -> list[bytes]:
     """The UTF-8 bytes that each id stands for, spaces in place of marks."""
     return [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else p.replace(SPACE, " ").encode() for p, _, k in pieces]
 
@@ -298,7 +298,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(batches):
-        of = _bytes_of(shared.value)
+        of = bytes_of(shared.value)
         n = len(of)
         for batch in batches:
             texts = []
@@ -326,7 +326,7 @@ def encode_and_check(documents: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         give_back()
-        matcher, of = PieceMatcher(shared.value), _bytes_of(shared.value)
+        matcher, of = PieceMatcher(shared.value), bytes_of(shared.value)
         for batch in batches:
             for part in pieces_of(batch, [batch.schema.get_field_index("text")], PART):
                 texts = part.column("text").to_pylist()
