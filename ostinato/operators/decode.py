@@ -1,14 +1,13 @@
-"""Most likely paths: dynamic programmes over one sequence at a time, in Arrow groups.
-
-A sequence is one group, so its emissions must fit a task: rows times states doubles.
-"""
+"""Most likely paths and segmentations: plain versions over one array, and operators that solve long sequences in blocks."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ostinato.operators import lattice as L
 
 
 def best_path(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray) -> tuple[np.ndarray, float]:
@@ -89,44 +88,38 @@ def durations(pmf: np.ndarray, states: int, floor: float = 1e-6) -> np.ndarray:
     return np.tile(p, (states // len(p), 1))
 
 
-def _with(df: DataFrame, keys: list[str], columns: list[str], fields: list[StructField]) -> StructType:
-    known = {f.name: f for f in df.schema}
-    return StructType([known[c] for c in [*keys, *columns]] + fields)
-
-
 def viterbi(df: DataFrame, keys: list[str], order: str, emission: str, transition: list[list[float]], initial: list[float]) -> DataFrame:
     """keys, order, state and the path's log score for every row; ``emission`` holds log-likelihoods of the
-    states, null rows count as uninformative. Columns besides keys and order are dropped."""
-    a, first = np.array(transition, dtype=float), np.array(initial, dtype=float)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
-        rows = np.array([np.zeros(len(first)) if x is None else np.asarray(x, dtype=float) for x in g[emission]])
-        path, score = best_path(rows, a, first)
-        return g[[*keys, order]].assign(state=path.astype(np.int32), log_score=score)
-
-    schema = _with(df, keys, [order], [StructField("state", IntegerType()), StructField("log_score", DoubleType())])
-    return df.select(*keys, order, emission).groupBy(*keys).applyInPandas(run, schema)
+    states, null rows count as uninformative. Columns besides keys and order are dropped. Sequences are solved in blocks."""
+    k = len(initial)
+    rows = df.withColumns({"_labels": F.array(*map(F.lit, range(k))), "_scores": F.coalesce(emission, F.array(*[F.lit(0.0)] * k))})
+    out = L.best_paths(rows, keys, [order], L.Steps(transition, initial), "_labels", "_scores")
+    return out.select(*keys, order, F.col("choice").alias("state"), "log_score")
 
 
 def semi_markov(
     df: DataFrame, keys: list[str], order: str, emission: str, log_duration: list[list[float]], weight: float = 1.0, transition: list[list[float]] | None = None, initial: list[float] | None = None
 ) -> DataFrame:
-    """keys, segment (from 0), start and end (rows, end exclusive) and state of the best segmentation; with ``transition``
-    (and perhaps ``initial``) log scores of steps between states count too."""
-    lengths = np.array(log_duration, dtype=float)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
-        e = np.array(g[emission].to_list(), dtype=float)
-        if transition is None:
-            found = best_segments(e, lengths, weight)
-        else:
-            found, _ = best_timed_path(e, np.array(transition, dtype=float), np.zeros(e.shape[1]) if initial is None else np.array(initial, dtype=float), weight * lengths)
-        out = pd.DataFrame(found, columns=["start", "end", "state"], dtype="int32")
-        for c in keys:
-            out[c] = g[c].iloc[0]
-        return out.assign(segment=np.arange(len(out), dtype=np.int32))[[*keys, "segment", "start", "end", "state"]]
-
-    schema = _with(df, keys, [], [StructField(c, IntegerType()) for c in ("segment", "start", "end", "state")])
-    return df.select(*keys, order, emission).groupBy(*keys).applyInPandas(run, schema)
+    """keys, segment (from 0), start and end (rows, end exclusive), state and log_score of the best segmentation.
+
+    A segment scores its emissions and ``weight`` times the log probability of its length (``log_duration``: states x lengths from 1),
+    with ``transition`` (and perhaps ``initial``) also the step from the state before it, which may be the same. Of equal segmentations low
+    states win, then short segments, from the last one back. A state of the lattice is a state and the rows since its segment began, so
+    a block's product has (states x lengths) squared numbers. A sequence that no segmentation fits raises ValueError where it is solved.
+    """
+    lengths = np.asarray(log_duration, dtype=float) * weight
+    k, d = lengths.shape
+    step = np.full((k, d, k, d), -np.inf)
+    for age in range(d - 1):
+        step[range(k), age, range(k), age + 1] = 0.0
+    step[:, :, :, 0] = lengths[:, :, None] + (0.0 if transition is None else np.asarray(transition, dtype=float)[:, None, :])
+    first = np.full((k, d), -np.inf)
+    first[:, 0] = 0.0 if initial is None else initial
+    steps = L.Steps(step.reshape(k * d, k * d), first.ravel(), lengths.ravel())
+    rows = df.withColumns({"_labels": F.array(*map(F.lit, range(k * d))), "_scores": F.flatten(F.transform(emission, lambda x: F.array_repeat(x, d)))})
+    path = L.best_paths(rows, keys, [order], steps, "_labels", "_scores")
+    path = path.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).alias("_row"), F.expr(f"choice div {d}").cast("int").alias("state"), (F.col("choice") % d).alias("_age"), F.when(F.col("log_score") <= L.LOWEST, F.raise_error(F.lit("no segmentation has a positive probability"))).otherwise(F.col("log_score")).alias("log_score"))
+    by_start = Window.partitionBy(*keys).orderBy("_row")
+    path = path.withColumn("_segment", F.sum((F.col("_age") == 0).cast("int")).over(by_start))
+    out = path.groupBy(*keys, "_segment").agg(F.min("_row").alias("_a"), F.max("_row").alias("_z"), F.first("state").alias("state"), F.first("log_score").alias("log_score"))
+    return out.select(*keys, (F.col("_segment") - 1).cast("int").alias("segment"), (F.col("_a") - 1).cast("int").alias("start"), F.col("_z").cast("int").alias("end"), "state", "log_score")

@@ -329,10 +329,11 @@ def fifth_competition(spark, sf_dir):
 @query(
     EVENTS_SQL
     + """, x AS (SELECT song, pos, w / 100 AS x FROM ev)
-    SELECT song, pos, round(CASE WHEN x <= 0.2 THEN 0.1 WHEN x <= 0.5 THEN 0.1 + (x - 0.2) * 0.3 / 0.3 WHEN x <= 0.9 THEN 0.4 + (x - 0.5) * 0.55 / 0.4 ELSE 0.95 END, 6) AS calibrated FROM x"""
+    SELECT song, pos, round(CASE WHEN x <= 0.2 THEN 0.1 WHEN x <= 0.5 THEN 0.1 + (x - 0.2) * ((0.37 - 0.1) / (0.5 - 0.2)) WHEN x <= 0.9 THEN 0.37 + (x - 0.5) * ((0.95 - 0.37) / (0.9 - 0.5)) ELSE 0.95 END, 6) AS calibrated FROM x"""
 )
 def calibrated_confidence(spark, sf_dir):
-    return events(spark, sf_dir).select("song", "pos", r6(Q.interpolate(F.col("w") / 100, [(0.2, 0.1), (0.5, 0.4), (0.9, 0.95)])).alias("calibrated"))
+    """Slopes are 0.9 and 1.45: weights of two decimals give six at most, so that rounding meets no ties."""
+    return events(spark, sf_dir).select("song", "pos", r6(Q.interpolate(F.col("w") / 100, [(0.2, 0.1), (0.5, 0.37), (0.9, 0.95)])).alias("calibrated"))
 
 
 @query(

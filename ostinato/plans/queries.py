@@ -597,10 +597,21 @@ def motif_saving(spark, sf_dir):
     return M.motifs(_barred(spark, sf_dir), SONG, ORDER, "bar", "q")
 
 
-@query()
+@query(
+    EVENTS_SQL.replace("WITH ev", "WITH RECURSIVE ev", 1)
+    + """, k AS (SELECT CAST(round(ln(0.9) * 1073741824) AS BIGINT) AS stay, CAST(round(ln(0.1) * 1073741824) AS BIGINT) AS go, CAST(round(ln(0.5) * 1073741824) AS BIGINT) AS init),
+    e AS (SELECT song, pos, CAST(round(ln(1.05 - x) * 1073741824) AS BIGINT) AS e0, CAST(round(ln(0.05 + x) * 1073741824) AS BIGINT) AS e1 FROM (SELECT song, pos, least(w / 100, 1.0) AS x FROM ev)),
+    f(song, pos, a0, a1, b0, b1) AS (SELECT song, pos, init + e0, init + e1, 0, 0 FROM e CROSS JOIN k WHERE pos = 0
+      UNION ALL SELECT e.song, e.pos, e0 + greatest(a0 + stay, a1 + go), e1 + greatest(a0 + go, a1 + stay), CASE WHEN a0 + stay >= a1 + go THEN 0 ELSE 1 END, CASE WHEN a0 + go >= a1 + stay THEN 0 ELSE 1 END
+      FROM f JOIN e ON e.song = f.song AND e.pos = f.pos + 1 CROSS JOIN k),
+    z AS (SELECT song, max(pos) AS pos FROM e GROUP BY 1),
+    b(song, pos, s, score) AS (SELECT song, pos, CASE WHEN a0 >= a1 THEN 0 ELSE 1 END, greatest(a0, a1) FROM f JOIN z USING (song, pos)
+      UNION ALL SELECT b.song, b.pos - 1, CASE b.s WHEN 0 THEN b0 ELSE b1 END, score FROM b JOIN f ON f.song = b.song AND f.pos = b.pos WHERE b.pos > 0)
+    SELECT song, pos, s AS state, round(score / 1073741824, 6) AS log_score FROM b"""
+)
 def viterbi(spark, sf_dir):
     """Two states, quiet and loud, decoded from the events' weights."""
     x = F.least(F.col("w") / 100, F.lit(1.0))
     e = events(spark, sf_dir).withColumn("e", F.array(F.ln(1.05 - x), F.ln(0.05 + x)))
     stay, go = math.log(0.9), math.log(0.1)
-    return D.viterbi(e, SONG, "pos", "e", [[stay, go], [go, stay]], [math.log(0.5)] * 2)
+    return D.viterbi(e, SONG, "pos", "e", [[stay, go], [go, stay]], [math.log(0.5)] * 2).withColumn("log_score", r6("log_score"))
