@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 # Bytes that end a word: everything in ASCII but digits and letters. Upper-case ASCII is lowered,
 # bytes of 0x80 and above (any other script) always belong to words.
@@ -102,8 +103,10 @@ def labelled_sample(
 
     Labels other than 0 and 1 (null included) are no labels; where an id has several, the largest
     counts. Ids are drawn by their hash, so the sample doesn't depend on the order of rows. The
-    drawn ids are at most ``limit`` rows and are broadcast; documents are scanned once and not shuffled.
+    drawn ids are at most ``limit`` rows and are broadcast; documents are scanned once. Of rows that repeat an id at most four
+    count, the first by their texts' hashes, so the sample has at most four times ``limit`` rows; only it is shuffled.
     """
+    short_batches(documents.sparkSession)
     drawn = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -113,7 +116,13 @@ def labelled_sample(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    return documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return few_of_each(documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), ["doc_id"])
+
+
+def few_of_each(rows: DataFrame, keys: list[str], most: int = 4) -> DataFrame:
+    """At most ``most`` rows of each of ``keys``, the first by the hash of ``text``; others are left out before the shuffle already."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"), "text"))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.common import fold, give_back, map_texts
+from ostinato.llm.common import few_of_each, fold, give_back, map_texts, short_batches
 
 DIMS = 4096
 UNKNOWN = "und"
@@ -54,19 +54,33 @@ def features(text) -> np.ndarray | None:
     return x / np.sqrt(n.sum())
 
 
-def codewords(k: int, bits: int, seed: int = 11) -> np.ndarray:
+def distance(code: np.ndarray) -> int:
+    """The smallest Hamming distance between two codewords."""
+    bits = code.shape[1]
+    agree = code.astype(np.float32) @ code.T.astype(np.float32)
+    np.fill_diagonal(agree, -bits)
+    return int(round((bits - agree.max()) / 2))
+
+
+def codewords(k: int, bits: int | None = None, seed: int = 11) -> np.ndarray:
     """A (k, bits) matrix of +1 and -1 whose rows lie far apart and whose columns all split the rows.
 
     The best of many random matrices by the smallest Hamming distance between rows; a column that
-    doesn't split them has one of its entries turned.
+    doesn't split them has one of its entries turned. Without ``bits`` there are 15, or as many more (by fives) as
+    bring that distance to 5, so that two wrong bits can be corrected whatever the number of languages.
     """
+    if bits is None:
+        bits = 15
+        while k > 1 and distance(code := codewords(k, bits, seed)) < 5:
+            bits += 5
+        return code if k > 1 else codewords(k, bits, seed)
     rng = np.random.default_rng(seed)
     best, score = np.ones((k, bits), dtype=np.int8), -1
-    for _ in range(200 if k > 1 else 0):
+    for _ in range(200 if 1 < k <= 64 else 10 if k > 1 else 0):
         code = rng.choice(np.array([-1, 1], dtype=np.int8), size=(k, bits))
         flat = np.flatnonzero((code == code[0]).all(axis=0))
         code[rng.integers(0, k, len(flat)), flat] *= -1
-        far = ((code[:, None] != code[None]).sum(axis=2) + bits * np.eye(k, dtype=int)).min()
+        far = distance(code)
         if far > score:
             best, score = code, far
     return best
@@ -106,20 +120,21 @@ def _sample_features(batches):
     give_back()
 
 
-def fit(documents: DataFrame, n_folds: int = 5, held_out: int = 0, per_language: int = 600, bits: int = 15) -> LanguageModel | None:
+def fit(documents: DataFrame, n_folds: int = 5, held_out: int = 0, per_language: int = 600, bits: int | None = None) -> LanguageModel | None:
     """Learn from documents with a language outside the held-out fold; null if there are none.
 
     About ``per_language`` documents of each language are drawn, those whose hashed id lies below a
-    threshold set from the language's count, and each sends at most DIMS counts to the driver: the
+    threshold set from the language's count, at most four rows an id, and each sends at most DIMS counts to the driver: the
     bound is about languages * per_language * DIMS * 8 bytes. The ridge system solved there has the
     smaller of the sample's size and DIMS as its order.
     """
+    short_batches(documents.sparkSession)
     rows = documents.select("doc_id", "lang", "text").filter("lang is not null and text is not null")
     rows = rows.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), n_folds) != held_out))
     rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.broadcast(sizes.select("lang", (F.lit(float(1 << 30)) * per_language / F.col("n")).alias("below")))
-    sample = rows.join(draw, "lang").filter("h < below").select("lang", "text")
+    sample = few_of_each(rows.join(draw, "lang").filter("h < below"), ["doc_id", "lang"]).select("lang", "text")
     got = sample.mapInPandas(_sample_features, "lang string, at array<int>, n array<float>").toPandas()
     if not len(got):
         return None

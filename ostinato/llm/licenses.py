@@ -68,11 +68,11 @@ TEMPLATES = [
 
 _MARK = re.compile(r"<<(beginOptional)[^>]*>>|<<(endOptional)>>|<<var;(.*?)>>", re.S)
 _SPAN = re.compile(r"\.\{(\d+),(\d+)\}")
-MAX_VAR = 40  # words of a replaceable region whose pattern sets no bound
+KNOWN_MOVES = 100_000  # moves between sets of states that a worker remembers
 
 
 def _parts(markup: str) -> list:
-    """The template as nested lists: words, ("var", least, most) and ("opt", [...])."""
+    """The template as nested lists: words, ("var", least, most; None without a bound) and ("opt", [...])."""
     stack: list[list] = [[]]
     at = 0
     for m in _MARK.finditer(markup):
@@ -91,7 +91,7 @@ def _parts(markup: str) -> list:
             span = _SPAN.fullmatch(want)
             if not span and want not in (".+", ".*"):
                 raise ValueError(f"replaceable region with a pattern that isn't supported: {want}")
-            stack[-1].append(("var", *map(int, span.groups())) if span else ("var", int(want == ".+"), MAX_VAR))
+            stack[-1].append(("var", *map(int, span.groups())) if span else ("var", int(want == ".+"), None))
     if len(stack) > 1:
         raise ValueError("beginOptional without endOptional")
     return stack[0] + ascii_words(markup[at:])
@@ -141,11 +141,14 @@ class Automaton:
                 at = out
             else:
                 out = self._state()
-                for k in range(p[2]):
+                at = self._fork(at)
+                for k in range(p[1] if p[2] is None else p[2]):
                     if k >= p[1]:
                         self.skips[at].append(out)
                     self.free[at] = self._state()
                     at = self.free[at]
+                if p[2] is None:
+                    self.free[at] = at  # takes any word and stays
                 self.skips[at].append(out)
                 at = out
         return at
@@ -168,22 +171,65 @@ class Automaton:
         key = (states, word if word in self.known else b"")
         got = self.memo.get(key)
         if got is None:
+            if len(self.memo) > KNOWN_MOVES:
+                self.memo.clear()
             to = {self.step[s][word] for s in states if word in self.step[s]} | {self.free[s] for s in states if self.free[s] >= 0}
             got = self.memo[key] = self._closed(to)
         return got
 
     def find(self, words: list[bytes]) -> list[tuple[int, int, int]]:
-        """(template, first word, end) of every start at which a template is accepted, with its longest end."""
+        """(template, first word, end) of every start at which a template is accepted, with its longest end.
+
+        Starts that have come to the same states share their further moves, so a text is walked once however many begin in it.
+        A node is a start or a union of such groups; ends are noted at the group's node and handed down to its starts at last.
+        """
+        parent: list[int] = []
+        ends: list[dict[int, int]] = []
+        begin: dict[int, int] = {}
+        groups: dict[frozenset[int], int] = {}
+
+        def node() -> int:
+            parent.append(-1)
+            ends.append({})
+            return len(parent) - 1
+
+        def put(into: dict[frozenset[int], int], states: frozenset[int], k: int) -> None:
+            other = into.get(states)
+            if other is not None:
+                parent[k] = parent[other] = k = node()
+            into[states] = k
+
+        for j, w in enumerate(words):
+            if w in self.starts:
+                k = node()
+                begin[k] = j
+                put(groups, self.starts[w], k)
+            if groups:
+                moved: dict[frozenset[int], int] = {}
+                for states, k in groups.items():
+                    to = self._next(states, w)
+                    if to:
+                        put(moved, to, k)
+                groups = moved
+                for states, k in groups.items():
+                    for s in states & self.ends.keys():
+                        ends[k][self.ends[s]] = j + 1
         out = []
-        for i in [i for i, w in enumerate(words) if w in self.starts]:
-            states, best, j = self.starts[words[i]], {}, i
-            while states and j < len(words):
-                states = self._next(states, words[j])
-                j += 1
-                for s in states & self.ends.keys():
-                    best[self.ends[s]] = j
-            out += [(t, i, end) for t, end in sorted(best.items())]
-        return out
+        for k in range(len(parent) - 1, -1, -1):  # unions come after what they unite, and their ends later in the text
+            if parent[k] >= 0:
+                ends[k] = {**ends[k], **ends[parent[k]]}
+            if k in begin:
+                out += [(t, begin[k], end) for t, end in ends[k].items()]
+        return sorted(out, key=lambda x: (x[1], x[0]))
+
+
+def covered(spans: list[tuple[int, int]]) -> int:
+    """How many words lie in one of the spans (start, end), which are sorted by their starts."""
+    n = last = 0
+    for i, j in spans:
+        n += max(0, j - max(i, last))
+        last = max(last, j)
+    return n
 
 
 def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -208,9 +254,8 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None) -
             found = machine.find(words) if not machine.starts.keys().isdisjoint(words) else []
             at = [i for t, i, _ in found if t < len(base)]
             labels = [{machine.labels[t] for t, _, _ in found if t < n} for n in (len(base), len(machine.labels))]
-            inside = {k for _, i, j in found for k in range(i, j)}
             places = [{"label": machine.labels[t], "start": i, "end": j} for t, i, j in found]
-            share = len(inside) / len(words) if words else 0.0
+            share = covered([x[1:] for x in found]) / len(words) if words else 0.0
             return (len(words), len(at), min(at, default=None), max(at, default=None), *(",".join(sorted(x)) for x in labels), share, places)
 
         return lambda texts: list(zip(*map(one, texts), strict=True)) or [[]] * 8

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ostinato.llm.common import cut
+from ostinato.llm.common import cut, short_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this public vocabulary splits text before merging bytes.
@@ -38,6 +38,7 @@ def length_histogram(documents: DataFrame, vocabulary: str = VOCABULARY, pattern
     Whole texts are encoded; null and empty texts have length 0; repeated rows count each time; the
     texts of special tokens are ordinary text. Counts are summed per batch before the shuffle.
     """
+    short_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((Path(vocabulary).read_bytes(), pattern))
 
     def run(batches):

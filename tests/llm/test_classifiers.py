@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from ostinato.llm import langid, quality, queries, toxicity
+from ostinato.llm import common, langid, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None), (2, ""), (3, "   \n"), (None, "plain words here."), (5, "word " * 60000), (5, "word " * 60000), (6, "!!! ??? 123 %%%")]
@@ -126,3 +126,18 @@ def test_learned_languages_leave_letterless_texts_undetermined(spark):
     m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     got = {r.doc_id: r.lang_pred for r in langid.identify(odd(spark), m).collect()}
     assert got[1] == got[2] == got[6] == "und" and got[5] in ("en", "fr")
+
+
+def test_codewords_grow_with_the_languages():
+    assert (langid.codewords(4) == langid.codewords(4, 15)).all() and langid.codewords(1).shape == (1, 15)
+    for k in (30, 200):
+        code = langid.codewords(k)
+        assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) == langid.distance(code) >= 5
+        assert all(len(set(c)) == 2 for c in code.T)
+
+
+def test_a_repeated_id_sends_few_rows_to_the_fits(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 50}") for i in range(500)] + [(i, "other") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = common.labelled_sample(docs, labels, "toxic", 5, 0, 100).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got}.get(1, 4) == 4 and all(r["count"] == 1 for r in got if r.doc_id != 1)

@@ -1,6 +1,8 @@
 """Decontamination, license scans, token counts, SentencePiece and sharding against brute force."""
 
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -183,3 +185,34 @@ def test_shards_follow_their_law(spark):
     spread = got[got.text_crc32 != hot].groupby("text_crc32").shard.nunique()
     assert (spread == 1).all() and got.law.eq("bytes").all() and got.grown_shard.isna().all()
     assert sharding.shard(docs(spark, []), 8).count() == 0
+
+
+@pytest.mark.parametrize("gap", [0, 1, 39, 40, 41, 10_000])
+def test_replaceable_regions_without_a_bound_take_any_number_of_words(gap):
+    machine = licenses.Automaton([("one", 'alpha beta <<var;name="x";match=".+">> gamma delta'), ("none", 'alpha beta <<var;name="x";match=".*">> gamma delta')])
+    words = licenses.ascii_words("so alpha beta " + "filler " * gap + "gamma delta end")
+    want = [(0, 1, gap + 5)] if gap else []
+    assert machine.find(words) == [*want, (1, 1, gap + 5)]
+
+
+def test_many_starts_of_an_open_region_share_one_walk():
+    machine = licenses.Automaton([("open", 'alpha <<var;name="x";match=".+">> omega'), ("tail", 'alpha <<var;name="x";match=".*">>')])
+    n = 100_000
+    began = time.time()
+    found = machine.find([b"alpha"] * n + [b"omega"])
+    assert time.time() - began < 20
+    assert found[:2] == [(0, 0, n + 1), (1, 0, n + 1)] and len(found) == 2 * n - 1 and found[-1] == (1, n - 1, n + 1)
+    assert licenses.covered([(0, 3), (1, 2), (2, 5), (7, 8)]) == 6
+
+
+def test_walk_equals_regular_expressions_on_random_words():
+    rng = random.Random(4)
+    machine = licenses.Automaton([("t", 'a <<beginOptional>>b c<<endOptional>> d <<var;name="x";match=".+">> a <<beginOptional>>d<<endOptional>> b')])
+    shape = re.compile(r"a (?:b c )?d (?:[a-d] )+a (?:d )?b ")
+    for _ in range(300):
+        words = [rng.choice("abcd") for _ in range(25)]
+        want = []
+        for i, w in enumerate(words):
+            ends = [e for e in range(i + 1, 26) if w == "a" and shape.fullmatch(" ".join(words[i:e]) + " ")]
+            want += [(0, i, max(ends))] if ends else []
+        assert machine.find([w.encode() for w in words]) == want
