@@ -143,21 +143,25 @@ def fit(documents: DataFrame, n_folds: int = 5, held_out: int = 0, per_language:
     x = np.zeros((len(got), DIMS), dtype=np.float32)
     for i, (at, n) in enumerate(zip(got["at"], map(np.asarray, got["n"]), strict=True)):
         x[i, at] = np.sqrt(n / n.sum())
+    ridge = np.float32(1e-2 * len(languages) / len(got))
+    del got
     code = codewords(len(languages), bits)
     # One ridge regression on the bits of all codewords; languages weigh alike whatever their counts.
     share = 1.0 / np.bincount(y, minlength=len(languages))[y]
-    mean = (x * share[:, None]).sum(axis=0) / share.sum()
-    z = (x - mean) * np.sqrt(share)[:, None]
+    mean = (share / share.sum()).astype(np.float32) @ x
+    x -= mean
+    root = np.sqrt(share).astype(np.float32)[:, None]
     t = code[y].astype(np.float32)
     middle = (t * share[:, None]).sum(axis=0) / share.sum()
-    aim = ((t - middle) * np.sqrt(share)[:, None]).astype(np.float32)
-    z, ridge = z.astype(np.float32), np.float32(1e-2 * len(languages) / len(got))
+    z, aim = x * root, ((t - middle) * root).astype(np.float32)
     if len(z) <= DIMS:
         w = z.T @ np.linalg.solve(z @ z.T + ridge * np.eye(len(z), dtype=np.float32), aim)
     else:
         w = np.linalg.solve(z.T @ z + ridge * np.eye(DIMS, dtype=np.float32), z.T @ aim)
     b = middle - mean @ w
-    right = ((np.sign(x @ w + b) == t) * share[:, None]).sum(axis=0) / share.sum()
+    right = ((np.sign(x @ w + middle) == t) * share[:, None]).sum(axis=0) / share.sum()
+    del x, z
+    give_back()
     return LanguageModel(languages, code, w, b, np.clip(right - 0.5, 0.05, 0.5))
 
 

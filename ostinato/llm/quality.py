@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ostinato.llm.common import labelled_sample, map_texts, utf8
+from ostinato.llm.common import give_back, labelled_sample, map_texts, utf8
 
 _NOT = {
     "upper": bytes(c for c in range(256) if not 65 <= c <= 90),
@@ -102,7 +102,10 @@ def fit(documents: DataFrame, labels: DataFrame, n_folds: int = 3, held_out: int
 
     sample = labelled_sample(documents, labels, "quality", n_folds, held_out, limit).select("y", "text")
     got = sample.mapInPandas(stats, "y int, x array<double>").toPandas()
-    return train(np.stack(got["x"]), got["y"].to_numpy(dtype=np.int64)) if len(got) else None
+    model = train(np.stack(got["x"]), got["y"].to_numpy(dtype=np.int64)) if len(got) else None
+    del got
+    give_back()
+    return model
 
 
 def score(documents: DataFrame, model: QualityModel | None, keep: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -85,8 +86,13 @@ def _train(bags: list[list[set]], y: np.ndarray, rounds: int, ridge: float, word
     kept = sorted(gain, key=lambda w: (-gain[w], w))[:words_kept]
     index = {w: i for i, w in enumerate(kept)}
     of_doc = np.repeat(np.arange(len(y)), [len(bag) for bag in bags])
-    hits = [(s, index[w]) for s, words in enumerate(x for bag in bags for x in bag) for w in words & index.keys()]
-    at, word = (np.array(x, dtype=np.int64) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 2
+    del seen, gain
+    at, word = array("q"), array("q")
+    for s, words in enumerate(x for bag in bags for x in bag):
+        for w in words & index.keys():
+            at.append(s)
+            word.append(index[w])
+    at, word = (np.frombuffer(x, dtype=np.int64) if x else np.zeros(0, np.int64) for x in (at, word))
     base = max(1e-4, n1 / (n0 + n1)) / max(1.0, len(of_doc) / len(y))
     theta = np.append(np.full(len(kept), 1.0), np.log(base / (1 - min(base, 0.9))))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -135,7 +141,10 @@ def fit(
     y = got["y"].to_numpy(dtype=np.int64)
     if len(set(y)) < 2:
         return ToxicityModel({}, -20.0)
-    return _train(_Bags(got["said"]), y, rounds, ridge, words_kept)
+    model = _train(_Bags(got["said"]), y, rounds, ridge, words_kept)
+    del got
+    give_back()
+    return model
 
 
 def score(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
