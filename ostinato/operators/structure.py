@@ -27,6 +27,85 @@ def self_similarity(df: DataFrame, keys: list[str], index: str, vector: str, rea
     return v.select(*keys, "i", F.explode(pairs).alias("x")).filter("x is not null").select(*keys, "i", "x.j", "x.similarity")
 
 
+def _pairs_of_blocks(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Rows (keys, i, v) once for every pair (bi <= bj) of blocks of ``block`` rows of their sequence that theirs is part of."""
+    v = rows.withColumn("b", F.floor(F.col("i") / block))
+    last = v.groupBy(*keys).agg(F.max("b").alias("_last"))
+    v = v.join(last, keys).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    return v.select(*keys, F.least("b", "_o").alias("bi"), F.greatest("b", "_o").alias("bj"), "i", "v")
+
+
+def _matrix(vectors) -> np.ndarray:
+    """Vectors as rows; those that are null or hold nulls as zeros."""
+    full = [x is not None and all(y is not None for y in x) for x in vectors]
+    width = max([len(x) for x, f in zip(vectors, full, strict=True) if f], default=1)
+    return np.array([x if f else np.zeros(width) for x, f in zip(vectors, full, strict=True)], dtype=float)
+
+
+def closest(df: DataFrame, keys: list[str], index: str, vector: str, block: int = 512) -> DataFrame:
+    """What each row of the whole self-similarity matrix (cosine, cut to 0..1; itself left out) holds: (keys, i, similarity, mean), the largest and
+    the mean value, null in a sequence of one row.
+
+    Arguments and null vectors are as in :func:`lag_similarity`; a pair of blocks gives a row for each of its rows.
+    """
+    v = _pairs_of_blocks(df.select(*keys, F.col(index).cast("long").alias("i"), V.unit(F.col(vector)).alias("v")), keys, block)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        m, i = _matrix(g["v"]), g["i"].to_numpy()
+        a, b = i // block == g["bi"].iloc[0], i // block == g["bj"].iloc[0]
+        s = np.clip(np.nan_to_num(m[a] @ m[b].T), 0.0, 1.0)
+        other = i[a][:, None] != i[b][None, :]
+        parts = [(i[a], s, other)] + ([(i[b], s.T, other.T)] if g["bi"].iloc[0] != g["bj"].iloc[0] else [])
+        out = pd.concat([pd.DataFrame({"i": at, "top": np.where(o, x, -1.0).max(axis=1), "s": np.where(o, x, 0.0).sum(axis=1), "n": o.sum(axis=1)}) for at, x, o in parts])
+        for c in keys:
+            out[c] = g[c].iloc[0]
+        return out[[*keys, "i", "top", "s", "n"]]
+
+    known = StructType([f for f in v.schema if f.name in keys])
+    found = v.groupBy(*keys, "bi", "bj").applyInPandas(run, known.add("i", "long").add("top", "double").add("s", "double").add("n", "long"))
+    n = F.sum("n")
+    return found.groupBy(*keys, "i").agg(F.when(n > 0, F.max("top")).alias("similarity"), F.when(n > 0, F.sum("s") / n).alias("mean"))
+
+
+def repeated_passages(df: DataFrame, keys: list[str], index: str, symbol: str, reach: int = 3, block: int = 512) -> DataFrame:
+    """(keys, lag, s): how well the best passage repeats at each lag of a whole sequence.
+
+    On every diagonal of the matrix of equal symbols values are averaged with those up to ``reach`` rows before and after (fewer at its
+    ends), so that passages, not single rows, stand out; ``s`` is the diagonal's largest average. ``index`` counts rows from 0 without gaps, null
+    symbols equal nothing. Each pair of blocks is a group of its own, with the ``reach`` rows around both.
+    """
+    rows = df.select(*keys, F.col(index).cast("long").alias("i"), F.xxhash64(symbol).alias("h"), F.col(symbol).isNull().alias("none"))
+    last = rows.groupBy(*keys).agg(F.max(F.floor(F.col("i") / block)).alias("_last"))
+    near = F.array_distinct(F.array(F.floor((F.col("i") - reach) / block), F.floor(F.col("i") / block), F.floor((F.col("i") + reach) / block)))
+    v = rows.join(last, keys).withColumn("b", F.explode(near)).filter("b between 0 and _last").withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    v = v.select(*keys, F.least("b", "_o").alias("bi"), F.greatest("b", "_o").alias("bj"), "i", "h", "none").distinct()
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("i")
+        bi, bj, i = g["bi"].iloc[0], g["bj"].iloc[0], g["i"].to_numpy()
+        of = lambda b: (i >= b * block - reach) & (i < (b + 1) * block + reach)
+        a, b = of(bi), of(bj)
+        h, none = g["h"].to_numpy(), g["none"].to_numpy()
+        same = ((h[a][:, None] == h[b][None, :]) & ~none[a][:, None] & ~none[b][None, :]).astype(float)
+        total, count = np.zeros_like(same), np.zeros_like(same)
+        n, m = same.shape
+        for d in range(-reach, reach + 1):
+            to = (slice(max(0, -d), n - max(0, d)), slice(max(0, -d), m - max(0, d)))
+            at = (slice(max(0, d), n - max(0, -d)), slice(max(0, d), m - max(0, -d)))
+            total[to] += same[at]
+            count[to] += 1
+        lag = i[b][None, :] - i[a][:, None]
+        own = ((i[a] // block == bi)[:, None] & (i[b] // block == bj)[None, :]) & (lag > 0)
+        out = pd.DataFrame({"lag": lag[own], "s": (total / np.maximum(count, 1))[own]}).groupby("lag", as_index=False)["s"].max()
+        for c in keys:
+            out[c] = g[c].iloc[0]
+        return out[[*keys, "lag", "s"]]
+
+    known = StructType([f for f in v.schema if f.name in keys])
+    found = v.groupBy(*keys, "bi", "bj").applyInPandas(run, known.add("lag", "long").add("s", "double"))
+    return found.groupBy(*keys, "lag").agg(F.max("s").alias("s"))
+
+
 def lag_similarity(df: DataFrame, keys: list[str], index: str, vector: str, block: int = 512) -> DataFrame:
     """Mean of each off-diagonal of the whole self-similarity matrix (cosine, cut to 0..1): (keys, lag, score, n).
 
@@ -34,15 +113,10 @@ def lag_similarity(df: DataFrame, keys: list[str], index: str, vector: str, bloc
     of its own, of at most two blocks, and gives sums by lag alone: at most two rows per row of a block.
     A vector that is null, zero or holds nulls has the similarity 0 to any other.
     """
-    v = df.select(*keys, F.col(index).cast("long").alias("i"), V.unit(F.col(vector)).alias("v"), F.floor(F.col(index) / block).alias("b"))
-    last = v.groupBy(*keys).agg(F.max("b").alias("_last"))
-    v = v.join(last, keys).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
-    v = v.select(*keys, F.least("b", "_o").alias("bi"), F.greatest("b", "_o").alias("bj"), "i", "v")
+    v = _pairs_of_blocks(df.select(*keys, F.col(index).cast("long").alias("i"), V.unit(F.col(vector)).alias("v")), keys, block)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        full = [x is not None and all(y is not None for y in x) for x in g["v"]]
-        width = max([len(x) for x, f in zip(g["v"], full, strict=True) if f], default=1)
-        m = np.array([x if f else np.zeros(width) for x, f in zip(g["v"], full, strict=True)], dtype=float)
+        m = _matrix(g["v"])
         i, of = g["i"].to_numpy(), (g["i"] // block).to_numpy()
         a, b = of == g["bi"].iloc[0], of == g["bj"].iloc[0]
         s = np.clip(np.nan_to_num(m[a] @ m[b].T), 0.0, 1.0)
@@ -154,6 +228,24 @@ def vetoed_pairs(df: DataFrame, keys: list[str], block: str, symbol: str, least:
     return near.join(there, [*keys, "b", "symbol"], "left_anti").select(*keys, "a", "b", "symbol")
 
 
+def vetoed_runs(df: DataFrame, keys: list[str], block: str, symbol: str, least: int = 2, share: float = 0.2) -> DataFrame:
+    """Which blocks of the whole sequence are vetoed: (keys, symbol, first, last, vetoes), the stretches of blocks that hold none of a symbol that recurs
+    (``least`` rows and ``share``) in some block, and in how many.
+
+    Every block of a stretch is vetoed by every block in which the symbol recurs (:func:`vetoes` lists these), so all pairs are told
+    in rows that grow with the blocks. Blocks are numbered without gaps.
+    """
+    n = df.groupBy(*keys, F.col(block).alias("a"), F.col(symbol).alias("symbol")).agg(F.count("*").alias("n"))
+    strong = n.withColumn("_all", F.sum("n").over(Window.partitionBy(*keys, "a"))).filter((F.col("n") >= least) & (F.col("n") / F.col("_all") >= share))
+    strong = strong.groupBy(*keys, "symbol").agg(F.count("*").alias("vetoes"))
+    ends = n.groupBy(*keys).agg(F.min("a").alias("_lo"), F.max("a").alias("_hi"))
+    held = n.join(strong, [*keys, "symbol"]).join(ends, keys)
+    w = Window.partitionBy(*keys, "symbol").orderBy("a")
+    held = held.withColumns({"_before": F.coalesce(F.lag("a").over(w) + 1, F.col("_lo")), "_after": F.when(F.lead("a").over(w).isNull(), F.col("_hi"))})
+    gaps = F.array(F.struct(F.col("_before").alias("first"), (F.col("a") - 1).alias("last")), F.struct((F.col("a") + 1).alias("first"), F.col("_after").alias("last")))
+    return held.select(*keys, "symbol", "vetoes", F.explode(gaps).alias("_g")).filter("_g.first <= _g.last").select(*keys, "symbol", "_g.first", "_g.last", "vetoes")
+
+
 def vetoes(df: DataFrame, keys: list[str], block: str, symbol: str, least: int = 2, share: float = 0.2) -> DataFrame:
     """For every block and symbol that recurs in it (``least`` rows and ``share`` of it): (keys, a, symbol, n, share,
     absent_from), the last being how many blocks of the whole sequence, near or far, hold none of the symbol.

@@ -70,10 +70,10 @@ def trigram_context(spark, sf_dir):
     EVENTS_SQL
     + """, g AS (SELECT root, s0, s1, count(*) AS n FROM (SELECT root, q AS s0, lead(q) OVER (PARTITION BY song ORDER BY pos) AS s1 FROM ev) WHERE s1 IS NOT NULL GROUP BY 1, 2, 3),
     l AS (SELECT root, s0, s1, n, (n / sum(n) OVER (PARTITION BY root)) / (sum(n) OVER (PARTITION BY s0, s1) / sum(n) OVER ()) AS lift FROM g)
-    SELECT root, s0, s1, n, round(lift, 6) AS lift FROM l"""
+    SELECT root, s0, s1, n, round(lift, 6) AS lift, row_number() OVER (PARTITION BY root ORDER BY lift DESC, s0, s1) AS rank FROM l WHERE n >= 15 QUALIFY rank <= 8"""
 )
 def transition_lift(spark, sf_dir):
-    return A.bigram_lift(events(spark, sf_dir), SONG, ORDER, "q", "root").select("root", "s0", "s1", "n", r6("lift").alias("lift"))
+    return A.bigram_lift(events(spark, sf_dir), SONG, ORDER, "q", "root").select("root", "s0", "s1", "n", r6("lift").alias("lift"), "rank")
 
 
 @query(
@@ -361,13 +361,13 @@ def loop_pattern(spark, sf_dir):
 @query(
     """WITH v AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding AS e FROM embeddings),
     p AS (SELECT a.label, a.i, b.i AS j, list_dot_product(a.e::DOUBLE[], b.e::DOUBLE[]) / (sqrt(list_dot_product(a.e::DOUBLE[], a.e::DOUBLE[])) * sqrt(list_dot_product(b.e::DOUBLE[], b.e::DOUBLE[]))) AS s
-      FROM v a JOIN v b ON a.label = b.label AND b.i BETWEEN a.i + 1 AND a.i + 8)
-    SELECT label, i, j, round(greatest(0.0, least(1.0, s)), 4) AS similarity FROM p"""
+      FROM v a JOIN v b ON a.label = b.label AND b.i <> a.i)
+    SELECT label, i, round(max(greatest(0.0, least(1.0, s))), 4) AS similarity, round(avg(greatest(0.0, least(1.0, s))), 4) AS mean FROM p GROUP BY 1, 2"""
 )
 def ssm_cosine(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     v = v.withColumn("i", (F.row_number().over(S.ordered(["label"], ["vec_id"])) - 1).cast("long"))
-    return X.self_similarity(v, ["label"], "i", "embedding", 8).withColumn("similarity", F.round("similarity", 4))
+    return X.closest(v, ["label"], "i", "embedding").withColumns({c: F.round(c, 4) for c in ("similarity", "mean")})
 
 
 @query(
@@ -385,14 +385,14 @@ def ssm_lag_score(spark, sf_dir):
 @query(
     EVENTS_SQL
     + """, n AS (SELECT song, pos // 16 AS a, root, count(*) AS n FROM ev GROUP BY 1, 2, 3),
-    s AS (SELECT song, a, root, n, sum(n) OVER (PARTITION BY song, a) AS total FROM n),
-    b AS (SELECT DISTINCT song, a AS b FROM n)
-    SELECT s.song, s.a, b.b, s.root AS symbol FROM s JOIN b ON s.song = b.song AND s.a <> b.b AND abs(s.a - b.b) <= 8
-    WHERE s.n >= 2 AND s.n / s.total >= 0.2 AND NOT EXISTS (SELECT 1 FROM n x WHERE x.song = s.song AND x.a = b.b AND x.root = s.root)"""
+    s AS (SELECT song, root, count(*) AS vetoes FROM (SELECT *, sum(n) OVER (PARTITION BY song, a) AS total FROM n) WHERE n >= 2 AND n / total >= 0.2 GROUP BY 1, 2),
+    b AS (SELECT DISTINCT song, a AS b FROM n),
+    x AS (SELECT s.song, s.root, s.vetoes, b.b, b.b - row_number() OVER (PARTITION BY s.song, s.root ORDER BY b.b) AS g FROM s JOIN b USING (song) WHERE NOT EXISTS (SELECT 1 FROM n y WHERE y.song = s.song AND y.a = b.b AND y.root = s.root))
+    SELECT song, root AS symbol, min(b) AS first, max(b) AS last, any_value(vetoes) AS vetoes FROM x GROUP BY song, root, g"""
 )
 def veto_pairs(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("block", F.floor(F.col("pos") / 16))
-    return X.vetoed_pairs(e, SONG, "block", "root")
+    return X.vetoed_runs(e, SONG, "block", "root")
 
 
 @query(
@@ -411,12 +411,12 @@ def veto_counts(spark, sf_dir):
 
 @query(
     EVENTS_SQL
-    + """, n AS (SELECT song, q, count(*) AS n FROM ev WHERE pos < 12 GROUP BY 1, 2),
+    + """, n AS (SELECT song, q, count(*) AS n FROM ev GROUP BY 1, 2),
     g AS (SELECT song, CAST(sum(n) AS BIGINT) AS sections, count(*) AS labels, max(n) AS top FROM n GROUP BY 1)
     SELECT song, sections, labels, top, sections >= 2 AND (labels <= 1 OR sections >= 18 OR (sections >= 4 AND top / sections >= 0.85)) AS degenerate FROM g"""
 )
 def degenerate_sections(spark, sf_dir):
-    return X.degenerate_sections(events(spark, sf_dir).filter("pos < 12"), SONG, "q")
+    return X.degenerate_sections(events(spark, sf_dir), SONG, "q")
 
 
 @query(

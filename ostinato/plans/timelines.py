@@ -374,15 +374,12 @@ def dimension_join(spark, sf_dir):
 
 @query(
     EVENTS_SQL
-    + """, p AS (SELECT a.song, a.pos AS i, b.pos AS j, CASE WHEN a.q = b.q THEN 1.0 ELSE 0.0 END AS s FROM ev a JOIN ev b ON a.song = b.song AND b.pos - a.pos BETWEEN 1 AND 8)
-    SELECT song, i, j, round(avg(s) OVER (PARTITION BY song, j - i ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS s FROM p"""
+    + """, p AS (SELECT a.song, a.pos AS i, b.pos AS j, CASE WHEN a.q = b.q THEN 1.0 ELSE 0.0 END AS s FROM ev a JOIN ev b ON a.song = b.song AND b.pos > a.pos),
+    d AS (SELECT song, j - i AS lag, avg(s) OVER (PARTITION BY song, j - i ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS s FROM p)
+    SELECT song, lag, round(max(s), 6) AS s FROM d GROUP BY 1, 2"""
 )
 def diagonal_similarity(spark, sf_dir):
-    e = events(spark, sf_dir)
-    w = S.ordered(SONG, ORDER)
-    ahead = F.array(*[F.struct((F.col("pos") + k).alias("j"), (F.col("q") == F.lead("q", k).over(w)).cast("double").alias("s")) for k in range(1, 9)])
-    pairs = e.withColumn("ahead", ahead).select("song", F.col("pos").alias("i"), F.explode("ahead").alias("x")).select("song", "i", "x.*").filter("s is not null")
-    return L.along_diagonals(pairs, SONG, "s").withColumn("s", r6("s"))
+    return X.repeated_passages(events(spark, sf_dir), SONG, "pos", "q").withColumn("s", r6("s"))
 
 
 @query(

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pytest
 
 from ostinato.operators import decode, keys, motifs, stats, structure
 from ostinato.plans import queries
@@ -62,6 +63,33 @@ def test_vetoes_reach_every_block(spark):
     assert got[0, "x"] == got[11, "x"] == (2, 0.5, 10) and got[3, "y"] == (3, 0.75, 0) and len(got) == 14
     pairs = structure.vetoed_pairs(d, ["song"], "block", "s").filter("a = 0").count()
     assert pairs == 8  # the pairs stop at their reach
+    runs = sorted((r.symbol, r["first"], r["last"], r.vetoes) for r in structure.vetoed_runs(d, ["song"], "block", "s").collect())
+    assert runs == [("x", 1, 10, 2)]
+    odd = spark.createDataFrame([(1, b, s) for b in range(6) for s in ("xx" if b in (2, 3) else "yz")], "song long, block long, s string")
+    assert sorted((r.symbol, r["first"], r["last"], r.vetoes) for r in structure.vetoed_runs(odd, ["song"], "block", "s").collect()) == [("x", 0, 1, 2), ("x", 4, 5, 2)]
+
+
+@pytest.mark.parametrize("block", [512, 8, 5])
+def test_passages_and_neighbours_over_whole_sequences(spark, block):
+    rng = np.random.default_rng(block)
+    songs = {1: rng.integers(0, 3, 40).tolist(), 2: [0], 3: (rng.integers(0, 9, 12).tolist() + [4, 4]) * 2}
+    songs[1][7] = None
+    d = spark.createDataFrame([(s, i, x) for s, v in songs.items() for i, x in enumerate(v)], "song long, i long, q int")
+    got = {(r.song, r.lag): r.s for r in structure.repeated_passages(d, ["song"], "i", "q", block=block).collect()}
+    want = {}
+    for s, v in songs.items():
+        for lag in range(1, len(v)):
+            same = [float(a == b and a is not None) for a, b in zip(v, v[lag:], strict=False)]
+            want[s, lag] = max(np.mean(same[max(0, i - 3) : i + 4]) for i in range(len(same)))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    x = rng.normal(size=(23, 4))
+    v = spark.createDataFrame([(1, i, r.tolist()) for i, r in enumerate(x)] + [(2, 0, [1.0] * 4)], "song long, i long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    full = np.clip(u @ u.T, 0, 1)
+    np.fill_diagonal(full, np.nan)
+    near = {(r.song, r.i): (r.similarity, r["mean"]) for r in structure.closest(v, ["song"], "i", "v", block).collect()}
+    assert near.pop((2, 0)) == (None, None)
+    assert all(np.allclose(near[1, i], (np.nanmax(full[i]), np.nanmean(full[i]))) for i in range(23))
 
 
 def test_similarity_of_far_repeats(spark):
