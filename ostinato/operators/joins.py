@@ -46,18 +46,35 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], on: str, values:
     return both.select(*left.columns, F.col("_p._t").alias("matched"), *[F.col("_p")[v].alias(v) for v in values])
 
 
-def _buckets(start: Column, end: Column, width: float) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
+_FAN = 64  # buckets of an interval, about, and how much wider each level's buckets are than those below
+
+
+def _level(start: Column, end: Column, width: float) -> Column:
+    """The lowest level, from 0, in whose buckets (``width`` times 64 to the level) an interval takes about 64 at most."""
+    n = (end - start) / F.lit(float(width) * _FAN)
+    return F.when(n > 1, F.ceil(F.log(n) / F.log(F.lit(float(_FAN))))).otherwise(0).cast("int")
+
+
+def _top(*sides: tuple[DataFrame, str, str], width: float) -> int:
+    """The highest level of the intervals, by a look at their lengths before the join is planned."""
+    return max(df.agg(F.max(_level(F.col(s), F.col(e), width))).first()[0] or 0 for df, s, e in sides)
+
+
+def _bucket(at: Column, width: float) -> Column:
+    return F.floor(at / (F.lit(float(width)) * F.pow(F.lit(float(_FAN)), F.col("_l"))))
 
 
 def containing(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, width: float) -> DataFrame:
     """Points with the intervals start <= at < end that hold them (all of them; none gives no row).
 
-    ``width`` should be near the usual interval's length; it sets only the speed.
+    ``width`` should be near the usual interval's length; it sets only the speed. Long intervals take wider buckets, so none is spread over
+    more than some 64; points are looked up once for each width that occurs.
     """
-    p = points.withColumn("_k", F.floor(F.col(at) / width))
-    i = intervals.withColumn("_k", _buckets(F.col("start"), F.col("end"), width))
-    return p.join(i, [*keys, "_k"]).filter((F.col("start") <= F.col(at)) & (F.col(at) < F.col("end"))).drop("_k")
+    top = _top((intervals, "start", "end"), width=width)
+    p = points.withColumn("_l", F.explode(F.array(*map(F.lit, range(top + 1))))).withColumn("_k", _bucket(F.col(at), width))
+    i = intervals.withColumn("_l", _level(F.col("start"), F.col("end"), width))
+    i = i.withColumn("_k", F.explode(F.sequence(_bucket(F.col("start"), width), F.greatest(_bucket(F.col("start"), width), _bucket(F.col("end"), width)))))
+    return p.join(i, [*keys, "_l", "_k"]).filter((F.col("start") <= F.col(at)) & (F.col(at) < F.col("end"))).drop("_l", "_k")
 
 
 def first_containing(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
@@ -71,13 +88,20 @@ def first_containing(points: DataFrame, intervals: DataFrame, keys: list[str], a
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Pairs of intervals (a_start, a_end), (b_start, b_end) that share time, with the shared ``overlap``.
 
-    Both sides are spread over buckets; a pair counts in the bucket of its later start alone.
+    Both sides are spread over buckets, long intervals over wider ones; a pair meets in the buckets of the longer side's width, and counts in
+    that of its later start alone.
     """
-    x = a.withColumn("_k", _buckets(F.col("a_start"), F.col("a_end"), width))
-    y = b.withColumn("_k", _buckets(F.col("b_start"), F.col("b_end"), width))
-    both = x.join(y, [*keys, "_k"])
+    top = _top((a, "a_start", "a_end"), (b, "b_start", "b_end"), width=width)
+
+    def spread(side: DataFrame, start: str, end: str, own: str) -> DataFrame:
+        out = side.withColumn(own, _level(F.col(start), F.col(end), width))
+        out = out.withColumn("_l", F.explode(F.sequence(F.col(own), F.lit(top))))
+        return out.withColumn("_k", F.explode(F.sequence(_bucket(F.col(start), width), F.greatest(_bucket(F.col(start), width), _bucket(F.col(end), width)))))
+
+    both = spread(a, "a_start", "a_end", "_la").join(spread(b, "b_start", "b_end", "_lb"), [*keys, "_l", "_k"])
+    both = both.filter(F.col("_l") == F.greatest("_la", "_lb"))
     both = both.withColumn("overlap", F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).filter("overlap > 0")
-    return both.filter(F.floor(F.greatest("a_start", "b_start") / width) == F.col("_k")).drop("_k")
+    return both.filter(_bucket(F.greatest("a_start", "b_start"), width) == F.col("_k")).drop("_l", "_k", "_la", "_lb")
 
 
 def pooled(frames: DataFrame, grid: DataFrame, keys: list[str], at: str, value: str, how: str = "mean") -> DataFrame:

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from ostinato.operators import decode, keys, motifs, stats, structure
+from ostinato.operators import decode, joins, keys, motifs, stats, structure
 from ostinato.plans import queries
 from ostinato.sources import labels
 from ostinato.streaming import loops
@@ -174,3 +174,19 @@ def test_loops_are_found_in_a_stream(spark, tmp_path):
     q.awaitTermination(180)
     got = {r.session: r for r in spark.table("found_loops").collect()}
     assert (got["s"].period, got["s"].n_beats, got["s"].labels) == (4, 24, list("abcd")) and got["t"].period is None
+
+
+def test_long_intervals_take_few_buckets(spark):
+    rng = np.random.default_rng(8)
+    spans = [(1, k, float(s), float(s + n)) for k, (s, n) in enumerate(zip(rng.uniform(-50, 1000, 60), rng.choice([0.5, 3.0, 40.0, 5000.0, 3e6], 60), strict=True))]
+    a = spark.createDataFrame(spans[:30], "song long, a int, a_start double, a_end double")
+    b = spark.createDataFrame(spans[30:], "song long, b int, b_start double, b_end double")
+    want = {(x[1], y[1]): min(x[3], y[3]) - max(x[2], y[2]) for x in spans[:30] for y in spans[30:] if min(x[3], y[3]) > max(x[2], y[2])}
+    rows = joins.overlapping(a, b, ["song"], 1.0).collect()
+    assert len(rows) == len(want) and all(abs(want[r.a, r.b] - r.overlap) < 1e-9 for r in rows)
+    points = spark.createDataFrame([(1, k, float(t)) for k, t in enumerate(rng.uniform(-60, 6000, 80))], "song long, p int, t double")
+    held = joins.containing(points, b.withColumnsRenamed({"b_start": "start", "b_end": "end"}), ["song"], "t", 1.0)
+    assert {(r.p, r.b) for r in held.collect()} == {(p.p, y[1]) for p in points.collect() for y in spans[30:] if y[2] <= p.t < y[3]}
+    year = spark.createDataFrame([(1, 0.0, 3.2e7)], "song long, start double, end double")
+    level = year.select(joins._level(year.start, year.end, 60.0).alias("_l")).first()[0]
+    assert 3.2e7 / (60.0 * 64**level) < 70
