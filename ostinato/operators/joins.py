@@ -11,34 +11,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, values: list[str], strict: bool = False, forward: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, values: list[str], strict: bool = False, forward: bool = False, span: float | None = None) -> DataFrame:
     """Each left row with the values of the last right row at or before its time.
 
     ``strict`` leaves out equal times, ``forward`` looks for the first at or after. Of right rows with
     equal times the one with the largest values counts (forward: the smallest). Left rows without a match get nulls.
+
+    Without ``span`` all rows of equal keys are sorted by one task. With it they are dealt out by stretches of so much time, and each stretch begins
+    with the value that the nearest stretch before it (forward: after it) ended with, which a small table of one row a stretch tells.
     """
     last = int(strict != forward)  # whether right rows stand after left ones of the same time
     packed = F.struct(*[F.col(v) for v in values])
     r = right.select(*keys, on, packed.alias("_v"), F.lit(0).alias("_left"), F.lit(last).alias("_side"))
     l_ = left.select(*keys, on, F.struct("*").alias("_row"), F.lit(1).alias("_left"), F.lit(1 - last).alias("_side"))
     # Looking forward, the order is turned: a frame that starts at the first row is carried on, row by row.
-    order = [F.desc(c) if forward else F.asc(c) for c in (on, "_side", "_v")]
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.last("_v", ignorenulls=True).over(frame)
-    both = r.unionByName(l_, allowMissingColumns=True).withColumn("_m", pick).filter("_left = 1")
+    turn = F.desc if forward else F.asc
+    order = [turn(c) for c in (on, "_side", "_v")]
+    both = r.unionByName(l_, allowMissingColumns=True)
+    part = list(keys)
+    if span is not None:
+        both = both.withColumns({"_stretch": F.floor(F.col(on) / F.lit(float(span))), "_began": F.lit(1)})
+        part, order = [*keys, "_stretch"], ["_began", *order]
+        pick = F.min_by if forward else F.max_by
+        ends = both.groupBy(*part).agg(pick("_v", F.when(F.col("_left") == 0, F.struct(on, "_v"))).alias("_v"))
+        earlier = Window.partitionBy(*keys).orderBy(turn("_stretch")).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("_v", F.last("_v", ignorenulls=True).over(earlier)).filter("_v is not null")
+        both = both.unionByName(ends.withColumns({"_left": F.lit(0), "_began": F.lit(0)}), allowMissingColumns=True)
+    frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_m", F.last("_v", ignorenulls=True).over(frame)).filter("_left = 1")
     return both.select("_row.*", *[F.col("_m")[v].alias(v) for v in values])
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], on: str, values: list[str]) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], on: str, values: list[str], span: float | None = None) -> DataFrame:
     """Each left row with the values of the right row nearest in time, the earlier one on ties.
 
-    ``right`` times are named ``on``; the match's time is returned as ``matched``.
+    ``right`` times are named ``on``; the match's time is returned as ``matched``. ``span`` deals long sequences out as in :func:`as_of`.
     """
     r = right.select(*keys, on, *values).withColumn("_t", F.col(on))
-    before = as_of(left, r, keys, on, ["_t", *values])
+    before = as_of(left, r, keys, on, ["_t", *values], span=span)
     names = ["_t", *values]
     before = before.select(*left.columns, F.struct(*[F.col(n) for n in names]).alias("_b"))
-    both = as_of(before, r, keys, on, names, forward=True)
+    both = as_of(before, r, keys, on, names, forward=True, span=span)
     after = F.struct(*[F.col(n) for n in names])
     gap_b, gap_a = F.col(on) - F.col("_b._t"), F.col("_t") - F.col(on)
     pick = F.when(gap_b.isNull() | (gap_a < gap_b), after).otherwise(F.col("_b"))
@@ -77,11 +90,11 @@ def containing(points: DataFrame, intervals: DataFrame, keys: list[str], at: str
     return p.join(i, [*keys, "_l", "_k"]).filter((F.col("start") <= F.col(at)) & (F.col(at) < F.col("end"))).drop("_l", "_k")
 
 
-def first_containing(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
+def first_containing(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, values: list[str], span: float | None = None) -> DataFrame:
     """Each point with the values of the interval that holds it, for intervals that don't overlap: an
     as-of look-up of the last start, void once its end has passed."""
     r = intervals.withColumn(at, F.col("start")).withColumn("_end", F.col("end"))
-    out = as_of(points, r, keys, at, ["_end", *values])
+    out = as_of(points, r, keys, at, ["_end", *values], span=span)
     return out.select(*points.columns, *[F.when(F.col(at) < F.col("_end"), F.col(v)).alias(v) for v in values])
 
 
@@ -104,11 +117,11 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> Da
     return both.filter(_bucket(F.greatest("a_start", "b_start"), width) == F.col("_k")).drop("_l", "_k", "_la", "_lb")
 
 
-def pooled(frames: DataFrame, grid: DataFrame, keys: list[str], at: str, value: str, how: str = "mean") -> DataFrame:
+def pooled(frames: DataFrame, grid: DataFrame, keys: list[str], at: str, value: str, how: str = "mean", span: float | None = None) -> DataFrame:
     """Frames pooled to the grid's cells [start, end): ``sum`` (empty cells 0) or ``mean`` (empty cells
     take the frame nearest to their start)."""
     cells = grid.withColumns({at: F.col("start"), "_end": F.col("end"), "_start": F.col("start")})
-    held = as_of(frames, cells, keys, at, ["_start", "_end"]).filter(F.col(at) < F.col("_end"))
+    held = as_of(frames, cells, keys, at, ["_start", "_end"], span=span).filter(F.col(at) < F.col("_end"))
     agg = (F.sum if how == "sum" else F.avg)(value).alias(value)
     got = held.groupBy(*keys, F.col("_start").alias("start")).agg(agg, F.count("*").alias("n_frames"))
     out = grid.select(*keys, "start", "end").join(got, [*keys, "start"], "left")
@@ -116,7 +129,7 @@ def pooled(frames: DataFrame, grid: DataFrame, keys: list[str], at: str, value:
     if how == "sum":
         return out.select(*keys, "start", "end", F.coalesce(value, F.lit(0.0)).alias(value), n)
     empty = out.select(*keys, "start", "end", F.col(value).alias("_own"), n).withColumn(at, F.col("start"))
-    near = nearest(empty, frames, keys, at, [value])
+    near = nearest(empty, frames, keys, at, [value], span)
     return near.select(*keys, "start", "end", F.coalesce("_own", value).alias(value), "n_frames")
 
 
@@ -136,12 +149,12 @@ def override(base: DataFrame, changes: DataFrame, keys: list[str], columns: list
     return out.withColumns(new).drop(*[f"_{x}" for x in columns])
 
 
-def boundary_scores(found: DataFrame, true: DataFrame, keys: list[str], at: str, tolerance: float) -> DataFrame:
+def boundary_scores(found: DataFrame, true: DataFrame, keys: list[str], at: str, tolerance: float, span: float | None = None) -> DataFrame:
     """Precision, recall and F of boundaries, each counting if one of the other side lies within the
     tolerance (many to many). A side without boundaries scores 0."""
 
     def hits(a, b, n, h):
-        near = nearest(a.select(*keys, at), b.select(*keys, at), keys, at, [])
+        near = nearest(a.select(*keys, at), b.select(*keys, at), keys, at, [], span)
         ok = F.sum((F.abs(F.col(at) - F.col("matched")) <= tolerance).cast("long"))
         return near.groupBy(*keys).agg(F.count("*").alias(n), F.coalesce(ok, F.lit(0)).alias(h))
 

@@ -19,6 +19,7 @@ from ostinato.plans.fixtures import EVENTS_SQL, ORDERS_SQL, events, orders, tabl
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 SONG, ORDER = ["song"], ["pos"]
+STRETCH = 3 * 86_400_000_000.0  # microseconds of a song that one task sorts in temporal joins
 
 
 def query(sql: str | None = None):
@@ -222,7 +223,7 @@ def cumulative_bars(spark, sf_dir):
 def asof_last_click(spark, sf_dir):
     e = events(spark, sf_dir)
     clicks = e.filter("q = 'click'").select("song", "t", F.col("pos").alias("click"))
-    return J.as_of(e.filter("q <> 'click'"), clicks, SONG, "t", ["click"]).select("song", "pos", "click")
+    return J.as_of(e.filter("q <> 'click'"), clicks, SONG, "t", ["click"], span=STRETCH).select("song", "pos", "click")
 
 
 @query(
@@ -234,7 +235,7 @@ def asof_last_click(spark, sf_dir):
 def nearest_click(spark, sf_dir):
     e = events(spark, sf_dir)
     clicks = e.filter("q = 'click'").select("song", "t", F.col("pos").alias("click"))
-    return J.nearest(e.filter("q <> 'click'"), clicks, SONG, "t", ["click"]).select("song", "pos", "click")
+    return J.nearest(e.filter("q <> 'click'"), clicks, SONG, "t", ["click"], STRETCH).select("song", "pos", "click")
 
 
 _SPANS = """, s AS (SELECT song, pos, q, t AS s0, lead(t) OVER (PARTITION BY song ORDER BY pos) AS s1 FROM ev),
@@ -280,7 +281,7 @@ def points_in_intervals(spark, sf_dir):
 def pool_to_grid(spark, sf_dir):
     e = events(spark, sf_dir)
     grid = S.with_next(e.filter("q = 'view'"), SONG, ORDER, end="t").filter("end is not null").select("song", F.col("t").alias("start"), "end")
-    out = J.pooled(e.filter("q <> 'view'").select("song", "t", F.floor("w").cast("double").alias("w")), grid, SONG, "t", "w")
+    out = J.pooled(e.filter("q <> 'view'").select("song", "t", F.floor("w").cast("double").alias("w")), grid, SONG, "t", "w", span=STRETCH)
     return out.select("song", "start", F.round("w", 4).alias("w"), "n_frames")
 
 
@@ -296,7 +297,7 @@ def pool_to_grid(spark, sf_dir):
 )
 def boundary_f1(spark, sf_dir):
     e = events(spark, sf_dir)
-    out = J.boundary_scores(e.filter("q = 'view'"), e.filter("q = 'purchase'"), SONG, "t", 3600000000)
+    out = J.boundary_scores(e.filter("q = 'view'"), e.filter("q = 'purchase'"), SONG, "t", 3600000000, STRETCH)
     return out.select("song", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
 
 

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ostinato.operators import decode, joins, keys, motifs, stats, structure
 from ostinato.plans import queries
@@ -190,3 +191,33 @@ def test_long_intervals_take_few_buckets(spark):
     year = spark.createDataFrame([(1, 0.0, 3.2e7)], "song long, start double, end double")
     level = year.select(joins._level(year.start, year.end, 60.0).alias("_l")).first()[0]
     assert 3.2e7 / (60.0 * 64**level) < 70
+
+
+@pytest.mark.parametrize("forward", [False, True])
+@pytest.mark.parametrize("strict", [False, True])
+def test_stretches_of_time_give_the_same_matches(spark, strict, forward):
+    rng = np.random.default_rng(3)
+    # One song holds most rows; its times fall into far stretches, many of them empty, and repeat.
+    times = lambda n: [(int(rng.random() < 0.2) or None if k % 9 else 2, k, float(t)) for k, t in enumerate(np.round(rng.choice([0.0, 50.0, 55.0, 900.0, -70.0], n) + rng.uniform(0, 12, n)))]
+    left = spark.createDataFrame(times(150), "song long, i int, t double")
+    right = spark.createDataFrame(times(60), "song long, v int, t double")
+    plain = {r.i: r.v for r in joins.as_of(left, right, ["song"], "t", ["v"], strict, forward).collect()}
+    for span in (1.0, 10.0, 1e6):
+        assert {r.i: r.v for r in joins.as_of(left, right, ["song"], "t", ["v"], strict, forward, span).collect()} == plain
+    assert len(plain) == 150 and None in plain.values() and len(set(plain.values())) > 20
+    if not strict:
+        near = {r.i: (r.matched, r.v) for r in joins.nearest(left, right, ["song"], "t", ["v"]).collect()}
+        assert {r.i: (r.matched, r.v) for r in joins.nearest(left, right, ["song"], "t", ["v"], 10.0).collect()} == near
+
+
+def test_a_hot_song_is_dealt_out(spark):
+    n = 4000
+    e = spark.range(n).selectExpr("1L as song", "id as i", "cast(id as double) as t")
+    out = joins.as_of(e, e.filter("i % 1000 = 7").withColumnRenamed("i", "v"), ["song"], "t", ["v"], span=100.0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["count"] for r in parts) == n and max(r["count"] for r in parts) < 0.5 * n
+    assert out.filter("i = 3999").first().v == 3007 and out.filter("i = 6").first().v is None
