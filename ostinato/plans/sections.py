@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ostinato.functions import tokens as T
 from ostinato.operators import folds, keys, motifs, sections
 from ostinato.operators import sequences as S
-from ostinato.plans.fixtures import EVENTS_SQL, chords, events, table
+from ostinato.plans.fixtures import CHORDS_SQL, EVENTS_SQL, chords, events, table
 from ostinato.plans.queries import ORDER, SONG, query, r6
 
 _ROWS = """WITH v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS e FROM embeddings)"""
@@ -18,6 +20,10 @@ def _rows(spark, sf_dir):
     return v.withColumn("i", (F.row_number().over(S.ordered(["label"], ["vec_id"])) - 1).cast("long"))
 
 
+#: The rows that turn twelve classes to a tonal centroid: fifths, minor thirds and (by half) major thirds, sine and cosine.
+CENTROID = [[r * f(w * math.pi * k) for k in range(12)] for r, w in ((1.0, 7 / 6), (1.0, 3 / 2), (0.5, 2 / 3)) for f in (math.sin, math.cos)]
+
+
 @query(
     _ROWS
     + """, n AS (SELECT label, count(*) AS n FROM v GROUP BY 1), p AS (SELECT a.label, a.i, b.i AS j, greatest(0, least(1, list_cosine_similarity(a.e, b.e))) AS s FROM v a JOIN v b ON a.label = b.label AND b.i BETWEEN a.i - 15 AND a.i + 15),
@@ -51,7 +57,17 @@ def song_sections(spark, sf_dir):
     return spans.join(sections.section_labels(d, spans, SONG, "pos", "v"), [*SONG, "section"])
 
 
-@query()
+@query(
+    CHORDS_SQL.replace("WITH ev", "WITH RECURSIVE ev", 1)
+    + f""", x AS (SELECT song, pos, k, coalesce(sum(y) FILTER (pc = k), 0.0) AS y FROM (SELECT song, pos, (root + unnest(tones)) % 12 AS pc, unnest(weights) AS y FROM ch) CROSS JOIN (SELECT unnest(range(12)) AS k) GROUP BY 1, 2, 3),
+    c1 AS (SELECT song, pos // 2 AS cell, k, min(pos) AS a, max(pos) + 1 AS z, sum(y) AS y FROM x GROUP BY 1, 2, 3), c AS (SELECT song, cell, any_value(a) AS a, any_value(z) AS z, list(y ORDER BY k) AS p FROM c1 GROUP BY 1, 2),
+    r(song, cell, a, p) AS (SELECT song, cell, a, p FROM c WHERE cell = 0
+      UNION ALL SELECT song, cell, CASE WHEN list_sum(list_transform(d, lambda y: y * y)) <= 0.16 THEN a0 ELSE a END, CASE WHEN list_sum(list_transform(d, lambda y: y * y)) <= 0.16 THEN list_transform(range(1, 13), lambda k: p0[k] + p[k]) ELSE p END
+      FROM (SELECT c.song, c.cell, c.a, c.p, r.a AS a0, r.p AS p0,
+          list_transform({CENTROID}, lambda m: list_sum(list_transform(range(1, 13), lambda k: m[k] * (coalesce(r.p[k] / nullif(list_sum(r.p), 0), 0) - coalesce(c.p[k] / nullif(list_sum(c.p), 0), 0))))) AS d
+        FROM r JOIN c ON c.song = r.song AND c.cell = r.cell + 1))
+    SELECT r.song, r.a AS start, max(c.z) AS "end" FROM r JOIN c USING (song, cell) GROUP BY 1, 2"""
+)
 def merged_cells(spark, sf_dir):
     """Cells of two chords merged while their tones stay near."""
     d = keys.parsed(chords(spark, sf_dir)).withColumn("c", T.chord_weights(F.col("root"), F.col("quality")))
@@ -79,7 +95,17 @@ def clean_starts(spark, sf_dir):
     return folds.without_spurious_start(d, SONG, "period", 0.7).select("song", "pos", F.round("start", 4).alias("start"))
 
 
-@query()
+@query(
+    EVENTS_SQL.replace("WITH ev", "WITH RECURSIVE ev", 1)
+    + """, m AS (SELECT song, t AS tm, CASE q WHEN 'view' THEN 1 ELSE 0 END AS side, t + CASE q WHEN 'view' THEN 3600000000 ELSE 0 END AS seen FROM ev WHERE q IN ('view', 'purchase')),
+    o AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY seen, side, tm) AS k FROM m),
+    r(song, k, free, hits) AS (SELECT DISTINCT song, 0::BIGINT, []::BIGINT[], 0 FROM o
+      UNION ALL SELECT song, k, CASE WHEN side = 0 THEN list_append(free, tm) WHEN hit THEN list_slice(live, 2, len(live)) ELSE live END, hits + (side = 1 AND hit)::INTEGER
+      FROM (SELECT o.song, o.k, o.side, o.tm, r.free, r.hits, list_filter(r.free, lambda x: x >= o.tm - 3600000000) AS live, coalesce(list_filter(r.free, lambda x: x >= o.tm - 3600000000)[1] <= o.tm + 3600000000, false) AS hit FROM r JOIN o ON o.song = r.song AND o.k = r.k + 1)),
+    h AS (SELECT song, max(hits)::BIGINT AS hits FROM r GROUP BY 1), n AS (SELECT song, count(*) FILTER (side = 1) AS n_found, count(*) FILTER (side = 0) AS n_true FROM o GROUP BY 1),
+    p AS (SELECT *, CASE WHEN n_found > 0 THEN hits / n_found ELSE 0.0 END AS precision, CASE WHEN n_true > 0 THEN hits / n_true ELSE 0.0 END AS recall FROM n JOIN h USING (song))
+    SELECT song, n_found, n_true, hits, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM p"""
+)
 def one_to_one_boundaries(spark, sf_dir):
     """Views against purchases, each purchase met once within an hour."""
     e = events(spark, sf_dir)

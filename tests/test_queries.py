@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__
+import __spark_entry__  # registers all queries
 from ostinato.plans.queries import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -23,7 +23,7 @@ def db():
 
 def plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value + 0.0:.5g}" if abs(value) > 1e-9 else "0"
+        return "nan" if math.isnan(value) else f"{value + 0.0:.9g}" if abs(value) > 1e-12 else "0"
     if isinstance(value, bool) or value is None:
         return str(value)
     if isinstance(value, (list, tuple)):
@@ -42,7 +42,7 @@ def near(a: str, b: str) -> bool:
     if a == b:
         return True
     try:
-        return math.isclose(float(a), float(b), rel_tol=1e-4, abs_tol=2e-6)
+        return math.isclose(float(a), float(b), rel_tol=1e-8, abs_tol=1e-12)
     except ValueError:
         return False
 
