@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
 import re
-from array import array
 from pathlib import Path
 
 import numpy as np
@@ -20,7 +18,7 @@ CHUNK = 1 << 16  # characters indexed at once
 PART = 512 << 10  # bytes of text worked on at once
 CACHED = 60_000  # segments whose pieces a worker keeps
 KEPT = 1024  # characters up to which it keeps a segment's
-LONG = 96  # characters from which a segment is merged by a heap instead of in step with others
+LONG = 96  # characters up to which segments are relaxed together
 _NONE = np.int32(2**31 - 1)
 
 
@@ -44,13 +42,18 @@ def read_model(path: str = MODEL) -> list[tuple[str, float, int]]:
 
 
 class PieceMatcher:
-    """Finds all occurrences of all pieces in a batch of segments and joins characters by their merges."""
+    """Finds all occurrences of all pieces in a batch of segments and relaxes them, sorted by position, to encodings.
+
+    A byte-pair encoding is no best sum of scores, so an edge is relaxed by a test: of a prefix's encoding only the last
+    piece is kept, and a piece that begins there extends it if no merge crosses the place between the two. For each
+    prefix one edge passes. Of two merges that of the better score comes first, of equal scores the leftmost.
+    """
 
     def __init__(self, pieces: list[tuple[str, float, int]]):
         normal = sorted(((i, p, s) for i, (p, s, k) in enumerate(pieces) if k == 1), key=lambda x: (-x[2], x[0]))
         self.ids = np.array([i for i, _, _ in normal], dtype=np.int32)
-        scores = [s for _, _, s in normal]
-        self.rank = np.array([0, *np.cumsum(np.diff(scores) != 0)], dtype=np.int32)  # equal scores tie
+        joined = [p for _, p, _ in normal if len(p) > 1]
+        rank = np.array([0, *np.cumsum(np.diff([s for _, _, s in normal]) != 0)], dtype=np.int32)  # equal scores tie
         self.byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == 6}
         self.width = max(len(p) for _, p, _ in normal)
         self.words = -(-self.width // 4)
@@ -59,7 +62,7 @@ class PieceMatcher:
             raise ValueError("too many distinct characters")
         self.letter = np.zeros(0x110000, dtype=np.uint16)
         self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        self.length = np.array([len(p) for _, p, _ in normal])
+        self.length = np.array([len(p) for _, p, _ in normal], dtype=np.int32)
         low = np.zeros((len(normal), 4 * self.words), dtype=np.uint64)
         for row, (_, p, _) in zip(low, normal, strict=True):
             row[: len(p)] = self.letter[[ord(c) for c in p]]
@@ -67,22 +70,46 @@ class PieceMatcher:
         self.low, self.high = ([self._pack(x[:, 4 * j : 4 * j + 4].T) for j in range(self.words)] for x in (low, high))
         # A piece has its space mark only in front, or consists of marks: a segment begins with a run of
         # marks. Line feeds are in no piece of several characters, so they stand alone.
-        joined = [p for _, p, _ in normal if len(p) > 1]
         if any(SPACE in p.lstrip(SPACE) for p in joined):
             raise ValueError("a piece holds a space mark after other characters")
         self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if any("\n" in p for p in joined) else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
         self.cache: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.rank = np.append(rank, _NONE)  # no piece has the last rank
+        self._learn_merges([p for _, p, _ in normal])
+
+    def _learn_merges(self, pieces: list[str]) -> None:
+        """The two parts that each piece is last merged from; a piece that no merges lead to is never used."""
+        n = len(pieces)
+        self.left, self.right = np.full(n, -1, dtype=np.int32), np.full(n, -1, dtype=np.int32)
+        self.born = np.where(self.length > 1, self.rank[:-1], np.int32(-1))  # when it is merged
+        self.valid = self.length == 1
+        text = "\0".join(pieces)
+        code = self.letter[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
+        code[np.cumsum(self.length + 1)[:-1] - 1] = 0
+        table, _, _ = self.edges(code)
+        start = np.append(0, np.cumsum(self.length + 1)[:-1])
+        for size in range(2, self.width + 1):
+            for k in range(1, size):
+                p = np.flatnonzero((self.length == size) & ~self.valid).astype(np.int32)
+                a, b = table[start[p], k], table[start[p] + k, size - k]
+                use = (a != _NONE) & (b != _NONE)
+                p, a, b = p[use], a[use], b[use]
+                use = self.valid[a] & self.valid[b] & (np.maximum(self.born[a], self.born[b]) <= self.born[p])
+                p, a, b = p[use], a[use], b[use]
+                use = self._apart(table, a, b, start[p] + k, self.born[p])
+                p = p[use]
+                self.left[p], self.right[p], self.valid[p] = a[use], b[use], True
 
     @staticmethod
     def _pack(c):
         c = [x.astype(np.uint64) for x in c]
         return c[0] << np.uint64(48) | c[1] << np.uint64(32) | c[2] << np.uint64(16) | c[3]
 
-    def _bound(self, keys, pieces, after: bool) -> np.ndarray:
-        """For every piece the number of sorted suffixes before it (or, with ``after``, up to it)."""
+    def _bound(self, keys, pieces, lo, hi, after: bool) -> np.ndarray:
+        """For every piece the number of sorted suffixes, of those between lo and hi, before it (or, with ``after``, up to it)."""
         n = len(keys[0])
-        lo, hi = np.zeros(len(pieces[0]), dtype=np.int64), np.full(len(pieces[0]), n, dtype=np.int64)
-        for _ in range(n.bit_length()):
+        for _ in range(int((hi - lo).max(initial=0)).bit_length()):
             mid = (lo + hi) >> 1
             at = np.minimum(mid, n - 1)
             less, same = np.zeros(len(lo), dtype=bool), np.ones(len(lo), dtype=bool)
@@ -94,11 +121,11 @@ class PieceMatcher:
             lo, hi = np.where(go, mid + 1, lo), np.where(go | (lo >= hi), hi, mid)
         return lo
 
-    def edges(self, code: np.ndarray) -> np.ndarray:
-        """A table over (position, length) of the piece, as an index into ``ids``, that stands there.
+    def edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All occurrences: a table over (position, length) of the piece that stands there, and (position, piece) as two arrays.
 
-        Suffixes are sorted by as many characters as the longest piece has; each piece's occurrences
-        are then one range, found by binary search, and are placed by position.
+        Suffixes are sorted by as many characters as the longest piece has; each piece's occurrences are then one range.
+        Binary search by the first four characters finds a range for every piece; longer pieces are searched on inside it.
         """
         n = len(code)
         padded = np.append(code, np.zeros(4 * self.words + 3, dtype=code.dtype))
@@ -106,65 +133,74 @@ class PieceMatcher:
         keys = [packed[4 * j : 4 * j + n] for j in range(self.words)]
         order = np.lexsort(keys[::-1])
         keys = [k[order] for k in keys]
-        lo, hi = self._bound(keys, self.low, False), self._bound(keys, self.high, True)
+        lo, hi = np.searchsorted(keys[0], self.low[0], "left"), np.searchsorted(keys[0], self.high[0], "right")
+        far = np.flatnonzero((lo < hi) & (self.length > 4))
+        if len(far):
+            a, b = lo[far], hi[far]
+            lo[far] = self._bound(keys[1:], [x[far] for x in self.low[1:]], a, b, False)
+            hi[far] = self._bound(keys[1:], [x[far] for x in self.high[1:]], a, b, True)
         count = hi - lo
-        piece = np.repeat(np.arange(len(lo)), count)
+        piece = np.repeat(np.arange(len(lo), dtype=np.int32), count)
         position = order[np.arange(len(piece)) + np.repeat(lo - (np.cumsum(count) - count), count)]
-        table = np.full((n, self.width + 1), _NONE, dtype=np.int32)
+        table = np.full((n, self.width + 2), _NONE, dtype=np.int32)  # the last column stays empty, for what is longer
         table[position, self.length[piece]] = piece
-        return table
-
-    def _in_step(self, table, begin, end, word):
-        """Merge all segments together, one merge a segment and round: the best piece, the leftmost of equals."""
-        rank = np.append(self.rank, _NONE)
-        done_b, done_e = [], []
-        while len(begin):
-            long = end[1:] - begin[:-1]
-            fits = (word[1:] == word[:-1]) & (long <= self.width)
-            piece = table[begin[:-1], np.where(fits, long, 0)]
-            cost = np.append(rank[np.minimum(piece, len(self.rank))], _NONE)
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            best = np.repeat(np.minimum.reduceat(cost, first), np.diff(np.append(first, len(word))))
-            over = best == _NONE
-            done_b.append(begin[over])
-            done_e.append(end[over])
-            hit = np.flatnonzero((cost == best) & ~over)
-            hit = hit[np.append(True, word[hit[1:]] != word[hit[:-1]])] if len(hit) else hit
-            end[hit] = end[hit + 1]
-            keep = ~over
-            keep[hit + 1] = False
-            begin, end, word = begin[keep], end[keep], word[keep]
-        return np.concatenate(done_b or [begin]), np.concatenate(done_e or [end])
-
-    def _by_heap(self, table, a: int, b: int):
-        """The merges of one long segment, by a heap of neighbouring pairs; flat arrays hold the neighbours."""
-        n = b - a
-        end, left = array("q", range(1, n + 1)), array("q", range(-1, n - 1))  # of each character that begins a piece
-        whole, width = bytearray(b"\1") * n, self.width
-        heap: list[int] = []
-
-        def offer(i: int, j: int) -> None:
-            """The pair of the pieces at i and j: its rank, place and length as one number, in this order."""
-            size = end[j] - i
-            if size <= width and (p := table[a + i, size]) != _NONE:
-                heapq.heappush(heap, (int(self.rank[p]) * n + i) * (width + 1) + size)
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            at, size = divmod(heapq.heappop(heap), width + 1)
-            i = at % n
-            j = end[i]
-            if not whole[i] or j >= n or end[j] != i + size:
-                continue
-            end[i], whole[j] = end[j], 0
-            if end[i] < n:
-                left[end[i]] = i
-                offer(i, end[i])
-            if left[i] >= 0:
-                offer(left[i], i)
-        begin = np.flatnonzero(np.frombuffer(whole, dtype=np.uint8))
-        return begin + a, np.frombuffer(end, dtype=np.int64)[begin] + a
+        return table, position, piece
+
+    def _apart(self, table, x, y, at, limit) -> np.ndarray:
+        """Whether pieces x and y, which meet at a position, stay apart: no merge before ``limit`` crosses it.
+
+        The merges of both are undone, the later one first. Each time the two parts beside the place are looked up as one
+        piece: had it come before the merge just undone, it would have been made instead.
+        """
+        flat, columns, last = table.ravel(), table.shape[1], len(self.rank) - 1
+        out = np.ones(len(x), dtype=bool)
+        which = np.arange(len(x))
+        row = at * columns
+        while len(which):
+            lx = self.length[x]
+            cross = self.rank[np.minimum(flat[row - lx * columns + np.minimum(lx + self.length[y], columns - 1)], last)] < limit
+            out[which[cross]] = False
+            bx, by = self.born[x], self.born[y]
+            go = np.flatnonzero(~cross & ((bx >= 0) | (by >= 0)))
+            which, row, x, y = which[go], row[go], x[go], y[go]
+            first = bx[go] > by[go]
+            limit = np.where(first, bx[go], by[go] + 1)
+            x, y = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
+        return out
+
+    def _pair_apart(self, table, x: int, y: int, at: int) -> bool:
+        """``_apart`` for one pair; what it finds holds wherever they meet and is kept."""
+        key = x * len(self.ids) + y
+        if (found := self.pairs.get(key)) is None:
+            if len(self.pairs) >= CACHED:
+                self.pairs.clear()
+            one = [np.array([v], dtype=np.int32) for v in (x, y)]
+            found = self.pairs[key] = bool(self._apart(table, *one, np.array([at]), np.array([_NONE]))[0])
+        return found
+
+    def _relax(self, table, begin, end, piece) -> np.ndarray:
+        """The last piece of the encoding up to each position (-1 none, -2 a character without a piece), from edges sorted by
+        their place in their segments, all segments together."""
+        last = np.full(len(table) + 1, -1, dtype=np.int32)
+        for a, b, p in zip(begin, end, piece, strict=True):
+            before = last[a]
+            free = (before < 0) | (p < 0)
+            test = np.flatnonzero(~free)
+            free[test] = self._apart(table, before[test], p[test], a[test], np.full(len(test), _NONE))
+            last[b[free]] = p[free]
+        return last
+
+    def _relax_long(self, table, a: int, b: int, last) -> None:
+        """The same for one long segment, position by position."""
+        for at in range(a, b):
+            before = int(last[at])
+            sizes = np.flatnonzero(table[at] != _NONE).tolist()
+            if 1 not in sizes:
+                last[at + 1] = -2
+            for size in sizes:
+                p = int(table[at, size])
+                if self.valid[p] and (before < 0 or self._pair_apart(table, before, p, at)):
+                    last[at + size] = p
 
     def _pieces(self, segments: list[str]) -> list[bytes]:
         """Ids of each segment, as bytes of 32-bit integers."""
@@ -174,20 +210,36 @@ class PieceMatcher:
         start = np.append(0, np.cumsum(size + 1))[:-1]
         code = self.letter[point]
         code[(start + size)[:-1]] = 0
-        table = self.edges(code)
-        short = size <= LONG
-        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        word = np.repeat(np.arange(len(segments)), size)
-        use = short[word]
-        parts = [self._in_step(table, at[use], at[use] + 1, word[use]), *(self._by_heap(table, start[i], start[i] + size[i]) for i in np.flatnonzero(~short))]
-        begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(begin)
-        begin, end = begin[order], end[order]
-        piece = table[begin, end - begin]
-        known = piece != _NONE
-        ids = np.where(known, self.ids[np.minimum(piece, len(self.ids) - 1)], -1).astype(np.int32)
-        of = np.searchsorted(begin, start)
-        of = np.append(of, len(begin))
+        table, begin, piece = self.edges(code)
+        offset = np.arange(len(code)) - np.repeat(start, size + 1)[: len(code)]
+        short = np.repeat(size <= LONG, size + 1)[: len(code)]
+        alone = short & (table[:, 1] == _NONE)  # characters without a piece
+        alone[(start + size)[:-1]] = False
+        alone = np.flatnonzero(alone)
+        use = self.valid[piece] & short[begin]
+        begin, piece = np.append(begin[use], alone), np.append(piece[use], np.full(len(alone), -2, dtype=np.int32))
+        end = begin + np.where(piece < 0, 1, self.length[piece])
+        place = (offset[begin] + end - begin).astype(np.uint16)
+        order = np.argsort(place, kind="stable")
+        cut = np.cumsum(np.bincount(place, minlength=1))[:-1]
+        last = self._relax(table, *(np.split(x[order], cut) for x in (begin, end, piece)))
+        for i in np.flatnonzero(size > LONG):
+            self._relax_long(table, int(start[i]), int(start[i] + size[i]), last)
+        chosen = np.zeros(len(code), dtype=bool)
+        at, stop = start + size, start
+        while len(at):  # back from the ends
+            p = last[at]
+            at = at - np.where(p < 0, 1, self.length[p])
+            chosen[at] = True
+            go = at > stop
+            at, stop = at[go], stop[go]
+        begin = np.flatnonzero(chosen)
+        of = np.append(np.searchsorted(begin, start), len(begin))
+        end = np.append(begin[1:], len(code))
+        end[of[1:-1] - 1] = (start + size)[:-1]
+        piece = last[end]
+        known = piece >= 0
+        ids = np.where(known, self.ids[piece], -1).astype(np.int32)
         out = []
         odd = set(np.unique(np.searchsorted(start, begin[~known], side="right") - 1).tolist())
         for i in range(len(segments)):
@@ -203,14 +255,14 @@ class PieceMatcher:
         """A segment cut where no piece's occurrence spans the place, so that no merge can: these encode on their own.
 
         Occurrences are looked for in windows of CHUNK characters, which overlap by a piece's length. What has no such
-        place for longer than CHUNK (one letter repeated, say) stays whole and is merged by a heap.
+        place for longer than CHUNK (one letter repeated, say) stays whole and is relaxed on its own.
         """
         if len(segment) <= CHUNK:
             return [segment]
         spanned = np.zeros(len(segment) + self.width + 1, dtype=np.int32)
         for at in range(0, len(segment), CHUNK):
             part = segment[at : at + CHUNK + self.width]
-            table = self.edges(self.letter[np.frombuffer(part.encode("utf-32-le", "replace"), dtype=np.uint32)])[:CHUNK]
+            table = self.edges(self.letter[np.frombuffer(part.encode("utf-32-le", "replace"), dtype=np.uint32)])[0][:CHUNK]
             place, size = np.nonzero(table[:, 2:] != _NONE)
             np.add.at(spanned, at + place + 1, 1)  # the places inside a piece of size + 2 characters
             np.add.at(spanned, at + place + size + 2, -1)
@@ -255,7 +307,7 @@ def encode(documents: DataFrame, model: str = MODEL, keep: list[str] | None = No
     """Every row of ``documents`` as (doc_id, *keep, ids array<int>): the ids of its whole text.
 
     The model's pieces are matched through a suffix array of the batch's distinct segments (runs of
-    characters between spaces and line feeds). Null and empty texts have no ids; repeated rows stay
+    characters between spaces and line feeds), and the edges found are relaxed by position. Null and empty texts have no ids; repeated rows stay
     repeated; columns not in ``keep`` are dropped. One map over the scan, no shuffle. Characters without
     a piece become the ids of their UTF-8 bytes. Batches are cut so that about PART bytes of text are worked on at once.
     """

@@ -117,6 +117,22 @@ def test_long_unbroken_texts_equal_the_library(monkeypatch):
     assert len(m.stretches(texts[3])) > 5 and not any(len(s) > sentencepieces.KEPT for s in m.cache)
 
 
+def test_relaxed_edges_give_the_encodings_of_the_library():
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    pieces = sentencepieces.read_model()
+    m = sentencepieces.PieceMatcher(pieces)
+    assert m.valid.all() and (m.length[m.left[m.left >= 0]] + m.length[m.right[m.left >= 0]] == m.length[m.left >= 0]).all()
+    rng = np.random.default_rng(5)
+    words = [p.replace("▁", " ") for p, _, k in pieces if k == 1]
+    texts = ["".join(rng.choice(words, rng.integers(1, 40))) for _ in range(600)]
+    texts += ["".join(rng.choice(list("aab eeststhing  \n\0é漢🙂=-_"), rng.integers(1, 300))) for _ in range(400)]
+    texts += [" " * n + "x" * (n % 3) for n in range(40)] + ["a" * 3000, "=" * 500, "ab" * 400, "\n" * 50, "🙂" * 120, "é" * 300]
+    for t, got in zip(texts, m.encode(texts), strict=True):
+        assert np.frombuffer(got, dtype=np.int32).tolist() == lib.encode(t), t[:60]
+
+
 @pytest.mark.parametrize("make", [licenses.scan, sharding.shard, sentencepieces.encode_and_check])
 def test_empty_tables_and_clashing_columns(spark, make):
     names = "doc_id long, text string, shard string, slot string, n_words string, labels string, ids string, row string, tie string, _text string"
