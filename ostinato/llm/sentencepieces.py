@@ -282,12 +282,12 @@ class PieceMatcher:
         parts = []
         for t in texts:
             p = self.split(SPACE + t.replace(" ", SPACE)) if t else []
-            if any(len(s) > CHUNK for s in p):
+            if t and len(t) >= CHUNK and any(len(s) > CHUNK for s in p):
                 p = [x for s in p for x in self.stretches(s)]
             parts.append([one.setdefault(s, s) for s in p])
         if len(self.cache) > CACHED:
             self.cache.clear()
-        new = sorted(one.keys() - self.cache.keys())
+        new = [s for s in one if s not in self.cache]
         del one
         block, n = [], 0
         for i, s in enumerate(new):
