@@ -19,7 +19,7 @@ PART = 512 << 10  # bytes of text worked on at once
 CACHED = 60_000  # segments whose pieces a worker keeps
 KEPT = 1024  # characters up to which it keeps a segment's
 LONG = 96  # characters up to which segments are relaxed together
-_NONE = np.int32(2**31 - 1)
+_NEVER = np.int32(2**31 - 1)
 
 
 def read_model(path: str = MODEL) -> list[tuple[str, float, int]]:
@@ -68,6 +68,8 @@ class PieceMatcher:
             row[: len(p)] = self.letter[[ord(c) for c in p]]
         high = np.where(np.arange(4 * self.words) < self.length[:, None], low, np.uint64(0xFFFF))
         self.low, self.high = ([self._pack(x[:, 4 * j : 4 * j + 4].T) for j in range(self.words)] for x in (low, high))
+        self.sorted = np.argsort(self.low[0]).astype(np.int32)  # pieces are searched for in this order
+        self.low, self.high = ([k[self.sorted] for k in x] for x in (self.low, self.high))
         # A piece has its space mark only in front, or consists of marks: a segment begins with a run of
         # marks. Line feeds are in no piece of several characters, so they stand alone.
         if any(SPACE in p.lstrip(SPACE) for p in joined):
@@ -75,7 +77,9 @@ class PieceMatcher:
         self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if any("\n" in p for p in joined) else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
         self.cache: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
-        self.rank = np.append(rank, _NONE)  # no piece has the last rank
+        self.rank = np.append(rank, _NEVER)  # the number after the last piece's stands for none
+        self.none = len(normal)
+        self.number = np.int16 if self.none < 1 << 15 else np.int32  # small tables stay in a core's cache
         self._learn_merges([p for _, p, _ in normal])
 
     def _learn_merges(self, pieces: list[str]) -> None:
@@ -93,7 +97,7 @@ class PieceMatcher:
             for k in range(1, size):
                 p = np.flatnonzero((self.length == size) & ~self.valid).astype(np.int32)
                 a, b = table[start[p], k], table[start[p] + k, size - k]
-                use = (a != _NONE) & (b != _NONE)
+                use = (a != self.none) & (b != self.none)
                 p, a, b = p[use], a[use], b[use]
                 use = self.valid[a] & self.valid[b] & (np.maximum(self.born[a], self.born[b]) <= self.born[p])
                 p, a, b = p[use], a[use], b[use]
@@ -124,25 +128,32 @@ class PieceMatcher:
     def edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All occurrences: a table over (position, length) of the piece that stands there, and (position, piece) as two arrays.
 
-        Suffixes are sorted by as many characters as the longest piece has; each piece's occurrences are then one range.
+        Suffixes are sorted by as many characters as the longest piece has, by four, then by twice as many each time;
+        each piece's occurrences are then one range.
         Binary search by the first four characters finds a range for every piece; longer pieces are searched on inside it.
         """
         n = len(code)
         padded = np.append(code, np.zeros(4 * self.words + 3, dtype=code.dtype))
         packed = self._pack([padded[i : n + 4 * self.words + i] for i in range(4)])
-        keys = [packed[4 * j : 4 * j + n] for j in range(self.words)]
-        order = np.lexsort(keys[::-1])
-        keys = [k[order] for k in keys]
+        order, done = np.argsort(packed[:n]), 4
+        key = packed[:n][order]
+        while done < self.width:
+            rank = np.zeros(n + done, dtype=np.uint64)
+            rank[order] = np.cumsum(np.append(True, key[1:] != key[:-1]))
+            pair = rank[:n] << np.uint64(32) | rank[done:]
+            order, done = np.argsort(pair), 2 * done
+            key = pair[order]
+        keys = [packed[4 * j : 4 * j + n][order] for j in range(self.words)]
         lo, hi = np.searchsorted(keys[0], self.low[0], "left"), np.searchsorted(keys[0], self.high[0], "right")
-        far = np.flatnonzero((lo < hi) & (self.length > 4))
+        far = np.flatnonzero((lo < hi) & (self.length[self.sorted] > 4))
         if len(far):
             a, b = lo[far], hi[far]
             lo[far] = self._bound(keys[1:], [x[far] for x in self.low[1:]], a, b, False)
             hi[far] = self._bound(keys[1:], [x[far] for x in self.high[1:]], a, b, True)
         count = hi - lo
-        piece = np.repeat(np.arange(len(lo), dtype=np.int32), count)
+        piece = np.repeat(self.sorted, count)
         position = order[np.arange(len(piece)) + np.repeat(lo - (np.cumsum(count) - count), count)]
-        table = np.full((n, self.width + 2), _NONE, dtype=np.int32)  # the last column stays empty, for what is longer
+        table = np.full((n, self.width + 2), self.none, dtype=self.number)  # the last column stays empty, for what is longer
         table[position, self.length[piece]] = piece
         return table, position, piece
 
@@ -152,13 +163,13 @@ class PieceMatcher:
         The merges of both are undone, the later one first. Each time the two parts beside the place are looked up as one
         piece: had it come before the merge just undone, it would have been made instead.
         """
-        flat, columns, last = table.ravel(), table.shape[1], len(self.rank) - 1
+        flat, columns = table.ravel(), table.shape[1]
         out = np.ones(len(x), dtype=bool)
         which = np.arange(len(x))
         row = at * columns
         while len(which):
             lx = self.length[x]
-            cross = self.rank[np.minimum(flat[row - lx * columns + np.minimum(lx + self.length[y], columns - 1)], last)] < limit
+            cross = self.rank[flat[row - lx * columns + np.minimum(lx + self.length[y], columns - 1)]] < limit
             out[which[cross]] = False
             bx, by = self.born[x], self.born[y]
             go = np.flatnonzero(~cross & ((bx >= 0) | (by >= 0)))
@@ -175,7 +186,7 @@ class PieceMatcher:
             if len(self.pairs) >= CACHED:
                 self.pairs.clear()
             one = [np.array([v], dtype=np.int32) for v in (x, y)]
-            found = self.pairs[key] = bool(self._apart(table, *one, np.array([at]), np.array([_NONE]))[0])
+            found = self.pairs[key] = bool(self._apart(table, *one, np.array([at]), np.array([_NEVER]))[0])
         return found
 
     def _relax(self, table, begin, end, piece) -> np.ndarray:
@@ -186,7 +197,7 @@ class PieceMatcher:
             before = last[a]
             free = (before < 0) | (p < 0)
             test = np.flatnonzero(~free)
-            free[test] = self._apart(table, before[test], p[test], a[test], np.full(len(test), _NONE))
+            free[test] = self._apart(table, before[test], p[test], a[test], np.full(len(test), _NEVER))
             last[b[free]] = p[free]
         return last
 
@@ -194,7 +205,7 @@ class PieceMatcher:
         """The same for one long segment, position by position."""
         for at in range(a, b):
             before = int(last[at])
-            sizes = np.flatnonzero(table[at] != _NONE).tolist()
+            sizes = np.flatnonzero(table[at] != self.none).tolist()
             if 1 not in sizes:
                 last[at + 1] = -2
             for size in sizes:
@@ -213,7 +224,7 @@ class PieceMatcher:
         table, begin, piece = self.edges(code)
         offset = np.arange(len(code)) - np.repeat(start, size + 1)[: len(code)]
         short = np.repeat(size <= LONG, size + 1)[: len(code)]
-        alone = short & (table[:, 1] == _NONE)  # characters without a piece
+        alone = short & (table[:, 1] == self.none)  # characters without a piece
         alone[(start + size)[:-1]] = False
         alone = np.flatnonzero(alone)
         use = self.valid[piece] & short[begin]
@@ -263,7 +274,7 @@ class PieceMatcher:
         for at in range(0, len(segment), CHUNK):
             part = segment[at : at + CHUNK + self.width]
             table = self.edges(self.letter[np.frombuffer(part.encode("utf-32-le", "replace"), dtype=np.uint32)])[0][:CHUNK]
-            place, size = np.nonzero(table[:, 2:] != _NONE)
+            place, size = np.nonzero(table[:, 2:] != self.none)
             np.add.at(spanned, at + place + 1, 1)  # the places inside a piece of size + 2 characters
             np.add.at(spanned, at + place + size + 2, -1)
         free = np.flatnonzero(np.cumsum(spanned)[: len(segment)] == 0)
@@ -278,17 +289,21 @@ class PieceMatcher:
 
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text, as bytes of 32-bit integers; null and empty texts have none."""
-        one: dict[str, str] = {}  # a repeated segment is held once
+        one: dict[str, str] = {}  # of a long text a repeated segment is held once
+        met: set[str] = set()
         parts = []
         for t in texts:
             p = self.split(SPACE + t.replace(" ", SPACE)) if t else []
-            if t and len(t) >= CHUNK and any(len(s) > CHUNK for s in p):
-                p = [x for s in p for x in self.stretches(s)]
-            parts.append([one.setdefault(s, s) for s in p])
+            if t and len(t) >= CHUNK:
+                if any(len(s) > CHUNK for s in p):
+                    p = [x for s in p for x in self.stretches(s)]
+                p = [one.setdefault(s, s) for s in p]
+            met.update(p)
+            parts.append(p)
         if len(self.cache) > CACHED:
             self.cache.clear()
-        new = [s for s in one if s not in self.cache]
-        del one
+        new = [s for s in met if s not in self.cache]
+        del one, met
         block, n = [], 0
         for i, s in enumerate(new):
             block.append(s)
