@@ -78,3 +78,18 @@ def vocabulary(spark, phase: int = 1) -> DataFrame:
     none = n == size(phase) - 1
     d = spark.range(size(phase)).select(n.alias("number"), F.when(none, -1).otherwise(root).alias("root"), F.when(none, "N").otherwise(quality).alias("quality"))
     return d.withColumn("label", F.when(F.col("root") < 0, "N").otherwise(F.concat(F.get(notes, F.col("root")), F.col("quality"))))
+
+
+# Qualities that evaluation notation writes otherwise than the vocabulary.
+EVALUATION = {
+    "mMaj7": "minmaj7", "ø7": "hdim7", "°7": "dim7", "augMaj7": "aug", "aug7": "aug", "7sus4": "sus4", "7b9": "7", "7#9": "7", "9sus4": "sus4",
+    "maj9#11": "maj9", "7#11": "7", "7b9#11": "7", "13b9": "13",
+}
+
+
+def evaluation_label(label: Column) -> Column:
+    """``root:quality`` of a vocabulary label: no or an unknown quality is maj, N stays, and a label without a root is itself with ``:maj``."""
+    root = F.regexp_extract(label, "^([CDFGA]#|[A-G])", 1)
+    tail = F.substring(label, F.length(root) + 1, F.length(label))
+    known = {q: EVALUATION.get(q, q) for q in qualities(4)}
+    return F.when(label == "N", "N").when(root == "", F.concat(label, F.lit(":maj"))).otherwise(F.concat(root, F.lit(":"), F.coalesce(lookup(known, tail), F.lit("maj"))))
