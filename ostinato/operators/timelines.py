@@ -213,3 +213,32 @@ def inconsistent(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def not_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys aren't in ``done``, so that an interrupted batch goes on where it stopped."""
     return df.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def split_by_fast_runs(chords: DataFrame, labels: DataFrame, period: float, song: str = "song", fast: float = 2.75, least: int = 4, shortest: float = 1.4) -> DataFrame:
+    """``chords`` (song, t0, t1, label) with stretches of quick changes taken from ``labels`` (same columns), and ``added``.
+
+    A run is at least ``least`` labels in a row that each last less than ``fast`` periods. Chords whose middle lies in a
+    run, both ends included, go, except those labelled N; the run's labels that last ``shortest`` periods or more take
+    their place, except N and X. A song of which no chord goes stays as it is. ``labels`` don't overlap; rows with null times or a null song
+    never match. A song's rows are sorted in one task; no pairs are made.
+    """
+    order = Window.partitionBy(song).orderBy("t0", "t1", "label")
+    quick = F.coalesce(F.col("t1") - F.col("t0") < F.lit(fast * period), F.lit(False))
+    timed = labels.where(F.col("t0").isNotNull() & F.col("t1").isNotNull()).select(song, "t0", "t1", "label", quick.alias("quick"))
+    numbered = timed.withColumn("place", F.row_number().over(order))
+    island = F.col("place") - F.row_number().over(Window.partitionBy(song, "quick").orderBy("t0", "t1", "label"))
+    of_run = Window.partitionBy(song, "island")
+    quick_ones = numbered.withColumn("island", island).where("quick").withColumn("size", F.count("*").over(of_run)).where(F.col("size") >= least)
+    runs = quick_ones.groupBy(song, "island").agg(F.min("t0").alias("at"), F.max("t1").alias("hi"))
+    middle = (F.col("t0") + F.col("t1")) / 2
+    both = chords.select(song, "t0", "t1", "label", middle.alias("at"), F.lit(None).cast("double").alias("hi"), F.lit(1).alias("kind")).unionByName(
+        runs.select(song, F.col("at").cast("double").alias("at"), F.col("hi").cast("double").alias("hi"), F.lit(0).alias("kind")), allowMissingColumns=True
+    )
+    reach = F.max("hi").over(Window.partitionBy(song).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    goes = F.coalesce((reach >= F.col("at")) & ~F.col("label").eqNullSafe(F.lit("N")) & F.col(song).isNotNull(), F.lit(False))
+    judged = both.withColumn("goes", goes).where("kind = 1")
+    changed = judged.where("goes").select(song).distinct()
+    new = quick_ones.where(~F.coalesce(F.col("label").isin("N", "X"), F.lit(True)) & (F.col("t1") - F.col("t0") >= F.lit(shortest * period)))
+    kept = judged.where("not goes").select(song, "t0", "t1", "label", F.lit(False).alias("added"))
+    return kept.unionByName(new.join(changed, song, "left_semi").select(song, "t0", "t1", "label", F.lit(True).alias("added")))

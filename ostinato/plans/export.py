@@ -9,6 +9,8 @@ from ostinato.functions import scales
 from ostinato.functions import vocabulary as V
 from ostinato.functions.qualities import lookup
 from ostinato.operators import export
+from ostinato.operators.sequences import ordered
+from ostinato.operators.timelines import split_by_fast_runs
 from ostinato.plans.fixtures import EVENTS_SQL, events
 from ostinato.plans.queries import query
 
@@ -64,3 +66,23 @@ def played_bars(spark, sf_dir) -> DataFrame:
     root = F.when(~none & ~held, F.col("root"))
     chords = e.select("song", "section", label.alias("letter"), reps.alias("reps"), "bar", F.col("pos").alias("beat"), root.alias("root"), q.alias("q"))
     return export.played_bars(chords, "song").select("song", "section", "rep", "bar", "token")
+
+
+@query(
+    EVENTS_SQL
+    + """, l AS (SELECT song, pos, t AS t0, lead(t) OVER (PARTITION BY song ORDER BY pos) AS t1, CASE q WHEN 'error' THEN 'X' ELSE root || q END AS label FROM ev QUALIFY t1 IS NOT NULL),
+    c AS (SELECT song, t0, coalesce(lead(t0) OVER (PARTITION BY song ORDER BY pos), t1) AS t1, CASE WHEN pos % 10 = 0 THEN 'N' ELSE label END AS label FROM l WHERE pos % 2 = 0),
+    s AS (SELECT *, sum(CASE WHEN t1 - t0 < 55000000000 THEN 0 ELSE 1 END) OVER (PARTITION BY song ORDER BY pos) AS g FROM l),
+    f AS (SELECT *, count(*) OVER (PARTITION BY song, g) AS n FROM s WHERE t1 - t0 < 55000000000),
+    r AS (SELECT song, g, min(t0) AS lo, max(t1) AS hi FROM f WHERE n >= 4 GROUP BY 1, 2),
+    j AS (SELECT *, label <> 'N' AND EXISTS (FROM r WHERE r.song = c.song AND c.t0 + c.t1 BETWEEN 2 * lo AND 2 * hi) AS goes FROM c)
+    SELECT song, t0, t1, label, false AS added FROM j WHERE NOT goes
+    UNION ALL SELECT song, t0, t1, label, true FROM f WHERE n >= 4 AND label <> 'X' AND t1 - t0 >= 28000000000 AND song IN (SELECT song FROM j WHERE goes)"""
+)
+def split_bars(spark, sf_dir) -> DataFrame:
+    e = events(spark, sf_dir)
+    w = ordered(["song"], ["pos"])
+    spans = e.select("song", "pos", F.col("t").alias("t0"), F.lead("t").over(w).alias("t1"), F.when(F.col("q") == "error", "X").otherwise(F.concat(F.col("root").cast("string"), "q")).alias("label")).where("t1 IS NOT NULL")
+    even = spans.where("pos % 2 = 0")
+    chords = even.select("song", "t0", F.coalesce(F.lead("t0").over(w), "t1").alias("t1"), F.when(F.col("pos") % 10 == 0, "N").otherwise(F.col("label")).alias("label"))
+    return split_by_fast_runs(chords, spans.select("song", "t0", "t1", "label"), 2e10)

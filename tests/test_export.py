@@ -6,6 +6,7 @@ from ostinato.functions import scales
 from ostinato.functions import vocabulary as V
 from ostinato.functions.tokens import MAJOR_SCALE
 from ostinato.operators import export
+from ostinato.operators.timelines import split_by_fast_runs
 
 
 def test_triads_of_scales():
@@ -38,3 +39,16 @@ def test_played_bars(spark):
     once = [(4, "*BC D7"), (5, "x"), (6, "n")]
     assert got == [("s", rep, bar, token) for rep in (1, 2) for bar, token in once] + [("t", 1, 0, "*AC#-7")]
     assert export.played_bars(d.limit(0)).count() == 0
+
+
+def test_fast_runs_replace_chords(spark):
+    schema = "song string, t0 double, t1 double, label string"
+    times = [0, 2, 4, 6, 7, 20, 22, 24, 26, 40]  # four quick ones, one long, three quick ones: too few
+    labels = [("s", float(a), float(b), f"L{a}") for a, b in zip(times, times[1:], strict=False)] + [("u", float(a), float(a + 2), f"M{a}") for a in range(0, 8, 2)] + [(None, 0.0, 1.0, "L"), ("s", None, 1.0, "L")]
+    chords = [("s", 0.0, 4.0, "C"), ("s", 4.0, 7.0, "N"), ("s", 6.0, 8.0, "D"), ("s", 20.0, 24.0, "E"), ("u", 9.0, 12.0, "F"), ("v", 0.0, 4.0, "G"), (None, 0.0, 1.0, "H"), ("s", None, 2.0, "I"), ("s", 0.0, 4.0, None)]
+    got = split_by_fast_runs(spark.createDataFrame(chords, schema), spark.createDataFrame(labels, schema), 1.0)
+    rows = sorted((str(r.song), str(r.t0), r.t1, str(r.label), r.added) for r in got.collect())
+    kept = [("s", 4.0, 7.0, "N"), ("s", 20.0, 24.0, "E"), ("u", 9.0, 12.0, "F"), ("v", 0.0, 4.0, "G"), (None, 0.0, 1.0, "H"), ("s", None, 2.0, "I")]
+    # L6 lasts one period: too short; the middle of D is the run's end.
+    added = [("s", 0.0, 2.0, "L0"), ("s", 2.0, 4.0, "L2"), ("s", 4.0, 6.0, "L4")]
+    assert rows == sorted([(str(a), str(b), c, str(x), False) for a, b, c, x in kept] + [(a, str(b), c, x, True) for a, b, c, x in added])
