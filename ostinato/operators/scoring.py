@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ostinato.functions.vectors import bound
 from ostinato.operators.blocks import join_same
 from ostinato.operators.sequences import ordered
 
+_PLACES = 12  # scores that agree to so many places are equal
+
 
 def _sum(c: Column) -> Column:
     return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
@@ -17,18 +20,22 @@ def _sum(c: Column) -> Column:
 def best_template(chroma: Column, templates: list[list[float]]) -> Column:
     """struct(root, family, score) of the best of 12 rotations of each family's template (12 numbers): the dot product with the chroma scaled to length 1.
 
-    Of equal scores the lower root, then the first family wins; a chroma that is null or shorter than 1e-9 has root 0, family 0 and score 0.
+    Of scores that agree to twelve places the lower root, then the first family wins; a chroma that is null or shorter than 1e-9 has root 0, family 0 and score 0.
     """
-    n = F.sqrt(_sum(F.transform(chroma, lambda x: x * x)))
-    unit = F.transform(chroma, lambda x: x / n)
-    every = []
-    for r in range(12):
-        for f, t in enumerate(templates):
-            turned = F.array(*[F.lit(float(t[(k - r) % 12])) for k in range(12)])
-            every.append(F.struct(_sum(F.zip_with(unit, turned, lambda a, b: a * b)).alias("score"), F.lit(-r).alias("r"), F.lit(-f).alias("f")))
-    top = F.array_max(F.array(*every))
-    found = F.struct((-top["r"]).alias("root"), (-top["f"]).alias("family"), top["score"].alias("score"))
-    return F.when(n >= 1e-9, found).otherwise(F.struct(F.lit(0).alias("root"), F.lit(0).alias("family"), F.lit(0.0).alias("score")))
+
+    def best(unit: Column) -> Column:
+        every = []
+        for r in range(12):
+            for f, t in enumerate(templates):
+                turned = F.array(*[F.lit(float(t[(k - r) % 12])) for k in range(12)])
+                every.append(F.struct(_sum(F.zip_with(unit, turned, lambda a, b: a * b)).alias("score"), F.lit(-r).alias("r"), F.lit(-f).alias("f")))
+        ranked = F.transform(F.array(*every), lambda x: F.struct(F.round(x["score"], _PLACES).alias("by"), x["r"].alias("r"), x["f"].alias("f"), x["score"].alias("score")))
+        return bound(F.array_max(ranked), lambda top: F.struct((-top["r"]).alias("root"), (-top["f"]).alias("family"), top["score"].alias("score")))
+
+    none = F.struct(F.lit(0).alias("root"), F.lit(0).alias("family"), F.lit(0.0).alias("score"))
+    length = F.sqrt(_sum(F.transform(chroma, lambda x: x * x)))
+    found = lambda s: F.when(s["n"] >= 1e-9, bound(F.transform(s["x"], lambda x: x / s["n"]), best)).otherwise(none)
+    return bound(F.struct(chroma.alias("x"), length.alias("n")), found)
 
 
 def rotation_likelihoods(chroma: Column, means: list[list[float]], deviations: list[list[float]]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ostinato.functions import vocabulary as V
 from ostinato.operators import scoring as S
+from ostinato.plans.scoring import UNIT
 
 
 @pytest.mark.parametrize("valid", [None, ["M7", "m7", "weird", "5", "7alt"]])
@@ -60,3 +61,10 @@ def test_agreement_windows_and_sources(spark):
     a, b = (spark.createDataFrame(x, "k int, title string, n int") for x in ([(1, "Blue", 5), (1, "blue", 3), (2, "Red", 1)], [(1, "BLUE", 1), (1, "Green", 2), (2, None, 7), (2, None, 8)]))
     assert sorted((r.k, str(r.title), r.n, r.source) for r in S.first_of_sources([a, b], ["k"], "title").collect()) == [(1, "Green", 2, 1), (1, "blue", 3, 0), (2, "None", 7, 1), (2, "Red", 1, 0)]
     assert sorted(r.k for r in S.first_of_sources([a, b], ["k"], "title", 1).collect()) == [1, 2]
+
+
+def test_templates_whose_scores_agree_go_by_root(spark):
+    """A block of the events in which root 5 of the last family and root 6 of the third score alike but for the last digits."""
+    x = [10.82 / 50 if k == 0 else 10.82 / 100 if k == 7 else 0.01 * (k + 1) for k in range(12)]
+    b = spark.createDataFrame([(x,)], "x array<double>").select(S.best_template(F.col("x"), UNIT).alias("b")).first().b
+    assert (b.root, b.family, round(b.score, 6)) == (5, 4, 0.652103)
