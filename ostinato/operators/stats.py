@@ -201,8 +201,10 @@ def macro_micro(df: DataFrame, score: str, weight: str) -> DataFrame:
 
 
 def zscores(df: DataFrame, keys: list[str], value: str, least_cv: float = 0.1, least_n: int = 4, out: str = "z") -> DataFrame:
-    """Standard scores inside each sequence; null where it has under ``least_n`` values or hardly varies."""
-    w = Window.partitionBy(*keys)
+    """Standard scores inside each sequence; null where it has under ``least_n`` values or hardly varies.
+
+    Deviations are summed in ascending order of the values, so that a score's last digits don't hang on the order in which rows arrive."""
+    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     m, s, n = F.avg(value).over(w), F.stddev_pop(value).over(w), F.count(value).over(w)
     return df.withColumn(out, F.when((n >= least_n) & (m != 0) & (s / F.abs(m) >= least_cv), (F.col(value) - m) / s))
 
