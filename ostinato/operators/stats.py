@@ -58,15 +58,17 @@ def transition_model(df: DataFrame, keys: list[str], order: list[str], symbol: s
     return both.select("s0", "s1", F.coalesce("n", F.lit(0)).alias("n"), F.ln(F.col("c") / F.sum("c").over(Window.partitionBy("s0"))).alias("logp"))
 
 
-def bigram_lift(df: DataFrame, keys: list[str], order: list[str], symbol: str, group: str, least: int = 15, top: int = 8) -> DataFrame:
-    """P(pair | group) / P(pair) of the ``top`` pairs of every group among those seen ``least`` times in it, with rank; ties go by the pair."""
+def bigram_lift(df: DataFrame, keys: list[str], order: list[str], symbol: str, group: str, least: int = 1, top: int | None = None) -> DataFrame:
+    """P(pair | group) / P(pair) of every pair of every group, with its rank in the group; ties go by the pair. A report may leave away pairs
+    seen less than ``least`` times in the group, or keep the ``top`` first."""
     g = ngrams(df, keys, order, symbol, 2).groupBy(group, "s0", "s1").agg(F.count("*").alias("n"))
     n = F.col("n")
     everything = g.agg(F.sum("n").alias("_all"))  # one row
     of_pair, of_group = F.sum(n).over(Window.partitionBy("s0", "s1")), F.sum(n).over(Window.partitionBy(group))
     out = g.withColumns({"_pair": of_pair, "_group": of_group}).filter(n >= least).crossJoin(F.broadcast(everything))
     out = out.withColumn("lift", (n / F.col("_group")) / (F.col("_pair") / F.col("_all"))).drop("_pair", "_group", "_all")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("lift"), "s0", "s1"))).filter(F.col("rank") <= top)
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("lift"), "s0", "s1")))
+    return out if top is None else out.filter(F.col("rank") <= top)
 
 
 def context_sparsity(df: DataFrame, keys: list[str], order: list[str], symbol: str, least: int = 20) -> DataFrame:

@@ -71,7 +71,7 @@ def trigram_context(spark, sf_dir):
     EVENTS_SQL
     + """, g AS (SELECT root, s0, s1, count(*) AS n FROM (SELECT root, q AS s0, lead(q) OVER (PARTITION BY song ORDER BY pos) AS s1 FROM ev) WHERE s1 IS NOT NULL GROUP BY 1, 2, 3),
     l AS (SELECT root, s0, s1, n, (n / sum(n) OVER (PARTITION BY root)) / (sum(n) OVER (PARTITION BY s0, s1) / sum(n) OVER ()) AS lift FROM g)
-    SELECT root, s0, s1, n, round(lift, 6) AS lift, row_number() OVER (PARTITION BY root ORDER BY lift DESC, s0, s1) AS rank FROM l WHERE n >= 15 QUALIFY rank <= 8"""
+    SELECT root, s0, s1, n, round(lift, 6) AS lift, row_number() OVER (PARTITION BY root ORDER BY lift DESC, s0, s1) AS rank FROM l"""
 )
 def transition_lift(spark, sf_dir):
     return A.bigram_lift(events(spark, sf_dir), SONG, ORDER, "q", "root").select("root", "s0", "s1", "n", r6("lift").alias("lift"), "rank")
