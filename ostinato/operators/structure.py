@@ -215,17 +215,22 @@ def degenerate_sections(df: DataFrame, keys: list[str], label: str) -> DataFrame
     return n.withColumn("degenerate", (F.col("sections") >= 2) & bad)
 
 
-def vetoed_pairs(df: DataFrame, keys: list[str], block: str, symbol: str, least: int = 2, share: float = 0.2, reach: int = 8) -> DataFrame:
-    """Pairs of blocks (at most ``reach`` apart in number) with the symbols that recur in one (``least`` rows
-    and ``share`` of it) and are wholly absent from the other. Blocks farther apart are not compared: ``vetoes``
-    counts over whole sequences."""
+def vetoed_pairs(df: DataFrame, keys: list[str], block: str, symbol: str, least: int = 2, share: float = 0.2, reach: int | None = 8) -> DataFrame:
+    """Pairs of a sequence's blocks (at most ``reach`` apart in number, or all where it is None) with the symbols that recur in one (``least`` rows and ``share`` of it) and are wholly absent from the
+    other: (keys, a, b, symbol).
+
+    All pairs grow with the square of a sequence's blocks; no others are made on the way, as blocks without a symbol are found before those in which
+    it recurs meet them. :func:`vetoed_runs` tells the same in rows that grow with the blocks. A null symbol is absent from every other block.
+    """
     n = df.groupBy(*keys, F.col(block).alias("a"), F.col(symbol).alias("symbol")).agg(F.count("*").alias("n"))
     strong = n.withColumn("_all", F.sum("n").over(Window.partitionBy(*keys, "a"))).filter((F.col("n") >= least) & (F.col("n") / F.col("_all") >= share))
     blocks = n.select(*keys, F.col("a").alias("b")).distinct()
-    near = strong.select(*keys, "a", "symbol", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_d")).filter("_d <> 0")
-    near = near.withColumn("b", F.col("a") + F.col("_d")).join(blocks, [*keys, "b"], "left_semi")
     there = n.select(*keys, F.col("a").alias("b"), "symbol")
-    return near.join(there, [*keys, "b", "symbol"], "left_anti").select(*keys, "a", "b", "symbol")
+    without = strong.select(*keys, "symbol").distinct().join(blocks, keys).join(there, [*keys, "b", "symbol"], "left_anti")
+    same = without.withColumnRenamed("symbol", "_symbol")
+    far = F.lit(True) if reach is None else F.abs(F.col("a") - F.col("b")) <= reach
+    met = strong.withColumnsRenamed({k: f"_{k}" for k in keys}).join(same, [F.col(f"_{k}") == F.col(k) for k in keys] + [F.col("symbol").eqNullSafe(F.col("_symbol"))])
+    return met.filter((F.col("a") != F.col("b")) & far).select(*keys, "a", "b", "symbol")
 
 
 def vetoed_runs(df: DataFrame, keys: list[str], block: str, symbol: str, least: int = 2, share: float = 0.2) -> DataFrame:

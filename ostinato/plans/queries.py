@@ -383,6 +383,19 @@ def ssm_lag_score(spark, sf_dir):
     return X.lag_similarity(v, ["label"], "i", "embedding").withColumn("score", F.round("score", 4))
 
 
+@query(
+    EVENTS_SQL
+    + """, n AS (SELECT song, pos // 16 AS a, root, count(*) AS n FROM ev GROUP BY 1, 2, 3),
+    s AS (SELECT song, a, root, n, sum(n) OVER (PARTITION BY song, a) AS total FROM n),
+    b AS (SELECT DISTINCT song, a AS b FROM n)
+    SELECT s.song, s.a, b.b, s.root AS symbol FROM s JOIN b ON s.song = b.song AND s.a <> b.b
+    WHERE s.n >= 2 AND s.n / s.total >= 0.2 AND NOT EXISTS (SELECT 1 FROM n x WHERE x.song = s.song AND x.a = b.b AND x.root = s.root)"""
+)
+def veto_pairs(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("block", F.floor(F.col("pos") / 16))
+    return X.vetoed_pairs(e, SONG, "block", "root", reach=None)
+
+
 @query(
     EVENTS_SQL
     + """, n AS (SELECT song, pos // 16 AS a, root, count(*) AS n FROM ev GROUP BY 1, 2, 3),
@@ -391,7 +404,7 @@ def ssm_lag_score(spark, sf_dir):
     x AS (SELECT s.song, s.root, s.vetoes, b.b, b.b - row_number() OVER (PARTITION BY s.song, s.root ORDER BY b.b) AS g FROM s JOIN b USING (song) WHERE NOT EXISTS (SELECT 1 FROM n y WHERE y.song = s.song AND y.a = b.b AND y.root = s.root))
     SELECT song, root AS symbol, min(b) AS first, max(b) AS last, any_value(vetoes) AS vetoes FROM x GROUP BY song, root, g"""
 )
-def veto_pairs(spark, sf_dir):
+def veto_stretches(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("block", F.floor(F.col("pos") / 16))
     return X.vetoed_runs(e, SONG, "block", "root")
 

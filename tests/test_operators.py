@@ -229,3 +229,14 @@ def test_scores_do_not_hang_on_the_order_of_rows(spark):
     d = spark.createDataFrame([(k, v) for k, p in enumerate(itertools.permutations(x)) for v in p], "k int, x double").coalesce(1)
     z = {r.z for r in stats.zscores(d, ["k"], "x").filter("x = 42").select(F.round("z", 4).alias("z")).distinct().collect()}
     assert z == {1.5938}  # as DuckDB has it on sf0.1
+
+
+def test_lift_and_vetoes_tell_of_all_pairs(spark):
+    e = spark.createDataFrame([(s, i, q, i % 2) for s in (1, 2) for i, q in enumerate("abacabdab")], "song long, i int, q string, g int")
+    got = {(r.g, r.s0, r.s1): (r.n, r["rank"]) for r in stats.bigram_lift(e, ["song"], ["i"], "q", "g").collect()}
+    pairs = [(i % 2, *p) for i, p in enumerate(itertools.pairwise("abacabdab"))]
+    assert {k: n for k, (n, _) in got.items()} == {p: 2 * pairs.count(p) for p in pairs}  # rare ones too
+    assert sorted(r for (g, *_), (_, r) in got.items() if g == 0) == list(range(1, len({p for p in pairs if p[0] == 0}) + 1))
+    blocks = spark.createDataFrame([(1, b, s) for b in range(40) for s in ("xx" if b in (0, 39) else "yz")] + [(2, 0, "x"), (2, 0, "x"), (2, 0, None), (2, 0, None), (2, 1, "y")], "song long, block long, s string")
+    far = {(r.song, r.a, r.b, r.symbol) for r in structure.vetoed_pairs(blocks, ["song"], "block", "s", reach=None).collect()}
+    assert far == {(1, a, b, "x") for a in (0, 39) for b in range(1, 39)} | {(2, 0, 1, "x"), (2, 0, 1, None)}
