@@ -1,6 +1,6 @@
 """Best paths and posterior marginals over sequences of any length.
 
-A sequence is cut into blocks of BLOCK rows by a range partitioning, so that no task needs a whole one. A block's product of step
+Sequences of at most BLOCK rows are walked side by side, many in one step, as their sorted rows come by. A longer one is cut into blocks of BLOCK rows by a range partitioning, so that no task needs a whole one. A block's product of step
 matrices says what it costs to cross it from each state to each; a short pass over a sequence's block products
 (one for every BLOCK rows, of states by states) gives what comes before and after each block, with which the block is solved on
 its own. Best paths add integers of 2**-30, so the sums are the same in whichever order blocks are joined.
@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ostinato.operators.blocks import kept, run_blocks
+from ostinato.operators.blocks import join_same, kept, run_blocks
+from ostinato.operators.sequences import ordered
 
 BLOCK = 1024
 UNIT = 2.0**30
 _NEVER = -(1 << 60)  # the score of what can't be, as an integer
 LOWEST = _NEVER / UNIT / 2  # best scores below it are those of no path
 _NO = -1e30  # and as a logarithm of a probability
+_ABSENT, _NONE = 3 * _NEVER, 2 * _NO  # what fills up rows of fewer states than others, below both
+_SIDE = 512  # sequences that are walked side by side
 
 
 def _fixed(x) -> np.ndarray:
@@ -127,6 +130,136 @@ def _unpacked(g: pd.DataFrame, kind) -> list[tuple]:
     return out
 
 
+class _Rows:
+    """The states of rows one after another; a step over many sequences takes one row of each, filled up to the most states."""
+
+    def __init__(self, labels, scores):
+        self.offset = labels.offsets.to_numpy()
+        self.labels, self.scores = (x.values.to_numpy(zero_copy_only=False) for x in (labels, scores))
+
+    def at(self, rows: np.ndarray):
+        n = self.offset[rows + 1] - self.offset[rows]
+        place = self.offset[rows][:, None] + np.arange(n.max())
+        there = np.arange(n.max()) < n[:, None]
+        return np.where(there, place, self.offset[rows][:, None]), there
+
+
+def _paths_beside(steps: Steps, rows: _Rows, start: np.ndarray, length: np.ndarray, choice: np.ndarray, total: np.ndarray) -> None:
+    """Choices and totals of sequences, longest first, written to their rows' places."""
+    t, first, final = steps.exact
+    scores, backs, state = _fixed(rows.scores), [], np.zeros(len(start), dtype=np.int64)
+    best = np.zeros(len(start))
+    for k in range(length[0]):
+        live = int(np.searchsorted(-length, -k))
+        place, there = rows.at(start[:live] + k)
+        label = rows.labels[place]
+        if k:
+            arrive = score[:live, :, None] + t[before[:live, :, None], label[:, None, :]]  # noqa: F821
+            backs.append(arrive.argmax(axis=1))
+            came = np.take_along_axis(arrive, backs[-1][:, None, :], 1)[:, 0]
+        else:
+            came = first[label]
+        score, before = np.where(there, np.maximum(came + scores[place], _NEVER), _ABSENT), label
+        done = slice(int(np.searchsorted(-length, -(k + 1))), live)
+        ends = np.where(there[done], score[done] + final[label[done]], _ABSENT)
+        if len(ends):
+            state[done], best[done] = ends.argmax(axis=1), ends.max(axis=1) / UNIT
+    for k in range(length[0] - 1, -1, -1):
+        live = int(np.searchsorted(-length, -k))
+        choice[start[:live] + k], total[start[:live] + k] = state[:live], best[:live]
+        if k:
+            state[:live] = backs[k - 1][np.arange(live), state[:live]]
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = np.maximum(x.max(axis=axis, keepdims=True), _NO)
+    return top.squeeze(axis) + np.log(np.maximum(np.exp(x - top).sum(axis=axis), 1e-300))
+
+
+def _shares_beside(steps: Steps, rows: _Rows, start: np.ndarray, length: np.ndarray, out: np.ndarray) -> None:
+    """Marginals of sequences, longest first, written to their states' places."""
+    t, first, final = steps.log
+    scores, known = np.maximum(rows.scores.astype(float), _NO), []
+    for k in range(length[0]):
+        live = int(np.searchsorted(-length, -k))
+        place, there = rows.at(start[:live] + k)
+        label = rows.labels[place]
+        came = _log_sum(known[-1][3][:live, :, None] + t[known[-1][2][:live, :, None], label[:, None, :]], 1) if k else first[label]
+        known.append((place, there, label, np.where(there, came + scores[place], _NONE)))
+    beta = None
+    for k in range(length[0] - 1, -1, -1):
+        place, there, label, alpha = known[k]
+        after = final[label]
+        if beta is not None:
+            ahead, present, onward, _ = known[k + 1]
+            leave = np.where(present, scores[ahead] + beta, _NONE)
+            after[: len(beta)] = _log_sum(t[label[: len(beta), :, None], onward[:, None, :]] + leave[:, None, :], 2)
+        beta = after
+        both = np.where(there, alpha + beta, -np.inf)
+        share = np.exp(both - both.max(axis=1, keepdims=True))
+        out[place[there]] = (share / share.sum(axis=1, keepdims=True))[there]
+
+
+def _whole(df: DataFrame, keys: list[str], order: list[str], steps: Steps, labels: str, scores: str, carried: list[str], path: bool, shares: bool) -> DataFrame:
+    """Sequences of moderate length, solved as their sorted rows come by: keys, order, ``carried``, and choice and log_score, and marginals."""
+    shared = df.sparkSession.sparkContext.broadcast(steps)
+    known = [*keys, *order, *carried]
+    rows = df.select(*(F.col(c) for c in known), F.col(labels).cast("array<int>").alias("_at"), F.col(scores).cast("array<double>").alias("_of"), F.row_number().over(ordered(keys, order)).alias("_row"))
+    rows = rows.sortWithinPartitions(*keys, *order)  # they are: the window's order
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            rest = new if rest is None else pa.concat_tables([rest, new])
+            begin = np.flatnonzero(rest.column("_row").to_numpy() == 1)
+            if len(begin) > 1:
+                yield from solved(rest.slice(0, begin[-1]), begin)
+                rest = rest.slice(begin[-1])
+        if rest is not None and rest.num_rows:
+            yield from solved(rest, np.append(np.flatnonzero(rest.column("_row").to_numpy() == 1), rest.num_rows))
+
+    def solved(table, bounds):
+        batch = table.combine_chunks().to_batches()[0]
+        batch = batch.take(pa.array(np.arange(batch.num_rows)))  # offsets from 0
+        states = _Rows(*(batch.column(batch.schema.get_field_index(c)) for c in ("_at", "_of")))
+        start, length = bounds[:-1], np.diff(bounds)
+        choice, total, share = np.zeros(batch.num_rows, dtype=np.int32), np.zeros(batch.num_rows), np.zeros(len(states.scores))
+        by_length = np.argsort(-length, kind="stable")
+        for i in range(0, len(by_length), _SIDE):
+            some = by_length[i : i + _SIDE]
+            if path:
+                _paths_beside(shared.value, states, start[some], length[some], choice, total)
+            if shares:
+                _shares_beside(shared.value, states, start[some], length[some], share)
+        cols = {c: batch.column(batch.schema.get_field_index(c)) for c in known}
+        cols |= {"choice": pa.array(choice), "log_score": pa.array(total)} if path else {}
+        cols |= {"marginals": pa.ListArray.from_arrays(pa.array(states.offset, pa.int32()), pa.array(share))} if shares else {}
+        yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    found = (["choice int, log_score double"] if path else []) + (["marginals array<double>"] if shares else [])
+    return rows.mapInArrow(run, StructType(rows.select(*known).schema.fields + StructType.fromDDL(", ".join(found)).fields))
+
+
+def solved(df: DataFrame, keys: list[str], order: list[str], steps: Steps, labels: str, scores: str, carried: list[str] = (), path: bool = True, shares: bool = False, block: int = BLOCK) -> DataFrame:
+    """keys, order, the ``carried`` columns, with ``path`` choice and log_score as in :func:`best_paths`, and with ``shares`` marginals as in :func:`marginals`.
+
+    Order values of sequences of more than ``block`` rows are unique if columns are carried or both are asked for.
+    """
+    carried = list(carried)
+    long = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > block).select(*keys)
+    args = (keys, order, steps, labels, scores)
+    if long.isEmpty():
+        return _whole(df, *args, carried, path, shares)
+    out = _whole(join_same(df, long, keys, "left_anti"), *args, carried, path, shares)
+    far = join_same(df, long, keys, "left_semi")
+    parts = ([_long_paths(far, *args, block)] if path else []) + ([_long_marginals(far, *args, block)] if shares else [])
+    both = far.select(*keys, *order, *carried) if carried else parts.pop(0)
+    for part in parts:
+        both = join_same(both, part, [*keys, *order])
+    return out.unionByName(both.select(out.columns))
+
+
 def best_paths(df: DataFrame, keys: list[str], order: list[str], steps: Steps, labels: str, scores: str, block: int = BLOCK) -> DataFrame:
     """keys, order, choice (index into the row's states, from 0) and log_score, the score of the sequence's best path.
 
@@ -134,6 +267,19 @@ def best_paths(df: DataFrame, keys: list[str], order: list[str], steps: Steps, l
     length, which may differ from row to row. Of equal paths the lowest state wins at the last row, then at each row before it. Scores are
     rounded to 2**-30. Equal ``order`` values in a sequence are taken in any order; null keys are a key.
     """
+    return solved(df, keys, order, steps, labels, scores, block=block)
+
+
+def marginals(df: DataFrame, keys: list[str], order: list[str], steps: Steps, labels: str, scores: str, block: int = BLOCK) -> DataFrame:
+    """keys, order and marginals: the probability of each of the row's states over all paths, by sums forwards and backwards.
+
+    Arguments are those of :func:`best_paths`.
+    """
+    return solved(df, keys, order, steps, labels, scores, path=False, shares=True, block=block)
+
+
+def _long_paths(df: DataFrame, keys: list[str], order: list[str], steps: Steps, labels: str, scores: str, block: int) -> DataFrame:
+    """:func:`best_paths` by blocks."""
     shared = df.sparkSession.sparkContext.broadcast(steps)
     blocks = kept(run_blocks(df, keys, order, {"labels": labels, "scores": scores}, block))
 
@@ -208,11 +354,8 @@ def best_paths(df: DataFrame, keys: list[str], order: list[str], steps: Steps, l
     return out.select(*keys, *(F.col(f"_x.rows.{c}").alias(c) for c in order), F.col("_x.path").alias("choice"), "log_score")
 
 
-def marginals(df: DataFrame, keys: list[str], order: list[str], steps: Steps, labels: str, scores: str, block: int = BLOCK) -> DataFrame:
-    """keys, order and marginals: the probability of each of the row's states over all paths, by sums forwards and backwards.
-
-    Arguments are those of :func:`best_paths`.
-    """
+def _long_marginals(df: DataFrame, keys: list[str], order: list[str], steps: Steps, labels: str, scores: str, block: int) -> DataFrame:
+    """:func:`marginals` by blocks."""
     shared = df.sparkSession.sparkContext.broadcast(steps)
     blocks = kept(run_blocks(df, keys, order, {"labels": labels, "scores": scores}, block))
 

@@ -170,3 +170,19 @@ def test_joint_decode_is_that_of_all_paths(spark, case):
             assert abs(r.confidence - r.marginals[r.roots.index(root) * 5 + kind]) < 1e-12
     if case == "clamped":
         assert got[1, 1].root == 7 and got[1, 1]["class"] == 2 and got[2, 1].root == 7
+
+
+def test_short_sequences_are_walked_side_by_side(spark):
+    """No groups, joins or stored tables for sequences of moderate length, and the same results as in blocks."""
+    rng = np.random.default_rng(9)
+    rows = [(s, i, int(n), [int(x) for x in rng.integers(0, 4, n)], [float(x) for x in rng.normal(size=n)]) for s in range(40) for i in range(1 + s % 7) for n in [rng.integers(1, 5)]]
+    d = spark.createDataFrame(rows, "song long, i int, size int, l array<int>, e array<double>")
+    steps = L.Steps(rng.normal(size=(4, 4)), rng.normal(size=4), rng.normal(size=4))
+    out = L.solved(d, ["song"], ["i"], steps, "l", "e", ["size"], shares=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Join", "InPandas"))
+    mixed = {(r.song, r.i): r for r in L.solved(d, ["song"], ["i"], steps, "l", "e", ["size"], shares=True, block=3).collect()}
+    got = {(r.song, r.i): r for r in out.collect()}
+    assert got.keys() == mixed.keys() == {(s, i) for s, i, *_ in rows}
+    for k, r in got.items():
+        assert (r.choice, r.log_score, r["size"]) == (mixed[k].choice, mixed[k].log_score, len(r.marginals)) and np.allclose(r.marginals, mixed[k].marginals)
