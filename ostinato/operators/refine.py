@@ -37,22 +37,20 @@ def refine_roots(segments: DataFrame, keys: list[str], order: list[str], posteri
     d = segments.select(*keys, *order, p.alias("_p"))
     d = kept(d.withColumns({"_top": _first_argmax("_p"), "clamped": F.array_max("_p") >= sure}))
     paths = L.Steps([[step_weight * steps[(j - i) % 12] for j in range(12)] for i in range(12)])
-    now = d.select(*keys, *order, F.col("_top").alias("root"))
+    now = d.withColumn("root", F.col("_top"))
     for _ in range(rounds):
         n = now.groupBy(*keys, "root").agg(F.count("*").alias("n"))
         votes = n.withColumn("_k", F.explode(F.array(*map(F.lit, range(12))))).filter(F.pmod(F.col("root") - F.col("_k"), F.lit(12)).isin(*MAJOR))
         key = votes.groupBy(*keys, "_k").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.max_by("_k", F.struct("n", -F.col("_k"))).alias("key"))
-        e = join_same(d, key, keys)
+        e = join_same(now.drop("key"), key, keys)
         free = F.transform("_p", lambda x, i: F.log(x + 1e-9) + F.when(F.pmod(i - F.col("key"), F.lit(12)).isin(*MAJOR), key_weight).otherwise(0.0))
         e = e.withColumns({"_labels": F.when(F.col("clamped"), F.array("_top")).otherwise(F.array(*map(F.lit, range(12)))), "_scores": F.when(F.col("clamped"), F.array(F.lit(0.0))).otherwise(free)})
-        path = L.best_paths(e, keys, order, paths, "_labels", "_scores")
-        new = join_same(e, path.drop("log_score"), [*keys, *order]).select(*keys, *order, F.get("_labels", F.col("choice")).alias("root"), "clamped", "key")
-        new = kept(new)
-        same = join_same(new, now.withColumnRenamed("root", "_was"), [*keys, *order]).filter("root <> _was").isEmpty()
-        now = new
-        if same:
+        path = L.solved(e, keys, order, paths, "_labels", "_scores", ["_p", "_top", "clamped", "root", "key"])
+        now = kept(path.withColumn("_was", F.col("root")).withColumn("root", F.when(F.col("clamped"), F.col("_top")).otherwise(F.col("choice"))).drop("choice", "log_score"))
+        if now.filter("root <> _was").isEmpty():
             break
-    return now
+        now = now.drop("_was")
+    return now.select(*keys, *order, "root", "clamped", "key")
 
 
 def compress_loops(bars: DataFrame, loops: DataFrame, keys: list[str], index: str, root: str, kind: str, posterior: str, confidence: str | None = None, first: int = 0) -> DataFrame:
