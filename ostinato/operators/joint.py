@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ostinato.operators import lattice as L
-from ostinato.operators.blocks import join_same, kept
+from ostinato.operators.blocks import join_same
 
 # Classes major, minor, dominant, half-diminished, diminished; the family of each among the five families
 # (major, minor, diminished, augmented, suspended) by which the states of the prior are numbered.
@@ -75,13 +75,9 @@ def joint_decode(segments: DataFrame, keys: list[str], order: list[str], prior:
     their largest summed score. ``confidence`` is the marginal probability of the chosen state; ``marginals`` follow ``roots``, five a root.
     Order values are unique in a sequence; other columns are dropped.
     """
-    found = kept(emissions(segments, keys, order, k).withColumn("labels", labels(F.col("roots"), F.col("tonic"))))
+    found = emissions(segments, keys, order, k).withColumn("labels", labels(F.col("roots"), F.col("tonic")))
     steps = L.Steps([[weight * x for x in row] for row in prior])
-    path = L.best_paths(found, keys, order, steps, "labels", "scores")
-    shares = L.marginals(found, keys, order, steps, "labels", "scores")
-
-    out = join_same(found, path.drop("log_score"), [*keys, *order])
-    out = join_same(out, shares, [*keys, *order])
+    out = L.solved(found, keys, order, steps, "labels", "scores", ["roots", "scores", "tie"], shares=True)
     choice = F.when(F.col("tie").isNull(), F.col("choice")).otherwise(F.array_position("scores", F.array_max("scores")).cast("int") - 1)
     out = out.withColumn("choice", choice)
     return out.select(
