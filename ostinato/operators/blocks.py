@@ -36,6 +36,14 @@ def run_blocks(df: DataFrame, keys: list[str], order: list[str], values: dict[st
     return found.select(*keys, F.col("_x")[0]["_id"].alias("at"), F.col("_x._row").alias("rows"), *(F.col(f"_x._v{i}").alias(v) for i, v in enumerate(values)))
 
 
+TASK_ROWS = 32_768  # rows of a task where sequences are dealt out by number
+
+
+def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Among how many tasks ``df`` is to be dealt so that each gets about ``rows`` rows, however many there are."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def join_same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """``left`` with the other columns of ``right`` where both agree on ``on``; nulls agree with nulls."""
     right = right.withColumnsRenamed({c: f"_right_{c}" for c in on})

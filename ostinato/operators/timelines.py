@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ostinato.operators.blocks import tasks_for
 from ostinato.operators.joins import as_of, first_containing
 from ostinato.operators.sequences import ordered, run_ids
 
@@ -221,11 +222,12 @@ def split_by_fast_runs(chords: DataFrame, labels: DataFrame, period: float, song
     A run is at least ``least`` labels in a row that each last less than ``fast`` periods. Chords whose middle lies in a
     run, both ends included, go, except those labelled N; the run's labels that last ``shortest`` periods or more take
     their place, except N and X. A song of which no chord goes stays as it is. ``labels`` don't overlap; rows with null times or a null song
-    never match. A song's rows are sorted in one task; no pairs are made.
+    never match. A song's rows are sorted in one task; no pairs are made. Songs are dealt out among tasks by the number of labels.
     """
+    tasks = tasks_for(labels)
     order = Window.partitionBy(song).orderBy("t0", "t1", "label")
     quick = F.coalesce(F.col("t1") - F.col("t0") < F.lit(fast * period), F.lit(False))
-    timed = labels.where(F.col("t0").isNotNull() & F.col("t1").isNotNull()).select(song, "t0", "t1", "label", quick.alias("quick"))
+    timed = labels.where(F.col("t0").isNotNull() & F.col("t1").isNotNull()).select(song, "t0", "t1", "label", quick.alias("quick")).repartition(tasks, song)
     numbered = timed.withColumn("place", F.row_number().over(order))
     island = F.col("place") - F.row_number().over(Window.partitionBy(song, "quick").orderBy("t0", "t1", "label"))
     of_run = Window.partitionBy(song, "island")
@@ -234,7 +236,7 @@ def split_by_fast_runs(chords: DataFrame, labels: DataFrame, period: float, song
     middle = (F.col("t0") + F.col("t1")) / 2
     both = chords.select(song, "t0", "t1", "label", middle.alias("at"), F.lit(None).cast("double").alias("hi"), F.lit(1).alias("kind")).unionByName(
         runs.select(song, F.col("at").cast("double").alias("at"), F.col("hi").cast("double").alias("hi"), F.lit(0).alias("kind")), allowMissingColumns=True
-    )
+    ).repartition(tasks, song)
     reach = F.max("hi").over(Window.partitionBy(song).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     goes = F.coalesce((reach >= F.col("at")) & ~F.col("label").eqNullSafe(F.lit("N")) & F.col(song).isNotNull(), F.lit(False))
     judged = both.withColumn("goes", goes).where("kind = 1")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ostinato.functions import vocabulary as V
 from ostinato.operators import scoring as S
+from ostinato.operators.timelines import split_by_fast_runs
 from ostinato.plans.scoring import UNIT
 
 
@@ -68,3 +69,11 @@ def test_templates_whose_scores_agree_go_by_root(spark):
     x = [10.82 / 50 if k == 0 else 10.82 / 100 if k == 7 else 0.01 * (k + 1) for k in range(12)]
     b = spark.createDataFrame([(x,)], "x array<double>").select(S.best_template(F.col("x"), UNIT).alias("b")).first().b
     assert (b.root, b.family, round(b.score, 6)) == (5, 4, 0.652103)
+
+
+def test_tasks_follow_the_rows(spark):
+    """Windows over songs are dealt out by number of rows, so that a task's memory doesn't grow with the table."""
+    d = spark.range(0, 400_000).selectExpr("id div 50 AS song", "id % 50 AS i", "id % 12 AS d", "0 AS m", "id AS t0", "id + 1 AS t1", "'x' AS label")
+    for out, n in ((S.window_block(d, ["song"], ["i"], "d", "m", 1), 1), (split_by_fast_runs(d.select("song", "t0", "t1", "label"), d.select("song", "t0", "t1", "label"), 1.0), 2)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") >= n and f", {-(-400_000 // 32_768)}" in plan
