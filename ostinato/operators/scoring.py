@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ostinato.functions.vectors import bound
-from ostinato.operators.blocks import join_same
+from ostinato.operators.blocks import join_same, tasks_for
 from ostinato.operators.sequences import ordered
 
 _PLACES = 12  # scores that agree to so many places are equal
@@ -66,6 +66,7 @@ def agreement(df: DataFrame, keys: list[str], distribution: str, weight: str | N
 def window_block(df: DataFrame, keys: list[str], order: list[str], degree: str, mode: str, reach: int = 4) -> DataFrame:
     """``df`` with ``block``: for each row from ``reach`` before to ``reach`` after, twelve numbers with a one at its degree and one for its mode (0 or 1), zeros
     beyond the ends and for null degrees."""
+    df = df.repartition(tasks_for(df), *keys)  # a task holds the same memory whatever the table's size
     w = ordered(keys, order)
     parts = []
     for k in range(-reach, reach + 1):
