@@ -9,8 +9,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ostinato.functions import vectors as V
@@ -169,23 +171,37 @@ def section_labels(df: DataFrame, spans: DataFrame, keys: list[str], index: str,
 
     Vectors have no negative elements. A section's mean similarity to every row is its mean vector times all vectors, so
     two sections compare through their mean vectors and the sum of all rows' outer products, which has the
-    vectors' width squared and is summed in batches; a sequence's sections, not its rows, go to one task.
+    vectors' width squared and is summed as a sequence's rows come by, so that one such sum a sequence is shuffled; a sequence's sections, not
+    its rows, are gathered.
     """
     unit = df.select(*keys, F.col(index).alias("_i"), V.unit(F.col(vector)).alias("_v"))
     known = {f.name: f for f in df.schema}
     partial = StructType([known[k] for k in keys] + [StructField("_g", ArrayType(DoubleType()))])
 
     def products(batches):
-        for pdf in batches:
-            out = []
-            for key, g in pdf.groupby(keys, dropna=False, sort=False):
-                m = np.stack(g["_v"].to_list())
-                out.append((*(key if isinstance(key, tuple) else (key,)), (m.T @ m).ravel()))
-            yield pd.DataFrame(out, columns=[*keys, "_g"])
-
-    gram = unit.select(*keys, "_v").mapInPandas(products, partial)
-    gram = gram.select(*keys, F.posexplode("_g").alias("_p", "_x")).groupBy(*keys, "_p").agg(F.sum("_x").alias("_x"))
-    gram = gram.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda x: x["_x"]).alias("_g"))
+        held = None  # keys of the sequence that the last batch ended in, and its sum so far
+        for batch in batches:
+            begin = np.flatnonzero(batch.column(batch.num_columns - 1).to_numpy() == 1)
+            vectors = np.stack(batch.column(len(keys)).to_numpy(zero_copy_only=False)).astype(float)
+            at = begin if len(begin) and begin[0] == 0 else np.append(0, begin)
+            sums = [v.T @ v for v in np.split(vectors, at[1:])]
+            names = [tuple(batch.column(c)[int(i)].as_py() for c in range(len(keys))) for i in at]
+            if held is not None and at is not begin:
+                sums[0] += held[1]
+            elif held is not None:
+                names, sums = [held[0], *names], [held[1], *sums]
+            held = names[-1], sums[-1]
+            yield rows_of(names[:-1], sums[:-1])
+        if held is not None:
+            yield rows_of([held[0]], [held[1]])
+
+    def rows_of(names, sums):
+        kinds = to_arrow_schema(partial)
+        cols = [pa.array([n[c] for n in names], kinds.field(c).type) for c in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([x.ravel() for x in sums], pa.list_(pa.float64()))], names=partial.names)
+
+    placed = unit.filter("_v is not null").select(*keys, "_v", F.row_number().over(ordered(keys, ["_i"])).alias("_row")).sortWithinPartitions(*keys, "_row")
+    gram = placed.mapInArrow(products, partial)
     inside = _inside(unit, spans, keys)
     means = inside.select(*keys, "section", F.posexplode("_v").alias("_p", "_x")).groupBy(*keys, "section", "_p").agg(F.avg("_x").alias("_x"))
     means = means.groupBy(*keys, "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda x: x["_x"]).alias("_m"))
