@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,26 @@ def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
 
 
+def whole_sequences(batches, row: str = "_row"):
+    """Whole sequences out of a task's batches of sorted rows, whose ``row`` counts each sequence's rows from 1: tables, and where in them sequences begin and the last ends."""
+    held = []
+
+    def table():
+        t = pa.Table.from_batches(held).combine_chunks()
+        return t, np.append(np.flatnonzero(t.column(row).to_numpy() == 1), t.num_rows)
+
+    for batch in batches:
+        begin = np.flatnonzero(batch.column(batch.schema.get_field_index(row)).to_numpy() == 1)
+        cut = int(begin[-1]) if len(begin) else 0
+        if len(begin) and (held or cut):
+            held.append(batch.slice(0, cut))
+            yield table()
+            held = []
+        held.append(batch.slice(cut))
+    if sum(b.num_rows for b in held):
+        yield table()
+
+
 def join_same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """``left`` with the other columns of ``right`` where both agree on ``on``; nulls agree with nulls."""
     right = right.withColumnsRenamed({c: f"_right_{c}" for c in on})

@@ -131,3 +131,29 @@ def test_a_repeated_section_is_found(spark):
     rows = sorted((r.start, r.end, r.cluster, r.period, r.phase) for r in B.detect_blocks(d, ["song"], "i", "x").collect())
     assert rows == [(0, 2, -1, 8, 2), (2, 10, 0, 8, 2), (10, 18, 0, 8, 2), (18, 26, 1, 8, 2), (26, 34, 0, 8, 2)]
     assert B.detect_blocks(d.limit(0), ["song"], "i", "x").count() == 0
+
+
+def test_blocks_of_many_songs_are_found_side_by_side(spark, monkeypatch):
+    """Short songs are not repeated for every grid; those solved grid by grid, for their length or a wide bar, come out the same, beside them."""
+    rng = random.Random(5)
+    songs = {s: [tuple(rng.choice("CFG") for _ in range(rng.choice([0, 1, 3]) if s % 2 else 1)) for _ in range(rng.choice([1, 7, 8, 9, 19, 33, 40, 67]))] * rng.choice([1, 2]) for s in range(40)}
+    songs[None] = songs[1] + songs[3]
+    songs[99] = [tuple("CFGA" * 6)] + songs[4]
+    d = spark.createDataFrame([(s, i, list(b)) for s, bars in songs.items() for i, b in enumerate(bars)], "song long, i long, x array<string>").repartition(3)
+    want = {s: plain_blocks(b) for s, b in songs.items()}
+
+    def found(df, **args):
+        got = {}
+        for r in B.detect_blocks(df, ["song"], "i", "x", **args).collect():
+            got.setdefault(r.song, []).append((r.start, r.end, r.cluster))
+        return {s: sorted(x) for s, x in got.items()}
+
+    assert found(d, block=30) == want
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(B, "tilings", None)
+    try:
+        for size in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert found(d.filter("song is null or song < 99")) == {s: x for s, x in want.items() if s != 99}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
