@@ -118,8 +118,9 @@ def semi_markov(
     steps = L.Steps(step.reshape(k * d, k * d), first.ravel(), lengths.ravel())
     rows = df.withColumns({"_labels": F.array(*map(F.lit, range(k * d))), "_scores": F.flatten(F.transform(emission, lambda x: F.array_repeat(x, d)))})
     path = L.best_paths(rows, keys, [order], steps, "_labels", "_scores")
-    path = path.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).alias("_row"), F.expr(f"choice div {d}").cast("int").alias("state"), (F.col("choice") % d).alias("_age"), F.when(F.col("log_score") <= L.LOWEST, F.raise_error(F.lit("no segmentation has a positive probability"))).otherwise(F.col("log_score")).alias("log_score"))
-    by_start = Window.partitionBy(*keys).orderBy("_row")
-    path = path.withColumn("_segment", F.sum((F.col("_age") == 0).cast("int")).over(by_start))
+    by_row = Window.partitionBy(*keys).orderBy(order)  # one sort for both: of each row's number and of the segments begun so far
+    segment = F.sum((F.col("choice") % d == 0).cast("int")).over(by_row.rowsBetween(Window.unboundedPreceding, 0))
+    score = F.when(F.col("log_score") <= L.LOWEST, F.raise_error(F.lit("no segmentation has a positive probability"))).otherwise(F.col("log_score"))
+    path = path.select(*keys, F.row_number().over(by_row).alias("_row"), segment.alias("_segment"), F.expr(f"choice div {d}").cast("int").alias("state"), score.alias("log_score"))
     out = path.groupBy(*keys, "_segment").agg(F.min("_row").alias("_a"), F.max("_row").alias("_z"), F.first("state").alias("state"), F.first("log_score").alias("log_score"))
     return out.select(*keys, (F.col("_segment") - 1).cast("int").alias("segment"), (F.col("_a") - 1).cast("int").alias("start"), F.col("_z").cast("int").alias("end"), "state", "log_score")

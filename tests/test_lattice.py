@@ -93,6 +93,28 @@ def test_timed_paths_equal_the_plain_version(spark, transition):
         assert [(r.start, r.end, r.state) for r in sorted((r for r in rows if r.song == k), key=lambda r: r.segment)] == want
 
 
+def test_timed_paths_of_many_songs_are_cut_after_one_sort(spark, monkeypatch):
+    """Songs of moderate length are neither cut into blocks nor grouped, and their rows are sorted once to be walked, once to be cut into segments."""
+    monkeypatch.setattr(L, "run_blocks", None)
+    rng = np.random.default_rng(4)
+    lengths, step = rng.normal(size=(2, 3)), rng.normal(size=(2, 2))
+    songs = {None if k == 0 else k: rng.normal(size=(1 + k % 9, 2)) for k in range(60)}
+    d = spark.createDataFrame([(k, i, x.tolist()) for k, e in songs.items() for i, x in enumerate(e)], "song long, t int, e array<double>").repartition(3)
+    out = decode.semi_markov(d, ["song"], "t", "e", lengths.tolist(), transition=step.tolist())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2 and not any(x in plan for x in ("Join", "InPandas"))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.song, []).append((r.segment, r.start, r.end, r.state, r.log_score))
+    assert got.keys() == songs.keys()
+    for k, e in songs.items():
+        number, start, end, state, score = zip(*sorted(got[k]), strict=True)
+        assert number == tuple(range(len(number))) and start == (0, *end[:-1]) and end[-1] == len(e)
+        found = sum(e[a:z, s].sum() + lengths[s, z - a - 1] for a, z, s in zip(start, end, state, strict=True)) + sum(step[s, t] for s, t in itertools.pairwise(state))
+        best = decode.best_timed_path(e, step, np.zeros(2), lengths)[1]  # of equal segmentations the plain version may take another
+        assert abs(found - best) < 1e-6 and all(abs(x - best) < 1e-6 for x in score)
+
+
 def test_no_segmentation_raises(spark):
     d = spark.createDataFrame([(1, t, [0.0]) for t in range(3)], "song long, t int, e array<double>")
     with pytest.raises(Exception, match="no segmentation"):
